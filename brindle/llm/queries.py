@@ -5,10 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.llm import heavy, runs
+from brindle.llm import alike, formats, heavy, runs
 from brindle.session import table
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    """Copies of queries in another writing, with the first of each."""
+    return formats.format_copies(table(spark, d, "executed_queries")).select("first_id", F.col("id").alias("query_id"))
+
+
+def p4_records(spark: SparkSession, d: str) -> DataFrame:
+    """One row for each query: its first id, its copies and the sum of their executions."""
+    return formats.collapse_formats(table(spark, d, "executed_queries")).select("first_id", "copies", "total")
+
+
 def _frequent(spark: SparkSession, d: str) -> DataFrame:
     entries = table(spark, d, "log_entries").select("line", "labels")
     return heavy.frequent_items(entries, {"line": F.col("line"), "pod": F.col("labels")["k8s_pod_name"]}, 0.005)
@@ -35,8 +45,43 @@ def p6_runs(spark: SparkSession, d: str) -> DataFrame:
     return runs.collapse_runs(table(spark, d, "log_entries")).select("first_id", "n", "duration_ns")
 
 
-QUERIES = {f.__name__: f for f in (p5_found, p5_counts, p6_found, p6_runs)}
+def _texts(spark: SparkSession, d: str) -> list[tuple[str, DataFrame, str, str, int]]:
+    return [("line", table(spark, d, "log_entries"), "entry_id", "line", 80), ("template", table(spark, d, "skipped_templates"), "skip_id", "template_text", 1)]
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of long lines and of templates that share at least 70% of their words."""
+    lines, templates = (alike.like_pairs(df, i, t, 70, least).select(F.lit(kind).alias("kind"), "id_a", "id_b") for kind, df, i, t, least in _texts(spark, d))
+    return lines.unionByName(templates)
 
+
+def p7_groups(spark: SparkSession, d: str) -> DataFrame:
+    """The groups of like ones: one row for each long line and each template."""
+    lines, templates = (alike.like_groups(df, i, t, 70, least).withColumn("kind", F.lit(kind)) for kind, df, i, t, least in _texts(spark, d))
+    return lines.unionByName(templates)
+
+
+QUERIES = {f.__name__: f for f in (p4_found, p4_records, p5_found, p5_counts, p6_found, p6_runs, p7_found, p7_groups)}
+
+_P4 = r"""
+    WITH t AS (SELECT query_id, exec_count, lower(regexp_replace(query_text, '[\s\x0b\x{a0}"`'';]+', '', 'g')) AS q FROM executed_queries WHERE query_text IS NOT NULL),
+    s AS (SELECT *, regexp_extract(q, '\{([^}]*)\}', 1) AS sel, regexp_extract(q, '(?:by|without)\(([^)]*)\)', 1) AS grp FROM t),
+    k AS (SELECT query_id, exec_count,
+                 replace(regexp_replace(regexp_replace(q, '\{[^}]*\}', '{}'), '(by|without)\([^)]*\)', '\1()'), ',', '')
+                 || ' ' || list_aggregate(list_sort(list_filter(string_split(sel, ','), lambda x: x <> '')), 'string_agg', ' ')
+                 || ' ' || coalesce(list_aggregate(list_sort(list_filter(string_split(grp, ','), lambda x: x <> '')), 'string_agg', ' '), '') AS key
+          FROM s),
+    g AS (SELECT key, min(query_id) AS first_id, count(*) AS copies, sum(exec_count)::BIGINT AS total FROM k GROUP BY key)
+"""
+_P7 = r"""
+    WITH d AS (
+        SELECT 'line' AS kind, entry_id AS id, list_distinct(regexp_extract_all(lower(line), '[a-z0-9]+')) AS w FROM log_entries
+        UNION ALL SELECT 'template', skip_id, list_distinct(regexp_extract_all(lower(template_text), '[a-z0-9]+')) FROM skipped_templates),
+    f AS (SELECT kind, id, w, len(w) AS n FROM d WHERE len(w) >= CASE kind WHEN 'line' THEN 80 ELSE 1 END),
+    u AS (SELECT kind, id, n, unnest(w) AS word FROM f)
+    SELECT a.kind AS kind, a.id AS id_a, b.id AS id_b FROM u a JOIN u b ON a.kind = b.kind AND a.word = b.word AND a.id < b.id
+    GROUP BY a.kind, a.id, b.id, a.n, b.n HAVING count(*) * 10 >= 7 * (a.n + b.n - count(*))
+"""
 _P5 = """
     SELECT kind, item_text, count(*) AS n_rows FROM (
         SELECT 'line' AS kind, line AS item_text FROM log_entries UNION ALL SELECT 'pod', labels['k8s_pod_name'] FROM log_entries)
@@ -57,6 +102,9 @@ _P6 = r"""
 """
 
 SQL = {
+    "p4_found": _P4 + "SELECT first_id, query_id FROM k JOIN g USING (key) WHERE query_id > first_id",
+    "p4_records": _P4 + "SELECT first_id, copies, total FROM g",
+    "p7_found": _P7,
     "p5_found": f"SELECT kind, item_text FROM ({_P5})",
     "p5_counts": _P5,
     "p6_found": _P6 + "SELECT least(a, b) AS id_a, greatest(a, b) AS id_b FROM found",
