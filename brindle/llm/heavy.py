@@ -173,4 +173,4 @@ def frequent_items(df: DataFrame, items: Mapping[str, Column], share: float = 0.
         one = df.select(values[k].alias("item_text")).where(F.xxhash64("item_text").isin(found[k]) if found[k] else F.lit(False))
         one = one.groupBy("item_text").agg(F.count(F.lit(1)).alias("n_rows")).select(F.lit(kind).alias("kind"), "item_text", "n_rows")
         out = one if out is None else out.unionByName(one)
-    return out.where(F.col("n_rows") * 1_000_000 >= F.lit(total) * ppm).withColumn("all_rows", F.lit(total).cast("long"))
+    return out.where(F.col("n_rows") * 1_000_000 >= F.lit(total * ppm)).withColumn("all_rows", F.lit(total).cast("long"))
