@@ -19,9 +19,9 @@ from pyspark.sql import types as T
 from brindle.operators.ordering import ordered_pieces, stream_key
 from brindle.session import materialize
 
-#: White space, as a class of a Java expression: what splits words.
-SPACE = r"\t-\r\x1c-\x20\x85\xa0" + "".join(rf"\x{{{c:x}}}" for c in (0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000))
-_DIGIT_WORD = rf"(?<![^{SPACE}])[^{SPACE}0-9]*+[0-9][^{SPACE}]*+"
+#: Characters other than the space that split words.
+SPACE = "".join(map(chr, (*range(9, 14), *range(0x1C, 0x20), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
+_DIGIT_WORD = "(?<![^ ])[^ 0-9]*+[0-9][^ ]*+"
 
 #: One repetition of an event: a code point and as many of its like as follow; the separator is no event.
 _SEPARATOR = "\n"
@@ -31,8 +31,8 @@ _RUN = re.compile(r"([^\n])\1*")
 def canonical_event(line: str | Column) -> Column:
     """The line with its words split at white space and joined by one space; words that hold a digit 0-9 become one symbol. Null stays null."""
     c = F.col(line) if isinstance(line, str) else line
-    words = F.regexp_replace(c, _DIGIT_WORD, "\u0001")
-    return F.trim(F.regexp_replace(words, rf"[{SPACE}]+", " "))
+    words = F.regexp_replace(F.translate(c, SPACE, " " * len(SPACE)), _DIGIT_WORD, "\u0001")
+    return F.trim(F.regexp_replace(words, "  +", " "))
 
 
 _ROWS = T.StructType(
