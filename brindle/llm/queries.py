@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.llm import alike, formats, heavy, runs
+from brindle.llm import alike, formats, heavy, mix, runs, tokens
 from brindle.session import table
 
 
@@ -61,7 +61,26 @@ def p7_groups(spark: SparkSession, d: str) -> DataFrame:
     return lines.unionByName(templates)
 
 
-QUERIES = {f.__name__: f for f in (p4_found, p4_records, p5_found, p5_counts, p6_found, p6_runs, p7_found, p7_groups)}
+def p8_ids(spark: SparkSession, d: str) -> DataFrame:
+    """Token ids of every document."""
+    return tokens.encode_texts(table(spark, d, "documents").select("doc_id", "text"))
+
+
+def _mixed(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    return mix.mix_sources(table(spark, d, "documents").select("doc_id", "text", "source"), table(spark, d, "mix_targets"))
+
+
+def p9_mix(spark: SparkSession, d: str) -> DataFrame:
+    """The mix: a row for each use of a document."""
+    return _mixed(spark, d)[0]
+
+
+def p9_shares(spark: SparkSession, d: str) -> DataFrame:
+    """What each source reaches of its target."""
+    return _mixed(spark, d)[1]
+
+
+QUERIES = {f.__name__: f for f in (p4_found, p4_records, p5_found, p5_counts, p6_found, p6_runs, p7_found, p7_groups, p8_ids, p9_mix, p9_shares)}
 
 _P4 = r"""
     WITH t AS (SELECT query_id, exec_count, lower(regexp_replace(query_text, '[\s\x0b\x{a0}"`'';]+', '', 'g')) AS q FROM executed_queries WHERE query_text IS NOT NULL),
