@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.llm import alike, formats, heavy, mix, runs, tokens
+from brindle.llm import alike, formats, heavy, mix, residue, runs, tokens
 from brindle.session import table
 
 
@@ -80,7 +80,17 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
     return _mixed(spark, d)[1]
 
 
-QUERIES = {f.__name__: f for f in (p4_found, p4_records, p5_found, p5_counts, p6_found, p6_runs, p7_found, p7_groups, p8_ids, p9_mix, p9_shares)}
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    """Documents that hold template residue, filler, error pages or notices about scripts."""
+    return residue.find_residue(table(spark, d, "documents").select("doc_id", "text")).select(F.col("id").alias("doc_id"))
+
+
+def p10_clean(spark: SparkSession, d: str) -> DataFrame:
+    """The other documents, whole."""
+    return residue.without_residue(table(spark, d, "documents")).select("doc_id", "text")
+
+
+QUERIES = {f.__name__: f for f in (p4_found, p4_records, p5_found, p5_counts, p6_found, p6_runs, p7_found, p7_groups, p8_ids, p9_mix, p9_shares, p10_found, p10_clean)}
 
 _P4 = r"""
     WITH t AS (SELECT query_id, exec_count, lower(regexp_replace(query_text, '[\s\x0b\x{a0}"`'';]+', '', 'g')) AS q FROM executed_queries WHERE query_text IS NOT NULL),
