@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 
 from brindle.operators.ordering import ordered_pieces, stream_key
 from brindle.operators.unparsed import logfmt_cells
-from brindle.session import materialize
+from brindle.session import by_place, materialize, narrow, place
 
 #: The six level names and the words, letters and numbers that stand for them.
 LEVELS = {
@@ -369,12 +369,13 @@ def parse_entries(df: DataFrame, id_col: str = "entry_id", ts_col: str = "ts_ns"
     layout is null for a row without a header (null and empty lines too), and so are its fields. event_ms is the header's own time in epoch
     milliseconds, cut off below: no zone means UTC, no year the year of the row's time, no time the row's time (null where that is null).
     level_name is one of trace, debug, info, warn, error, fatal, or '-'; component_name is '-' where the header names none.
-    keep: name -> column expression over df, carried through. Whole lines are read, of any length; repeated rows give repeated results.
+    keep: name -> function from a lookup of df's columns by name to an expression, carried through. Whole lines are read, of any length; repeated rows give repeated results.
     """
     keep = keep or {}
-    src = df.select(
-        F.col(id_col).cast("long").alias("__id"), F.col(ts_col).cast("long").alias("__ts"), F.col(line_col).cast("string").alias("__line"),
-        *[c.alias(f"__keep{k}") for k, c in enumerate(keep.values())],
+    base, at = by_place(df), {c: f"__c{place(df, c)}" for c in (id_col, ts_col, line_col)}
+    src = base.select(
+        F.col(at[id_col]).cast("long").alias("__id"), F.col(at[ts_col]).cast("long").alias("__ts"), F.col(at[line_col]).cast("string").alias("__line"),
+        *[c(lambda name: F.col(f"__c{place(df, name)}")).alias(f"__keep{k}") for k, c in enumerate(keep.values())],
     )
     fields = [T.StructField(n, T.LongType() if t == pa.int64() else T.StringType()) for n, t in _OUT[: 6 if with_message else 5]]
     fields += [T.StructField(name, src.schema[3 + k].dataType) for k, name in enumerate(keep)]
@@ -394,10 +395,8 @@ def assemble_records(df: DataFrame, id_col: str = "entry_id", ts_col: str = "ts_
     lines are left out. line_count is the number of rows of the record. A stream may hold any share of the rows: rows are cut by range of
     (stream, time, id), heads are numbered inside each piece, and only the last head of each piece is carried to later pieces.
     """
-    parsed = parse_entries(
-        df.where(F.trim(F.coalesce(F.col(line_col), F.lit(""))) != ""), id_col, ts_col, line_col,
-        keep={"stream": stream_key(F.col(labels_col)), "ts": F.col(ts_col).cast("long"), "line": F.col(line_col)},
-    )
+    filled = narrow(df, id=id_col, ts=ts_col, line=line_col, labels=labels_col).where(F.trim(F.coalesce("line", F.lit(""))) != "")
+    parsed = parse_entries(filled, "id", "ts", "line", keep={"stream": lambda c: stream_key(c("labels")), "ts": lambda c: c("ts").cast("long"), "line": lambda c: c("line")})
     # Written once: the range partitioner reads it twice, and parsing is the costly part.
     placed = materialize(ordered_pieces(parsed.withColumn("line", F.when(F.col("layout").isNull(), F.col("line"))), "stream", "ts", "entry_id").withColumn("piece", F.spark_partition_id()))
     inside = Window.partitionBy("piece", "stream").orderBy("ts", "entry_id").rowsBetween(Window.unboundedPreceding, 0)

@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from brindle.session import by_place, narrow, place
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -160,7 +162,7 @@ def parse_cells(df: DataFrame, id_col: str, line_col: str) -> DataFrame:
     broken_at: -1 for a line of good form, -2 for a null or blank one, else where the form breaks.
     row_hash tells rows with the same id and different lines apart.
     """
-    src = df.select(F.col(id_col).cast("long").alias("row_id"), F.xxhash64(F.col(line_col)).alias("row_hash"), F.col(line_col).alias("line"))
+    src = narrow(df, row_id=id_col, line=line_col).select(F.col("row_id").cast("long"), F.xxhash64("line").alias("row_hash"), "line")
     return src.mapInArrow(_parse_batches, _PARSED)
 
 
@@ -235,11 +237,9 @@ def split_unparsed(df: DataFrame, id_col: str = "line_id", line_col: str = "line
     like any other. Extra columns, whatever their names, pass through loaded. An empty input gives two empty results.
     """
     errors = find_errors(df, id_col, line_col, rules)
-    tagged = df.withColumn("__row_id", F.col(id_col).cast("long")).withColumn("__row_hash", F.xxhash64(F.col(line_col)))
-    loaded = tagged.join(
-        errors.select("row_id", "row_hash"),
-        tagged["__row_id"].eqNullSafe(errors["row_id"]) & tagged["__row_hash"].eqNullSafe(errors["row_hash"]),
-        "left_anti",
-    ).drop("__row_id", "__row_hash")
+    i, line = (f"__c{place(df, c)}" for c in (id_col, line_col))
+    keys = errors.select(F.col("row_id").alias("__e_id"), F.col("row_hash").alias("__e_hash"))
+    same = F.col(i).cast("long").eqNullSafe(F.col("__e_id")) & (F.xxhash64(F.col(line)) == F.col("__e_hash"))
+    loaded = by_place(df).join(keys, same, "left_anti").toDF(*df.columns)
     rejected = errors.select("row_id", F.inline("reasons"))
     return loaded, rejected

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def local_session(cores: int = 4, shuffle_partitions: int = 8, app: str = "brindle") -> SparkSession:
@@ -38,3 +39,24 @@ def materialize(df: DataFrame) -> DataFrame:
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """The parquet table of that name in a folder of test or production tables."""
     return spark.read.parquet(f"{folder}/{name}.parquet")
+
+
+def place(df: DataFrame, name: str) -> int:
+    """Position of the column of that name; one that differs in letter case counts only where none is equal."""
+    found = [i for i, n in enumerate(df.columns) if n == name] or [i for i, n in enumerate(df.columns) if n.lower() == name.lower()]
+    if len(found) != 1:
+        raise ValueError(f"{len(found)} columns are named {name}")
+    return found[0]
+
+
+def by_place(df: DataFrame) -> DataFrame:
+    """df with its columns renamed __c0, __c1, ... so that no two names can clash."""
+    return df.toDF(*[f"__c{i}" for i in range(len(df.columns))])
+
+
+def narrow(df: DataFrame, **columns: str) -> DataFrame:
+    """Only the named columns of df, renamed: narrow(df, id="doc_id") has the one column id.
+
+    Columns are found by position, so that others whose names differ in letter case only, or that have the new names, do no harm.
+    """
+    return by_place(df).select(*[F.col(f"__c{place(df, old)}").alias(new) for new, old in columns.items()])
