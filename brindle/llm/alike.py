@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brindle.session import materialize
+from brindle.session import materialize, narrow
 
 #: Counters of the word-frequency sketch that orders words; the order may be any, the sketch makes it nearly rarest first.
 ORDER_CELLS = 1 << 16
@@ -27,10 +27,10 @@ BLOCK_ROWS = 40_000
 def word_sets(df: DataFrame, id_col: str, text_col: str, min_words: int = 1) -> DataFrame:
     """id, words (sorted array of 64-bit word hashes), n, and same (a digest of the set) of each text with at least min_words words.
 
-    Words are runs of a-z and 0-9 after lower-casing, each counted once. Texts without a word are left out, null and empty ones too.
+    Words are runs of a-z and 0-9 after lower-casing, each counted once. Texts without a word are left out, null and empty ones too, and so are rows without an id.
     """
     # A text of k different words has at least 2k - 1 characters: short ones need no splitting.
-    src = df.where(F.length(text_col) >= 2 * min_words - 1).select(F.col(id_col).cast("long").alias("id"), F.lower(F.col(text_col)).alias("t"))
+    src = narrow(df, id=id_col, t=text_col).where((F.length("t") >= 2 * min_words - 1) & F.col("id").isNotNull()).select(F.col("id").cast("long"), F.lower("t").alias("t"))
     words = F.array_distinct(F.filter(F.split("t", "[^a-z0-9]+"), lambda x: x != ""))
     sets = src.select("id", F.sort_array(F.transform(words, lambda w: F.xxhash64(w))).alias("words")).where(F.size("words") >= min_words)
     return sets.select("id", "words", F.size("words").alias("n"), F.md5(F.concat_ws(",", F.transform("words", lambda w: w.cast("string")))).alias("same"))
@@ -186,7 +186,8 @@ def similar_sets(reps: DataFrame, percent: int) -> DataFrame:
         .withColumn("x", F.least("block", "other"))
         .withColumn("y", F.greatest("block", "other"))
     )
-    found = placed.groupBy("route", "x", "y").applyInArrow(_merge(num, den), "id_a bigint, id_b bigint").distinct()
+    # As many tasks as routes, however few bytes they read: the work grows faster than the bytes.
+    found = placed.repartition(routes, "route", "x", "y").groupBy("route", "x", "y").applyInArrow(_merge(num, den), "id_a bigint, id_b bigint").distinct()
     side = lambda s: reps.select(F.col("id").alias(f"id_{s}"), F.col("words").alias(f"words_{s}"))
     pairs = found.join(side("a"), "id_a").join(side("b"), "id_b").select("id_a", "id_b", "words_a", "words_b")
     return pairs.mapInArrow(_probe(num, den), "id_a bigint, id_b bigint, shared int")

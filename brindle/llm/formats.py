@@ -15,6 +15,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from brindle.session import narrow
+
 #: The marks that writings of one query differ in, besides white space and letter case.
 MARKS = "\"`',;"
 _IGNORED = re.compile(rf"[\s\x1c-\x1f{MARKS}]+")
@@ -81,9 +83,9 @@ def _coder(fields_of: Callable[[str], list[str]]):
     return run
 
 
-def encode_records(df: DataFrame, text_col: str, keep: dict, fields_of: Callable[[str], list[str]] = query_fields) -> DataFrame:
-    """code (sorted array of field-value integers) of each row with a text, and the columns of keep (name -> expression over df)."""
-    src = df.where(F.col(text_col).isNotNull()).select(F.col(text_col).alias("__text"), *[c.alias(n) for n, c in keep.items()])
+def encode_records(df: DataFrame, text_col: str, keep: dict[str, str], fields_of: Callable[[str], list[str]] = query_fields) -> DataFrame:
+    """code (sorted array of field-value integers) of each row with a text, and the columns of keep (new name -> name in df)."""
+    src = narrow(df, __text=text_col, **keep).where("__text is not null")
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema.fields[1:])
     return src.mapInArrow(_coder(fields_of), f"code array<bigint>, {kept}")
 
@@ -95,13 +97,13 @@ def collapse_formats(df: DataFrame, id_col: str = "query_id", text_col: str = "q
     as copies each. Whole texts count. Extra columns are ignored. An empty table gives no rows. A hot record costs one row per
     input partition, as copies are pre-aggregated.
     """
-    coded = encode_records(df, text_col, {"id": F.col(id_col).cast("long"), "n": F.col(count_col)})
+    coded = encode_records(df, text_col, {"id": id_col, "n": count_col})
     return coded.groupBy("code").agg(F.min("id").alias("first_id"), F.count(F.lit(1)).alias("copies"), F.sum("n").alias("total")).select("first_id", "copies", "total", F.size("code").alias("n_fields"))
 
 
 def format_copies(df: DataFrame, id_col: str = "query_id", text_col: str = "query_text") -> DataFrame:
     """first_id, id: every copy of a record but the one with the smallest id. Cases as in collapse_formats."""
-    coded = encode_records(df, text_col, {"id": F.col(id_col).cast("long")})
+    coded = encode_records(df, text_col, {"id": id_col})
     # A record's rows meet one row of its group; a hot record's side is split by adaptive skew handling, as that row can go to every part.
     groups = coded.groupBy("code").agg(F.min("id").alias("first_id"), F.count(F.lit(1)).alias("n")).where("n > 1").select("code", "first_id")
     return coded.join(groups, "code").where(F.col("id") > F.col("first_id")).select("first_id", "id")

@@ -47,7 +47,7 @@ def mix_sources(
     never cut or sampled beyond what the rates say. An empty table gives no mix and shares of 0.
     """
     # Three narrow columns; written, as encoding is the costly part and both results read it.
-    sized = materialize(count_tokens(docs, text_col, {"doc_id": F.col(id_col), "source": F.col(source_col)}, path))
+    sized = materialize(count_tokens(docs, text_col, {"doc_id": id_col, "source": source_col}, path))
     # One row for each target; materialized before it is broadcast, so that the size is that of the targets table.
     rates = materialize(source_rates(sized, targets, total_tokens))
     small = rates.count() <= 10_000

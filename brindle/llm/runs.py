@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from brindle.operators.ordering import ordered_pieces, stream_key
-from brindle.session import materialize
+from brindle.session import materialize, narrow
 
 #: Characters other than the space that split words.
 SPACE = "".join(map(chr, (*range(9, 14), *range(0x1C, 0x20), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
@@ -142,13 +142,12 @@ def collapse_runs(
     hold any share of the rows: pieces of the range-partitioned order are folded independently, and a run that crosses pieces is joined from
     the two edge runs that each piece keeps, a table of at most two rows per piece.
     """
-    event = canonical_event(line_col)
-    rows = df.where(F.col(ts_col).isNotNull() & F.col(id_col).isNotNull()).select(
-        stream_key(labels_col).alias("stream"),
-        F.col(ts_col).cast("long").alias("ns"),
-        F.col(id_col).cast("long").alias("id"),
-        F.xxhash64(event).alias("event"),
-        F.col(line_col).isNull().alias("none"),
+    rows = narrow(df, id=id_col, ns=ts_col, line=line_col, labels=labels_col).where("ns is not null and id is not null").select(
+        stream_key("labels").alias("stream"),
+        F.col("ns").cast("long"),
+        F.col("id").cast("long"),
+        F.xxhash64(canonical_event("line")).alias("event"),
+        F.col("line").isNull().alias("none"),
     )
     gap_ns = int(gap_s * 1_000_000_000)
     # Long runs and edges only, a small table; written, as it is read twice.

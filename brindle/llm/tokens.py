@@ -13,10 +13,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from brindle.session import narrow
+
 #: Where the public vocabularies lie; a parameter of every function that reads one.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: the pattern that splits texts for this vocabulary.
@@ -132,23 +134,23 @@ def _encoding(ranks, count_only: bool):
     return run
 
 
-def _with_encoding(df: DataFrame, text_col: str, keep: dict[str, Column], name: str, kind: T.DataType, path: str) -> DataFrame:
+def _with_encoding(df: DataFrame, text_col: str, keep: dict[str, str], name: str, kind: T.DataType, path: str) -> DataFrame:
     ranks = df.sparkSession.sparkContext.broadcast(load_ranks(path))
-    src = df.select(F.col(text_col).cast("string").alias("__text"), *[c.alias(f"__{k}") for k, c in enumerate(keep.values())])
+    src = narrow(df, __text=text_col, **{f"__{k}": c for k, c in enumerate(keep.values())}).withColumn("__text", F.col("__text").cast("string"))
     schema = T.StructType([T.StructField("__out", kind), *src.schema.fields[1:]])
     coded = src.mapInArrow(_encoding(ranks, isinstance(kind, T.LongType)), schema)
     return coded.select(*[F.col(f"__{k}").alias(n) for k, n in enumerate(keep)], F.col("__out").alias(name))
 
 
-def encode_texts(df: DataFrame, text_col: str = "text", keep: dict[str, Column] | None = None, path: str = VOCABULARY) -> DataFrame:
-    """The columns of keep (name -> expression over df; doc_id by default) and ids, the token ids of each row's text.
+def encode_texts(df: DataFrame, text_col: str = "text", keep: dict[str, str] | None = None, path: str = VOCABULARY) -> DataFrame:
+    """The columns of keep (new name -> name in df; doc_id by default) and ids, the token ids of each row's text.
 
     One row for each row, repeated ones too. A null or empty text gives an empty list. Whole texts are encoded, of any length, without special tokens.
     No shuffle: every row is encoded where it is read.
     """
-    return _with_encoding(df, text_col, keep or {"doc_id": F.col("doc_id")}, "ids", T.ArrayType(T.IntegerType()), path)
+    return _with_encoding(df, text_col, keep or {"doc_id": "doc_id"}, "ids", T.ArrayType(T.IntegerType()), path)
 
 
-def count_tokens(df: DataFrame, text_col: str, keep: dict[str, Column], path: str = VOCABULARY) -> DataFrame:
+def count_tokens(df: DataFrame, text_col: str, keep: dict[str, str], path: str = VOCABULARY) -> DataFrame:
     """The columns of keep and n_tokens of each row's text, 0 for a null or empty one."""
     return _with_encoding(df, text_col, keep, "n_tokens", T.LongType(), path)
