@@ -92,8 +92,8 @@ def _unwrap(name: str, func: str, sql: str, digits: int | None = None, extra: st
 _values("count_over_time", 'sum by (service_name) (count_over_time({service_name=~".+"} [30d]))', _COUNT, (_ALL,))
 _values("count_over_time_streams", 'count_over_time({service_name=~".+"} |= "ERROR" [30d])', "SELECT service_name, pod, count(*)::DOUBLE AS value FROM within WHERE contains(line, 'ERROR') GROUP BY 1, 2", (_ALL, "pod"))
 _values("bytes_over_time", 'sum by (service_name) (bytes_over_time({service_name=~".+"} [30d]))', "SELECT service_name, sum(octet_length(encode(line)))::DOUBLE AS value FROM within GROUP BY 1", (_ALL,))
-_values("rate", 'sum by (service_name) (rate({service_name=~".+"} [30d]))', f"SELECT service_name, count(*) / {30 * DAY}.0::DOUBLE AS value FROM within GROUP BY 1", (_ALL,), digits=12)
-_values("bytes_rate", 'sum by (pod) (bytes_rate({service_name="view"} [30d]))', f"SELECT pod, sum(octet_length(encode(line))) / {30 * DAY}.0::DOUBLE AS value FROM within WHERE service_name = 'view' GROUP BY 1", ("pod",), digits=12)
+_values("rate", 'sum by (service_name) (rate({service_name=~".+"} [30d]))', f"SELECT service_name, round(count(*) / {30 * DAY}.0::DOUBLE, 12) AS value FROM within GROUP BY 1", (_ALL,), digits=12)
+_values("bytes_rate", 'sum by (pod) (bytes_rate({service_name="view"} [30d]))', f"SELECT pod, round(sum(octet_length(encode(line))) / {30 * DAY}.0::DOUBLE, 12) AS value FROM within WHERE service_name = 'view' GROUP BY 1", ("pod",), digits=12)
 _unwrap("sum_over_time_unwrap", "sum_over_time", "sum(took)::DOUBLE")
 _unwrap("avg_over_time", "avg_over_time", "avg(took)", 9)
 _unwrap("min_over_time", "min_over_time", "min(took)::DOUBLE")
