@@ -21,7 +21,7 @@ from brindle.session import materialize, narrow
 #: Counters of the word-frequency sketch that orders words; the order may be any, the sketch makes it nearly rarest first.
 ORDER_CELLS = 1 << 16
 #: Rows of a route beyond which it is cut into blocks; every pair of blocks is a task of its own.
-BLOCK_ROWS = 40_000
+BLOCK_ROWS = 100_000
 
 
 def word_sets(df: DataFrame, id_col: str, text_col: str, min_words: int = 1) -> DataFrame:
