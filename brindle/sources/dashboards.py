@@ -258,3 +258,63 @@ def ruler_rules(docs: DataFrame, body: str = "body") -> DataFrame:
     kind = F.when(F.col("r.alert").isNotNull(), "alert").when(F.col("r.record").isNotNull(), "record")
     gap = F.when(kind.isNull(), "neither an alert nor a recording rule").when(F.col("r.expr").isNull(), "a rule without an expression")
     return r.select("namespace", "group", F.coalesce("r.alert", "r.record").alias("name"), kind.alias("kind"), F.col("r.expr").alias("expr"), gap.alias("gap"))
+
+
+def stable_union(*lists: DataFrame, by: str = "name") -> DataFrame:
+    """Several readings of a list that may change while it is read: every object once, the first by its whole text where readings differ."""
+    every = lists[0]
+    for x in lists[1:]:
+        every = every.unionByName(x, allowMissingColumns=True)
+    rest = [c for c in every.columns if c != by]
+    return every.groupBy(by).agg(F.min(F.struct(*rest)).alias("o")).select(by, "o.*") if rest else every.distinct()
+
+
+def classify_sources(found: DataFrame, analysed: tuple[str, ...], known: tuple[str, ...]) -> DataFrame:
+    """found with `relevance`: read (a datasource that is analysed), other (all are known and none is), unknown (a gap: it counts as read)."""
+    ds = F.col("datasources")
+    inside = lambda names: F.arrays_overlap(ds, F.array(*map(F.lit, names)).cast("array<string>"))
+    strange = F.size(F.array_except(ds, F.array(*map(F.lit, known)).cast("array<string>"))) > 0
+    return found.withColumn("relevance", F.when(inside(analysed), "read").when(strange, "unknown").otherwise("other"))
+
+
+def without_credentials(url: str) -> str:
+    """A datasource's address without user and password."""
+    return re.sub(r"^([a-z][a-z0-9+.-]*://)[^/@]*@", r"\1", url, flags=re.IGNORECASE)
+
+
+def replace_expressions(docs: DataFrame, rewrites: dict[str, str]) -> DataFrame:
+    """docs with each query of rewrites (old text -> new) replaced wherever it stands as `expr` in a body, and `replaced`, how many were.
+
+    A body is written anew only if something in it is replaced; one that is no JSON stays as it is.
+    """
+    held = dict(rewrites)
+
+    def walk(v: object) -> tuple[object, int]:
+        if isinstance(v, dict):
+            out, n = {}, 0
+            for k, x in v.items():
+                if k == "expr" and isinstance(x, str) and x in held:
+                    out[k], m = held[x], 1
+                else:
+                    out[k], m = walk(x)
+                n += m
+            return out, n
+        if isinstance(v, list):
+            pairs = [walk(x) for x in v]
+            return [x for x, _ in pairs], sum(m for _, m in pairs)
+        return v, 0
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            bodies, counts = [], []
+            for text in b["body"]:
+                try:
+                    new, n = walk(json.loads(text)) if text else (None, 0)
+                except (ValueError, RecursionError):
+                    n = 0
+                bodies.append(json.dumps(new, ensure_ascii=False) if n else text)
+                counts.append(n)
+            yield b.assign(body=bodies, replaced=counts)
+
+    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
+    return docs.mapInPandas(run, f"{kept}, replaced int")

@@ -145,3 +145,38 @@ def test_saved_searches(spark):
     o = spark.createDataFrame([("s1", "p1"), ("s1", "p9"), ("s2", "p1")], "id string, ref_id string")
     p = spark.createDataFrame([("p1", "logs-*")], "pattern_id string, title string")
     assert {r.id: (r.titles, r.unresolved) for r in sa.saved_searches(o, p).collect()} == {"s1": (["logs-*"], True), "s2": (["logs-*"], False)}
+
+
+def test_monitors(spark):
+    docs = [
+        {"name": "m", "inputs": [{"search": {"indices": ["logs-*"], "query": {"query": {"bool": {"filter": [{"range": {"t": {"gte": 1}}}]}}}}}, {"doc_level_input": {"indices": ["a"], "queries": []}}, {"uri": {}}, {"new": {}}]},
+        {"name": "s", "inputs": [{"search": {"indices": ["_all"], "query": {"suggest": {}}}}]},
+    ]
+    df = spark.createDataFrame([(json.dumps(d),) for d in docs] + [("x",), (None,)], "body string")
+    got = {(r.origin, tuple(r.indices), r.query, r.opaque) for r in sa.monitors(df).collect()}
+    assert got == {("monitor:m/0", ("logs-*",), '{"bool": {"filter": [{"range": {}}]}}', False), ("monitor:m/1", ("a",), None, True), ("monitor:m/3", (), None, True), ("monitor:s/0", (), None, True), ("monitor:?", (), None, True)}
+
+
+def test_catalog_scope_and_audit_settings(spark):
+    df = spark.createDataFrame([(["b", "a"], {"x": ["a"]}, None)], "indices array<string>, aliases map<string,array<string>>, data_streams map<string,array<string>>")
+    assert sa.read_catalog(df) == sa.Catalog(("a", "b"), (("x", ("a",)),), ()) and sa.read_catalog(df.limit(0)) == sa.Catalog()
+    docs = spark.createDataFrame([(["c"],), (["c", "d"],), (["d"],), ([],), (None,)], "svc array<string>")
+    assert tuple(sa.verified_scope(docs, "svc", "c").first()) == (2, 2, 1, 2)
+    audit = spark.createDataFrame([(50,), (None,)], "ts_ms long")
+    assert sa.audit_reaches_back(audit, 40, 10).first().covers and not sa.audit_reaches_back(audit, 40, 9).first().covers and not sa.audit_reaches_back(audit.limit(0), 40, 9).first().covers
+    assert [k for k, _ in sa.audit_gaps({"config": {"enabled": True, "audit": {"enable_rest": True, "ignore_users": ["kibanaserver"]}}})] == ["plugins", "transport"]
+    assert len(sa.audit_gaps({"config": {"audit": {"disabled_rest_categories": ["AUTHENTICATED"], "ignore_requests": ["x"]}}})) == 6
+
+
+def test_lists_sources_and_write_back(spark):
+    a = spark.createDataFrame([("x", "1"), ("y", "2")], "name string, v string")
+    b = spark.createDataFrame([("y", "1"), ("z", "3")], "name string, v string")
+    assert {tuple(r) for r in db.stable_union(a, b).collect()} == {("x", "1"), ("y", "1"), ("z", "3")}
+    assert [r.name for r in db.unlisted(b, a, "name").collect()] == ["z"]
+    f = spark.createDataFrame([(["loki1"],), (["prom"],), (["new", "prom"],)], "datasources array<string>")
+    assert [r.relevance for r in db.classify_sources(f, ("loki1",), ("loki1", "prom")).collect()] == ["read", "other", "unknown"]
+    assert db.without_credentials("https://u:p@host/x@y") == "https://host/x@y"
+    docs = spark.createDataFrame([("d", json.dumps(CLASSIC)), ("e", "no json"), ("f", None)], "uid string, body string")
+    got = {r.uid: r for r in db.replace_expressions(docs, {'{a="1"}': "new", "up": "down"}).collect()}
+    assert got["d"].replaced == 3 and json.loads(got["d"].body)["panels"][0]["targets"][0]["expr"] == "new"
+    assert got["e"].body == "no json" and got["f"].body is None
