@@ -319,8 +319,9 @@ def shared_labels(candidates: Sequence[Candidate]) -> set[str]:
 def verdicts(rules: DataFrame, queries: DataFrame, scope_label: str = "service_name", blocks: int = 64) -> DataFrame:
     """rule, query_id, used, counting, exact, witness, reason of every query that isn't excluded by its selector, for each rule.
 
-    rules: id, service, language. queries: query_id, query. A query whose selectors all name services by equality meets only the rules of those, by a join on the
-    service; the others meet every rule: each block of them is held against each rule's row. Null queries and rules are left out; a query that doesn't parse reads everything.
+    rules: id, service, language, and structured where the language is that of a field. queries: query_id, query. A query whose selectors all name services by equality meets only the rules of those, by a join on the
+    service; the others meet every rule: each block of them is held against each rule's row. Null queries and rules without a language are left out; a rule without a service
+    meets every query; a query that doesn't parse reads everything.
     """
     label = scope_label
 
@@ -336,26 +337,40 @@ def verdicts(rules: DataFrame, queries: DataFrame, scope_label: str = "service_n
             yield b.assign(services=out)
 
     known = queries.where("query is not null").select("query_id", "query").mapInPandas(services, "query_id long, query string, services array<string>")
-    r = rules.where("id is not null and language is not null").select("id", "service", "language")
-    named = known.where("services is not null").select("query_id", "query", F.explode("services").alias("service")).join(r, "service").select("id", "service", "language", F.struct("query_id", "query").alias("q"))
+    held = rules.withColumn("structured", F.lit(False)) if "structured" not in rules.columns else rules
+    held = held.where("id is not null and language is not null").select("id", "service", "language", F.coalesce("structured", F.lit(False)).alias("structured"))
+    # Rules that remove the same lines are judged together.
+    r = held.groupBy("service", "language", "structured").agg(F.collect_set("id").alias("ids"))
+    columns = ["ids", "service", "language", "structured"]
+    named = known.where("services is not null").select("query_id", "query", F.explode("services").alias("service")).join(r, "service").select(*columns, F.struct("query_id", "query").alias("q"))
+    anywhere = known.where("services is not null").select("query_id", "query")
     wide = known.where("services is null").select("query_id", "query")
-    block = wide.groupBy(F.pmod(F.xxhash64("query_id"), F.lit(blocks)).alias("block")).agg(F.collect_list(F.struct("query_id", "query")).alias("qs"))
-    spread = r.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(block, "block").select("id", "service", "language", F.explode("qs").alias("q"))
+    numbered = F.pmod(F.xxhash64("query_id"), F.lit(blocks)).alias("block")
+
+    def in_blocks(some_rules: DataFrame, some_queries: DataFrame) -> DataFrame:
+        block = some_queries.groupBy(numbered).agg(F.collect_list(F.struct("query_id", "query")).alias("qs"))
+        return some_rules.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(block, "block").select(*columns, F.explode("qs").alias("q"))
+
+    # A rule without a service has no label that a query could exclude.
+    spread = in_blocks(r, wide).unionByName(in_blocks(r.where("service is null"), anywhere))
 
     def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = []
-            for rule, service, language, q in zip(b["id"], b["service"], b["language"], b["q"], strict=True):
-                target = Target(rule, ((label, service),), language)
+            for ids, service, language, structured, q in zip(b["ids"], b["service"], b["language"], b["structured"], b["q"], strict=True):
+                target = Target("", ((label, service),) if service is not None else (), language, bool(structured))
                 try:
                     found = [evaluate(s, target) for s in readings(parse(q["query"]))]
+                    used = [v for v in found if v.used]
+                    shown = next((v for v in used if not v.widened), used[0]) if used else found[0] if found else None
+                    if shown is None:
+                        continue
+                    answer = (q["query_id"], bool(used), used[0].counting if used else shown.counting, not shown.widened, shown.witness, shown.reason)
                 except QueryFault as e:
-                    rows.append((rule, q["query_id"], True, True, False, None, f"query does not parse ({e})"))
-                    continue
-                used = [v for v in found if v.used]
-                shown = next((v for v in used if not v.widened), used[0]) if used else found[0] if found else None
-                if shown is not None:
-                    rows.append((rule, q["query_id"], bool(used), used[0].counting if used else shown.counting, not shown.widened, shown.witness, shown.reason))
+                    answer = (q["query_id"], True, True, False, None, f"query does not parse ({e})")
+                except (sx.SyntaxFault, at.Undecided) as e:
+                    answer = (q["query_id"], True, True, False, None, f"language does not compile ({e})")
+                rows += [(i, *answer) for i in ids]
             yield pd.DataFrame(rows, columns=["rule", "query_id", "used", "counting", "exact", "witness", "reason"])
 
     both = named.unionByName(spread)
