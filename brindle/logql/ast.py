@@ -1,4 +1,4 @@
-"""Tree of a LogQL query."""
+"""Tree of a LogQL query. Places in the text (spans) make no difference between equal trees."""
 
 from __future__ import annotations
 
@@ -104,8 +104,8 @@ class LogQuery:
     matchers: tuple[Matcher, ...]
     stages: tuple
     #: Span of the selector and spans of the line filters in the text.
-    selector: tuple[int, int] = (0, 0)
-    filters: tuple[tuple[int, int], ...] = ()
+    selector: tuple[int, int] = field(default=(0, 0), compare=False)
+    filters: tuple[tuple[int, int], ...] = field(default=(), compare=False)
     wrapped: bool = False
 
 
@@ -114,7 +114,7 @@ class Grouping:
     without: bool
     labels: tuple[str, ...]
     #: Whether it was written with parentheses only around nothing.
-    span: tuple[int, int] = (0, 0)
+    span: tuple[int, int] = field(default=(0, 0), compare=False)
 
 
 @dataclass(frozen=True)
@@ -125,7 +125,7 @@ class RangeAgg:
     offset_text: str = ""
     param: float | None = None
     grouping: Grouping | None = None
-    span: tuple[int, int] = (0, 0)
+    span: tuple[int, int] = field(default=(0, 0), compare=False)
 
     @property
     def plain(self) -> bool:
@@ -139,7 +139,7 @@ class VectorAgg:
     inner: object
     param: float | None = None
     grouping: Grouping | None = None
-    span: tuple[int, int] = (0, 0)
+    span: tuple[int, int] = field(default=(0, 0), compare=False)
 
 
 @dataclass(frozen=True)

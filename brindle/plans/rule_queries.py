@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from brindle.logql.compile import LogStore
+from brindle.operators import decide, mining, querylog
 from brindle.operators import enforce as en
-from brindle.operators import mining, querylog
 from brindle.operators.mining import LineRule
 from brindle.plans.logql_queries import AT, BASE, DAY
 from brindle.sources.logs import NS, events_as_logs, synthetic_logs
@@ -171,9 +172,31 @@ def removed_per_day(spark: SparkSession, d: str) -> DataFrame:
     return m.select("rule", F.round(per_day("bytes"), 6).alias("bytes_per_day"), F.round(mining.monthly_cost(per_day("bytes"), per_day("lines"), 0.5, 2.0), 7).alias("cost"))
 
 
+def rollup_xyz_equals_original(spark: SparkSession, d: str) -> DataFrame:
+    """A count over lines and rollup records, rewritten, equals the count over the lines before they were rolled up."""
+    rolled = [LineRule("r-purchase", "purchase", _LANG.replace("{}", "purchase"), "rollup")]
+    done = en.enforce(_records(spark, d), rolled, ("service", "pod"))
+    labels = F.create_map(F.lit("service_name"), F.col("service"), F.lit("pod"), F.col("pod"))
+    raw = done.kept.select(labels.alias("labels"), "ts_ns", F.col("text").alias("line"), F.lit(None).cast("map<string,string>").alias("metadata"))
+    meta = F.create_map(F.lit(decide.RULE_LABEL), F.col("rule"), F.lit(decide.COUNT_LABEL), F.col("dedup_count").cast("string"))
+    records = done.records.select(labels.alias("labels"), "ts_ns", F.col("text").alias("line"), meta.alias("metadata"))
+    rule = decide.Target("r-purchase", (("service_name", "purchase"),), rolled[0].language)
+    query, _ = decide.rewrite_counts('sum by (pod) (count_over_time({service_name="purchase"} |= "purchase" [31d]))', [rule], {"service_name", "pod"})
+    out = LogStore(raw.unionByName(records), metadata="metadata").instant(query, AT * NS)
+    return out.select(F.col("labels")["pod"].alias("pod"), "value")
+
+
+def canonical_queries(spark: SparkSession, d: str) -> DataFrame:
+    """Executed queries in one writing each: whitespace, quoting, outer parentheses and offsets make no difference."""
+    q = table(spark, d, "executed_queries").where("query_text is not null").select(F.col("query_text").alias("query"), F.coalesce("exec_count", F.lit(0)).cast("long").alias("n"))
+    forms = querylog.with_forms(q.groupBy("query").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("writings")))
+    return forms.groupBy("canonical").agg(F.min("query").alias("query"), F.sum("n").alias("n"), F.sum("writings").alias("writings"), F.first(F.size("selections")).alias("selections"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
+        rollup_xyz_equals_original, canonical_queries,
         rule_measure, severity_guard, drop_rule, aggregate_counter, sample_hash_10pct, sample_hash_short, dedupe_batch, dedupe_tumbling, rollup_records, archive_split, keep_streams, drift, reconcile, stratified_sample,
         drain_templates, infer_languages, corpus_totals, querylog_summary, querylog_fold, querylog_merge, removed_per_day,
     )
@@ -183,6 +206,7 @@ _T10 = f"{(1 << 256) * 10 // 100:064x}"
 _KEY = "sha256(line || '|' || ts_ns::VARCHAR)"
 _SLICE = 5 * DAY * NS
 SQL = {
+    "rollup_xyz_equals_original": f"WITH {BASE} SELECT pod, count(*)::DOUBLE AS value FROM logs WHERE service_name = 'purchase' GROUP BY 1",
     "rule_measure": f"{_TAGGED} SELECT hit AS rule, count(*) AS lines, sum(octet_length(encode(line)))::BIGINT AS bytes FROM tagged WHERE hit IS NOT NULL GROUP BY 1",
     "severity_guard": f"{_TAGGED} SELECT hit, count(*) AS guarded FROM tagged WHERE hit IS NOT NULL AND pod = 'pod-3' GROUP BY 1",
     "drop_rule": f"{_TAGGED} SELECT service_name AS service, pod, ts_ns, line AS text FROM tagged WHERE rule IS NULL OR (rule = 'r-click' AND {_KEY} < '{_T10}')",
