@@ -362,50 +362,62 @@ def quote(text: str) -> str:
 
 # --- Printer ---------------------------------------------------------------------------------------------------------
 
+_W = "[0-9A-Z\\x{5f}a-z]"
+_ASCII_WORD = rf"(?:(?<={_W})(?!{_W})|(?<!{_W})(?={_W}))"
+_ASCII_NO_WORD = rf"(?:(?<={_W})(?={_W})|(?<!{_W})(?!{_W}))"
+
+
+@dataclass(frozen=True)
+class Dialect:
+    """How an engine writes what engines read differently; the rest is written alike, classes as ranges of code points."""
+
+    line_begin: str
+    line_end: str
+    word: str
+    not_word: str
+    nothing: str = r"[^\x{0}-\x{10ffff}]"
+    text_begin: str = r"\A"
+    text_end: str = r"\z"
+
+
+JAVA = Dialect(r"(?:\A|(?<=\x{a}))", r"(?=\x{a}|\z)", _ASCII_WORD, _ASCII_NO_WORD)
+RUST = Dialect("(?m:^)", "(?m:$)", r"(?-u:\b)", r"(?-u:\B)")
+ONIGMO = Dialect("^", "$", _ASCII_WORD, _ASCII_NO_WORD, "(?!)")
+
 
 def _point(c: int) -> str:
     ch = chr(c)
     return ch if ch.isascii() and ch.isalnum() else f"\\x{{{c:x}}}"
 
 
-def _java_class(ranges: Ranges) -> str:
+def _class(ranges: Ranges, d: Dialect) -> str:
     if ranges == cs.ANY:
         return r"[\x{0}-\x{10ffff}]"
     if len(ranges) == 1 and ranges[0][0] == ranges[0][1]:
         return _point(ranges[0][0])
     if not ranges:
-        return r"[^\x{0}-\x{10ffff}]"
+        return d.nothing
     body = lambda rs: "".join(_point(a) if a == b else f"{_point(a)}-{_point(b)}" for a, b in rs)
     other = cs.negate(ranges)
     return f"[^{body(other)}]" if other and len(other) < len(ranges) else f"[{body(ranges)}]"
 
 
-_W = "[0-9A-Z\\x{5f}a-z]"
-_JAVA_ASSERT = {
-    "text_begin": r"\A",
-    "text_end": r"\z",
-    "line_begin": r"(?:\A|(?<=\x{a}))",
-    "line_end": r"(?=\x{a}|\z)",
-    "word": rf"(?:(?<={_W})(?!{_W})|(?<!{_W})(?={_W}))",
-    "not_word": rf"(?:(?<={_W})(?={_W})|(?<!{_W})(?!{_W}))",
-}
-
-
-def to_java(node, capture: bool = True) -> str:
-    """The expression for java.util.regex; flags are spelled out, so that none has to be set."""
+def print_for(node, d: Dialect, capture: bool = True) -> str:
+    """The expression in an engine's dialect; flags are spelled out, so that none has to be set."""
+    again = lambda n: print_for(n, d, capture)
     if isinstance(node, Empty):
         return "(?:)"
     if isinstance(node, Chars):
-        return _java_class(node.ranges)
+        return _class(node.ranges, d)
     if isinstance(node, Assert):
-        return _JAVA_ASSERT[node.kind]
+        return getattr(d, node.kind)
     if isinstance(node, Group):
-        return f"({to_java(node.part, capture)})" if capture else f"(?:{to_java(node.part, capture)})"
+        return f"({again(node.part)})" if capture else f"(?:{again(node.part)})"
     if isinstance(node, Concat):
-        return "".join(f"(?:{to_java(p, capture)})" if isinstance(p, Alt | Concat) else to_java(p, capture) for p in node.parts)
+        return "".join(f"(?:{again(p)})" if isinstance(p, Alt | Concat) else again(p) for p in node.parts)
     if isinstance(node, Alt):
-        return "|".join(to_java(p, capture) for p in node.parts)
-    inner = to_java(node.part, capture)
+        return "|".join(map(again, node.parts))
+    inner = again(node.part)
     if not isinstance(node.part, Chars | Group):
         inner = f"(?:{inner})"
     count = {(0, None): "*", (1, None): "+", (0, 1): "?"}.get((node.low, node.high))
@@ -414,6 +426,20 @@ def to_java(node, capture: bool = True) -> str:
     return inner + count + ("" if node.greedy else "?")
 
 
+def to_java(node, capture: bool = True) -> str:
+    return print_for(node, JAVA, capture)
+
+
+def rust(text: str) -> str:
+    """The expression for Rust's regex crate."""
+    return print_for(parse(text), RUST)
+
+
+def onigmo(text: str) -> str:
+    """The expression for Onigmo with Ruby's syntax; white space is escaped, as some configurations split at it."""
+    return print_for(parse(text), ONIGMO)
+
+
 def backtracks_deeply(node) -> bool:
     """Whether java.util.regex recurses once for each turn of a loop: a repeated part that is more than one class.
 

@@ -143,3 +143,9 @@ def test_case_folding():
     p = at.compile("(?i)k")
     assert all(at.matches(p, c) for c in "kKK") and not at.matches(at.compile("(?i)i"), "İ")
     assert sx.group_names(sx.parse("(?P<a>x)(y)(?:z(?<b>w))")) == ["a", None, "b"]
+
+
+def test_other_dialects():
+    assert sx.rust(r"^a b$\b") == r"\Aa\x{20}b\z(?-u:\b)" and sx.onigmo(r"(?m)^a$") == "^a$" and sx.rust(r"(?m)^a$") == "(?m:^)a(?m:$)"
+    assert sx.rust("(?i)k") == sx.onigmo("(?i)k") == r"[Kk\x{212a}]"
+    assert sx.rust("a{2,3}?(b|c*)") == "a{2,3}?(b|c*)" and sx.onigmo(r"[^\x00-\x{10FFFF}]") == "(?!)"
