@@ -469,7 +469,7 @@ class LogStore:
     def __init__(self, df: DataFrame, labels: str = "labels", ts_ns: str = "ts_ns", line: str = "line", metadata: str | None = None):
         base = F.coalesce(F.col(labels), no_labels())
         every = merged(base, F.coalesce(F.col(metadata), no_labels())) if metadata else base
-        self.rows = df.select(F.col(ts_ns).cast("long").alias("ts_ns"), base.alias("stream"), every.alias("labels"), F.coalesce(F.col(line), F.lit("")).alias("line"), F.lit(None).cast("string").alias("err"))
+        self.rows = df.select(F.col(ts_ns).cast("long").alias("ts_ns"), base.alias("stream"), every.alias("labels"), F.col(line).alias("line"), F.lit(None).cast("string").alias("err"))
 
     # Reads
 
@@ -521,8 +521,16 @@ class LogStore:
         df = self._range(self.rows, start, end, half_open)
         for m in q.matchers:
             df = df.where(matcher_condition(F.col("stream"), m))
-        rows = _Rows(df)
+        # Texts that a line must hold are asked of the column as it is stored, so that the scan can skip by them; a null line holds none.
+        stages = list(q.stages)
         for s in q.stages:
+            if not isinstance(s, ast.LineFilter):
+                break
+            if not s.negated and all(k == "contains" and t for k, t in s.alternatives):
+                df = df.where(line_condition(F.col("line"), s))
+                stages.remove(s)
+        rows = _Rows(df.withColumn("line", F.coalesce("line", F.lit(""))))
+        for s in stages:
             rows.apply(s)
         return rows.df
 

@@ -165,3 +165,14 @@ def test_metadata_is_no_stream_label(spark):
     s = LogStore(df, metadata="meta")
     assert s.logs('{trace="t1", app="a"}').count() == 0 and s.logs('{app="a"} | trace="t1"').count() == 1
     assert [r.name for r in s.label_names('{app="a"}', 0, 2 * S).collect()] == ["app"]
+
+
+def test_required_texts_reach_the_scan(spark, tmp_path):
+    spark.createDataFrame([({"a": "b"}, S, "x took 1"), ({"a": "b"}, S, None)], "labels map<string,string>, ts_ns long, line string").write.parquet(str(tmp_path / "logs"))
+    s = LogStore(spark.read.parquet(str(tmp_path / "logs")))
+    df = s.instant('sum(count_over_time({a="b"} |= "took" != "y" |= "x" [1h]))', 100 * S)
+    spark.conf.set("spark.sql.maxMetadataStringLength", 2000)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "StringContains(line,took)" in plan and "StringContains(line,x)" in plan and "GreaterThan(ts_ns" in plan
+    assert [r.value for r in df.collect()] == [1.0]
+    assert s.logs('{a="b"} |= ""').count() == 2
