@@ -81,6 +81,28 @@ def grouped(k: Column, names: tuple[str, ...], without: bool) -> Column:
     return F.filter(k, lambda e: ~e["key"].isin(*names) if without else e["key"].isin(*names))
 
 
+def key_pairs(labels: Column, groupings: list[ast.Grouping]) -> Column:
+    """Pairs of a label map that are left by groupings, one after the other.
+
+    Where the groupings name the labels that stay, only those are looked up: no map is unfolded or sorted, and unused columns are pruned.
+    """
+    names: set[str] | None = None
+    for g in groupings:
+        if not g.without:
+            names = set(g.labels) if names is None else names & set(g.labels)
+        elif names is not None:
+            names -= set(g.labels)
+    if names is None:
+        k = pairs(labels)
+        for g in groupings:
+            k = grouped(k, g.labels, g.without)
+        return k
+    if not names:
+        return F.array().cast(_PAIRS)
+    asked = F.array(*[F.struct(F.lit(n).alias("key"), label(labels, n).alias("value")) for n in sorted(names)])
+    return F.filter(asked, lambda e: e["value"] != "")
+
+
 def pair_value(k: Column, name: str) -> Column:
     return F.coalesce(F.get(F.filter(k, lambda e: e["key"] == name), F.lit(0))["value"], F.lit(""))
 
@@ -590,12 +612,7 @@ class LogStore:
             raise QueryFault(f"{n.func} needs unwrap")
         if n.func == "quantile_over_time" and n.param is None:
             raise QueryFault("quantile_over_time needs a parameter")
-        grouping = n.grouping
-        k = pairs(F.col("labels"))
-        if grouping is not None:
-            k = grouped(k, grouping.labels, grouping.without)
-        if sum_by is not None:
-            k = grouped(k, sum_by.labels, sum_by.without)
+        k = key_pairs(F.col("labels"), [g for g in (n.grouping, sum_by) if g is not None])
         df = df.where(F.col("err").isNull()) if unwrapped or n.func != "absent_over_time" else df
         v = F.col("sample") if unwrapped else F.lit(1.0)
         df = df.select("ts_ns", k.alias("k"), v.alias("v"), F.octet_length("line").cast("double").alias("bytes"))
