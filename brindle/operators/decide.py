@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from brindle.logql import ast
 from brindle.logql.syntax import QueryFault, canonical, go_quote, parse, quote
 from brindle.operators.enforce import SEVERE
-from brindle.operators.usage import Reading, Target, covers, evaluate, has_variable, reading
+from brindle.operators.usage import Reading, Target, covers, evaluate, named_values, reading
 from brindle.relang import automaton as at
 from brindle.relang import syntax as sx
 
@@ -319,7 +319,7 @@ def shared_labels(candidates: Sequence[Candidate]) -> set[str]:
 def verdicts(rules: DataFrame, queries: DataFrame, scope_label: str = "service_name", blocks: int = 64) -> DataFrame:
     """rule, query_id, used, counting, exact, witness, reason of every query that isn't excluded by its selector, for each rule.
 
-    rules: id, service, language, and structured where the language is that of a field. queries: query_id, query. A query whose selectors all name services by equality meets only the rules of those, by a join on the
+    rules: id, service, language, and structured where the language is that of a field. queries: query_id, query. A query whose selectors all name services, by equality or by an alternation of names, meets only the rules of those, by a join on the
     service; the others meet every rule: each block of them is held against each rule's row. Null queries and rules without a language are left out; a rule without a service
     meets every query; a query that doesn't parse reads everything.
     """
@@ -330,8 +330,8 @@ def verdicts(rules: DataFrame, queries: DataFrame, scope_label: str = "service_n
             out = []
             for text in b["query"]:
                 try:
-                    found = [[m.value for m in q.matchers if m.label == label and m.op == "=" and not has_variable(m.value)] for q, _ in parse(text).logs]
-                    out.append(sorted({v for f in found for v in f}) if all(found) else None)
+                    found = [next((v for m in q.matchers if m.label == label and (v := named_values(m)) is not None), None) for q, _ in parse(text).logs]
+                    out.append(sorted({v for f in found for v in f}) if all(f is not None for f in found) else None)
                 except QueryFault:
                     out.append(None)
             yield b.assign(services=out)

@@ -55,6 +55,11 @@ def test_exact_verdicts_have_witnesses_and_widened_ones_say_why():
     assert verdict(f"rate({C}[1m])", HEALTH).counting and not verdict(C, HEALTH).counting
 
 
+def test_named_values():
+    m = lambda q: us.named_values(parse(q).root.matchers[0])
+    assert m('{a="x"}') == ["x"] and m('{a=~"ab-c|d.*"}') is None and m('{a=~"ab-c|(?:de)|f"}') == ["ab-c", "de", "f"] and m('{a=~"a.c"}') is None and m('{a="$x"}') is None and m('{a=~"(?i)ab"}') is None and m('{a!="x",b="y"}') is None
+
+
 def test_substring_stores_widen():
     s = de.readings(parse(C + ' |~ "heart.*(?:beat|x)"'))[0]
     assert not us.evaluate(s, HEALTH).used and us.evaluate(s, HEALTH, True).used
