@@ -3,7 +3,8 @@
 A text is cut into units (lines and sentences, without markup). Units whose form says it all are cases by themselves: slots in a syntax of
 template languages, lines of filler, error pages and notices standing as such. Units in a form that reviewers use too (brackets,
 braces, hashes) are aligned with the records of the same template: a slot is one where it keeps a name that is a variable's name in other
-records, or where its unit with the slots blanked is that of other records. Short units that only look like an error page are cases where they
+records, or where its unit with the slots blanked is that of other records with slots, or where other records fill its position with values that
+vary; there a blank or a default is a slot as well. Short units that only look like an error page are cases where they
 recur as the whole text of several records.
 """
 
@@ -148,7 +149,89 @@ _HINT = re.compile(rf"{_REASON}|[45]\d\d|{_SCRIPTS.pattern}|{_COOKIES.pattern}",
 _CAPITAL = re.compile(r"\s(?=[^\W\d_a-zß-öø-ÿ]|[¡¿])")
 _VARYING = re.compile(r"\b(?=\w*\d)[\w-]+\b")
 
-CERTAIN, ALIGNED, WHOLE, WITHIN, EVIDENCE = "certain", "aligned", "whole", "within", "evidence"
+CERTAIN, ALIGNED, WHOLE, WITHIN, EVIDENCE, TEMPLATE, FIRST = "certain", "aligned", "whole", "within", "evidence", "template", "first"
+
+# --- Alignment -------------------------------------------------------------------------------------------------------
+
+#: Values that stand for none; they count only at a position that other records fill.
+_DEFAULT = re.compile(
+    r"(?<![\w/])(?:n/a|null|none|nil|nan|undefined|unknown|tbd|default|(?:your|the|my)\s+(?:product|item|brand|shop|store|city)(?:\s+name)?\s+here|(?:product|item|brand|shop|store|city|first|last|customer|user)[ _]name"
+    r"|valued\s+customer|xxx+|\?{3,})(?![\w/])",
+    re.IGNORECASE,
+)
+#: A gap where a value was left out: a line of underscores, two spaces in a row, a space before a comma or full stop.
+_GAP = re.compile(r"(?<![^\W_])_{2,}(?![^\W_])|(?<=\S) {2,}(?=\w)|(?<=\w) +(?=[,.](?:\s|$))")
+_WORD = re.compile(r"\w+")
+#: What a unit must hold for a slot, and for a default, to be worth a search.
+_MARK = re.compile(r"[\[{<$%@#_(]")
+_DEFAULT_PARTS = ("n/a", "null", "none", "nil", "nan", "undefined", "unknown", "tbd", "default", " here", "name", "valued", "xxx", "???")
+#: Words of an anchor at most, and bits of the filter that anchors are looked up in.
+_ANCHOR, _BITS = 4, 1 << 20
+
+
+def _key(text: str) -> int:
+    k = xxhash.xxh64_intdigest(text.encode("utf-8", "replace"))
+    return k - (1 << 64) if k >> 63 else k
+
+
+def _plain(unit: str) -> str:
+    return " ".join(unit.lower().split())
+
+
+def _gapped(unit: str) -> str | None:
+    """The unit with its gaps shown as values of their own; None where it has none."""
+    if not _GAP.search(unit):
+        return None
+    return re.sub("\x01 (?=[,.])", "\x01", _plain(_GAP.sub(" \x01 ", unit)))
+
+
+def templates_in(unit: str) -> set[str]:
+    """Templates that the unit may be made from: the unit with its slots, its defaults or its gaps cut out."""
+    marked, gaps = _MARK.search(unit), _GAP.search(unit)
+    plain = _plain(unit)
+    defaults = any(map(plain.__contains__, _DEFAULT_PARTS))
+    if not (marked or gaps or defaults):
+        return set()
+    out, slots = set(), _WEAK.sub("\0", _STRONG.sub("\0", plain)) if marked else plain
+    out.add(slots)
+    if defaults:
+        out |= {_DEFAULT.sub("\0", slots), _DEFAULT.sub("\0", plain)}
+    if gaps and (gapped := _gapped(unit)):
+        out.add((_WEAK.sub("\0", _STRONG.sub("\0", gapped)) if marked else gapped).replace("\x01", "\0"))
+    # Two words at least tell a template from a common turn.
+    return {t for t in out if "\0" in t and "\0\0" not in t and sum(len(w) > 1 for w in _WORD.findall(t)) >= 2}
+
+
+def _anchor(template: str) -> str:
+    """The first words of the template's longest text between slots; every unit made from the template holds them."""
+    words = max((_WORD.findall(x) for x in template.split("\0")), key=lambda w: sum(map(len, w)))
+    return " ".join(words[:_ANCHOR])
+
+
+def values_of(template: str, form: str) -> list[str] | None:
+    """What stands in the template's slots where the form is made from it; each text between them is taken where it first occurs."""
+    first, *middle, last = template.split("\0")
+    if not form.startswith(first) or not form.endswith(last) or len(form) <= len(first) + len(last):
+        return None
+    out, at, end = [], len(first), len(form) - len(last)
+    for x in middle:
+        k = form.find(x, at + 1, end)
+        if k < 0:
+            return None
+        out.append(form[at:k])
+        at = k + len(x)
+    return [*out, form[at:end]] if at < end else None
+
+
+def _state(value: str) -> str:
+    """What a value is: filled, or a name, gap or default that was left; '' where it tells nothing."""
+    if value == "\x01":
+        return "gap"
+    if _STRONG.fullmatch(value) or len(value) > 3 and _WEAK.fullmatch(value):
+        return "name"
+    if _DEFAULT.fullmatch(value):
+        return "default"
+    return "" if "\x01" in value or not re.search(r"\w", value) or re.search(r"[\[\]{}<>]", value) else "filled"
 
 
 def without_markup(text: str) -> str:
@@ -183,19 +266,20 @@ def signals(text: str | None) -> list[tuple[str, str, str]]:
     hinted = (status or any(map(low.__contains__, _HINT_PARTS))) and _HINT.search(clean) is not None
     looks = (status or any(map(low.__contains__, _LOOK_PARTS))) and _LOOKS.search(clean) is not None
     for u in units:
-        strong = list(_STRONG.finditer(u))
-        rest = _STRONG.sub("\0", u)
-        weak = list(_WEAK.finditer(rest))
-        # Several slots in one unit show each other to be slots.
-        several = len({_name(m) for m in weak}) > 1
-        if strong or several:
+        marked = _MARK.search(u)
+        strong = list(_STRONG.finditer(u)) if marked else []
+        rest = _STRONG.sub("\0", u) if strong else u
+        weak = list(_WEAK.finditer(rest)) if marked else []
+        for t in templates_in(u):
+            found.add((TEMPLATE, "slot", t))
+        if strong:
             found.add((CERTAIN, "slot", ""))
-            for m in [*strong, *weak] if several else strong:
+            for m in strong:
                 if n := _name(m):
                     found.add((EVIDENCE, "slot", "n:" + n))
         if strong or weak:
             shape = "s:" + _WEAK.sub("\0", rest).lower()
-            if strong or several:
+            if strong:
                 found.add((EVIDENCE, "slot", shape))
             for m in weak:
                 found.add((ALIGNED, "slot", "n:" + _name(m)))
@@ -227,27 +311,102 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, rows = b.column(0).to_pylist(), []
         for i, text in zip(ids, b.column(1).to_pylist(), strict=True):
             for strength, kind, key in signals(text):
-                k = xxhash.xxh64_intdigest(key.encode("utf-8", "replace"))
-                rows.append((i, strength, kind, k - (1 << 64) if k >> 63 else k))
-        cols = zip(*rows, strict=True) if rows else ((), (), (), ())
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.string(), pa.string(), pa.int64()), strict=True)], ["id", "strength", "kind", "key"])
+                if strength == TEMPLATE:
+                    anchor = _anchor(key)
+                    rows += [(i, FIRST, kind, _key(anchor.partition(" ")[0]), None), (i, TEMPLATE, kind, _key(anchor), key)]
+                else:
+                    rows.append((i, strength, kind, _key(key), None))
+        yield _batch(rows, {"id": pa.int64(), "strength": pa.string(), "kind": pa.string(), "key": pa.int64(), "template": pa.string()})
+
+
+def _batch(rows: list[tuple], schema: dict[str, pa.DataType]) -> pa.RecordBatch:
+    cols = zip(*rows, strict=True) if rows else ((),) * len(schema)
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, schema.values(), strict=True)], list(schema))
+
+
+def _forms(bits: bytes):
+    """Scan for the units that hold an anchor: id, key, form."""
+
+    def held(key: int) -> int:
+        bit = key % _BITS
+        return bits[bit >> 3] >> (bit & 7) & 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows: list[tuple] = []
+            first: dict[str, int] = {}
+            for i, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                if text is None or not text.strip():
+                    continue
+                seen = set()
+                for u in _units(without_markup(text))[0]:
+                    for form in {_plain(u), _gapped(u)} - {None}:
+                        words = _WORD.findall(form)
+                        for k, w in enumerate(words):
+                            if (starts := first.get(w)) is None:
+                                starts = first[w] = held(_key(w))
+                            for n in range(1, min(_ANCHOR, len(words) - k) + 1) if starts else ():
+                                key = _key(" ".join(words[k : k + n]))
+                                if held(key) and (key, form) not in seen:
+                                    seen.add((key, form))
+                                    rows.append((i, key, form))
+            yield _batch(rows, {"id": pa.int64(), "key": pa.int64(), "form": pa.string()})
+
+    return run
+
+
+def _align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        rows: list[tuple] = []
+        for i, form, template in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
+            if form == re.sub(r" (?=[,.])", "", " ".join(template.replace("\0", "").split())):
+                rows.append((i, _key(template), -1, "closed", 0))
+            for k, v in enumerate(values_of(template, form) or ()):
+                if state := _state(v):
+                    rows.append((i, _key(template), k, state, _key(v)))
+        yield _batch(rows, {"id": pa.int64(), "template": pa.int64(), "slot": pa.int32(), "state": pa.string(), "value": pa.int64()})
+
+
+def _induced(texts: DataFrame, marks: DataFrame, min_records: int) -> DataFrame | None:
+    """id, kind of records that keep a name, gap or default where at least min_records others of the template hold values that vary."""
+    templates = materialize(marks.where(F.col("strength") == TEMPLATE).select("key", "template").distinct())
+    bits = bytearray(_BITS >> 3)  # a filter of one size, however many templates there are
+    looked_up = marks.where(F.col("strength").isin(TEMPLATE, FIRST)).select(F.pmod("key", F.lit(_BITS)).cast("int"))
+    for (bit,) in looked_up.distinct().collect():
+        bits[bit >> 3] |= 1 << (bit & 7)
+    if not any(bits):
+        return None
+    forms = texts.mapInArrow(_forms(bytes(bits)), "id long, key long, form string")
+    aligned = materialize(forms.join(templates, "key").select("id", "form", "template").mapInArrow(_align, "id long, template long, slot int, state string, value long"))
+    filled = aligned.where("state = 'filled'").groupBy("template", "slot").agg(F.count_distinct("id").alias("n"), F.count_distinct("value").alias("values"))
+    open_slots = filled.where((F.col("n") >= min_records) & (F.col("values") > 1)).select("template", "slot")
+    left = aligned.where("state in ('name', 'gap', 'default')").join(open_slots, ["template", "slot"], "left_semi")
+    # A gap is none where the sentence is whole without a value.
+    closed = aligned.where("state = 'closed'").select("template", F.lit("gap").alias("state")).distinct()
+    return left.join(closed, ["template", "state"], "left_anti").select("id", F.lit("slot").alias("kind"))
 
 
 def find_residue(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_records: int = 3) -> DataFrame:
     """id, kinds (of 'slot', 'filler', 'error', 'notice', 'page'): one row for each record that holds residue.
 
     Null, empty and blank texts are no cases. Whole texts are read. Rows repeated with one id give one row; a null id is kept as one. min_records:
-    how many records must have a short page-like text as their whole text. An empty table gives no rows; other columns are ignored.
+    how many records must show a name or a template in a form that reviewers use too, fill a slot, or have a short page-like text as their whole text.
+    An empty table gives no rows; other columns are ignored.
     """
     # Only units with a signal leave the scan: a small part of any corpus.
-    marks = materialize(narrow(df, id=id_col, text=text_col).select(F.col("id").cast("long"), F.col("text").cast("string")).mapInArrow(_scan, "id long, strength string, kind string, key long"))
+    texts = narrow(df, id=id_col, text=text_col).select(F.col("id").cast("long"), F.col("text").cast("string"))
+    marks = materialize(texts.mapInArrow(_scan, "id long, strength string, kind string, key long, template string"))
     certain = marks.where(F.col("strength") == CERTAIN).select("id", "kind")
-    evidence = marks.where(F.col("strength") == EVIDENCE).select("key").distinct()
+    shown = marks.where(F.col("strength").isin(EVIDENCE, ALIGNED)).groupBy("key").agg(F.count_distinct("id").alias("n"), F.max(F.col("strength") == EVIDENCE).alias("strong"))
+    evidence = shown.where(F.col("strong") & (F.col("n") >= min_records)).select("key")
     aligned = marks.where(F.col("strength") == ALIGNED).join(evidence, "key", "left_semi").select("id", "kind")
     pages = marks.where(F.col("strength").isin(WHOLE, WITHIN)).groupBy("key").agg(F.count(F.when(F.col("strength") == WHOLE, 1)).alias("w"), F.count(F.lit(1)).alias("n"))
     pages = pages.where((F.col("w") >= min_records) & (F.col("w") * 2 >= F.col("n"))).select("key")
     whole = marks.where(F.col("strength") == WHOLE).join(pages, "key", "left_semi").select("id", "kind")
-    return certain.unionByName(aligned).unionByName(whole).groupBy("id").agg(F.array_sort(F.collect_set("kind")).alias("kinds"))
+    found = certain.unionByName(aligned).unionByName(whole)
+    if (induced := _induced(texts, marks, min_records)) is not None:
+        found = found.unionByName(induced)
+    return found.groupBy("id").agg(F.array_sort(F.collect_set("kind")).alias("kinds"))
 
 
 def without_residue(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_records: int = 3) -> DataFrame:

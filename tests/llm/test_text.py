@@ -134,3 +134,18 @@ def test_recurring_pages(spark):
     kept = residue.without_residue(df)
     assert kept.columns == df.columns and sorted(r.text for r in kept.collect()) == sorted(t for i, t in rows if i not in (0, 1, 2))
     assert residue.find_residue(df.limit(0)).count() == residue.without_residue(df.limit(0)).count() == 0
+
+
+def test_slots_are_induced_from_records_of_a_template(spark):
+    filled = [(i, f"Gracias {a}, el {b} llegó a Lima.") for i, (a, b) in enumerate([("Ana", "taladro"), ("Luis", "garden hose"), ("Eva", "horno"), ("Sol", "horno")])]
+    left = [(10, "Gracias [cliente], el horno llegó a Lima."), (11, "Gracias Ana, el  llegó a Lima."), (12, "Gracias null, el taladro llegó a Lima."), (13, "Gracias {cliente}, el [articulo] llegó a Lima.")]
+    # Brackets that stand in every record are the sentence's own; an odd space is no gap where the sentence is whole.
+    own = [(20 + i, f"Model [{x}] fits, model [{y}] does not.") for i, (x, y) in enumerate([("XL", "SM"), ("LL", "MM"), ("XS", "SM"), ("MM", "LL")])]
+    odd = [(30, "The old  lamp is fine here."), (31, "The old lamp is fine here."), *((40 + i, f"The old {x} lamp is fine here.") for i, x in enumerate(["red", "blue", "big"]))]
+    df = spark.createDataFrame([*filled, *left, *own, *odd], "doc_id long, text string")
+    assert {r.id for r in residue.find_residue(df).collect()} == {10, 11, 12, 13}
+
+
+def test_one_record_is_no_evidence(spark):
+    df = spark.createDataFrame([(1, "{{ size }} it is"), (2, "Take [size] of these"), (3, "Model [S] fits, model [M] does not.")], "doc_id long, text string")
+    assert {r.id for r in residue.find_residue(df).collect()} == {1}
