@@ -76,12 +76,14 @@ _REASON = (
     r"(?:bad\s+gateway|forbidden|gateway\s+time-?\s?out|internal\s+server\s+error|(?:page\s+)?not\s+found|service\s+(?:temporarily\s+)?unavailable|too\s+many\s+requests|unauthori[sz]ed|bad\s+request"
     r"|request\s+time-?\s?out|access\s+denied|method\s+not\s+allowed|payload\s+too\s+large)"
 )
+#: Where a message ends: at the end of its unit or before a word with a capital, as it may run into a review without a mark between.
+_END = r"(?:\s*$|(?=\s+(?-i:[^\W\d_a-zß-öø-ÿ]|[¡¿])))"
 _ERROR = re.compile(
     rf"""\s*(?:
-    (?:(?:err(?:or)?|http|status|code|http\s+status|error\s+code)\b\s*[:#]?\s*|http/\d(?:\.\d)?\s+)?[45]\d\d\s*[-–—:/|.,)]*\s*{_REASON}\b.{{0,60}}$
-    |(?:error|http|status)?\s*[:\-–]?\s*{_REASON}\s*(?:[.!]|\(?\s*[45]\d\d\)?|[\s\-–—/|:]|ray\b|trace\b|request\s+id\b|incident\b|ref\b|id\b|\(|[0-9a-f]{{6,}}|\))*$
-    |(?:error|err|http|status|code)\s*[:#]?\s*[45]\d\d\s*[.!)]*$
-    |\{{\s*"?(?:error|status|code|message)"?\s*:\s*.*\}}\s*$
+    (?:(?:err(?:or)?|http|status|code|http\s+status|error\s+code)\b\s*[:#]?\s*|http/\d(?:\.\d)?\s+)?[45]\d\d\s*[-–—:/|.,)]*\s*{_REASON}\b.{{0,60}}?{_END}
+    |(?:error|http|status)?\s*[:\-–]?\s*{_REASON}\s*(?:[.!]|\(?\s*[45]\d\d\)?|[\s\-–—/|:]|ray\b|trace\b|request\s+id\b|incident\b|ref\b|id\b|\(|[0-9a-f]{{6,}}|\))*?{_END}
+    |(?:error|err|http|status|code)\s*[:#]?\s*[45]\d\d\s*[.!)]*{_END}
+    |\{{\s*"?(?:error|status|code|message)"?\s*:\s*.*?\}}{_END}
     |(?:warning|notice|fatal\s+error|parse\s+error|deprecated|strict\s+standards)\s*:.*\bon\s+line\s+\d+
     |(?:exception\s+in\s+thread\b.*|caused\s+by\s*:\s*)?(?:[a-z_$][\w$]*\.)+\w*(?:exception|error)\b\s*:?.*
     |traceback\s+\(most\s+recent\s+call\s+last\)
@@ -90,14 +92,14 @@ _ERROR = re.compile(
     |(?:database|db|sql|mysql|redis|backend|upstream)\s+(?:connection|request|error|query|server)\b.*(?:fail|timeout|timed\s+out|refused|lost|error|reset|unavailable|gone)
     |(?:the\s+|our\s+|this\s+)?(?:server|service|site|system|website)\s+(?:is\s+)?(?:temporarily|currently|momentarily)?\s*(?:unavailable|overloaded|down\s+for\s+maintenance|under\s+maintenance)\b
     |access\s+to\s+this\s+(?:page|site|resource|website|section)\s+(?:was|is|has\s+been)\s+(?:denied|blocked|forbidden|restricted)
-    |(?:the|this|that)\s+(?:requested\s+)?(?:page|address|resource|url|document|file|link|item|review|content|site)\b.{{0,45}}\b(?:could\s+not\s+be\s+found|couldn['’]t\s+be\s+found|(?:can(?:not|['’]t)|could\s?n['’]t)\s+be\s+(?:found|displayed|shown|loaded)|was\s+not\s+found|does\s+not\s+exist|doesn['’]t\s+exist|no\s+longer\s+(?:available|exists?)|is\s+not\s+available(?:[.!\s]*$|\s+(?:in\s+your|at\s+this|right\s+now))|failed\s+to\s+load|has\s+been\s+(?:removed|moved))
+    |(?:the|this|that)\s+(?:requested\s+)?(?:page|address|resource|url|document|file|link|item|review|content|site)\b.{{0,45}}\b(?:could\s+not\s+be\s+found|couldn['’]t\s+be\s+found|(?:can(?:not|['’]t)|could\s?n['’]t)\s+be\s+(?:found|displayed|shown|loaded)|was\s+not\s+found|does\s+not\s+exist|doesn['’]t\s+exist|no\s+longer\s+(?:available|exists?)|is\s+not\s+available(?:[.!\s]*{_END}|\s+(?:in\s+your|at\s+this|right\s+now))|failed\s+to\s+load|has\s+been\s+(?:removed|moved))
     |(?:sorry|oops|uh-?oh|whoops|hmm|oh\s+no)\b[,!.\s–-]+(?:we|something|this|that|the|an?)\b.{{0,60}}(?:snag|went\s+wrong|failed|problem|error|not\s+found|broke|unavailable|could\s?n['’]t|cannot|couldn|did(?:\s+not|n['’]t)\s+work)
     |something\s+went\s+wrong\b
     |we\s+(?:hit\s+a\s+snag|are\s+having\s+(?:technical\s+)?(?:problems|difficulties)|could\s?n['’]t\s+(?:load|find)\s+(?:this|that|the)\s+page)
     |(?:we|this\s+(?:site|page|shop)|our\s+(?:site|shop))\s+(?:are|is)\s+(?:currently\s+|temporarily\s+)?(?:down|offline|under|closed)\s+(?:for\s+)?maintenance
     |an?\s+(?:unexpected|internal|unknown)\s+error\s+(?:has\s+)?occurred
     |your\s+(?:session|login)\s+(?:has\s+)?(?:expired|timed\s+out)
-    |session\s+(?:has\s+)?expired\b[.!;,]?\s*(?:please\b|log|sign|$)
+    |session\s+(?:has\s+)?expired\b[.!;,]?(?:\s*(?:please\b|log|sign)|{_END})
     |too\s+many\s+requests\s+(?:from|in|for)\b
     |die\s+(?:angeforderte|gesuchte|gewünschte)\s+(?:seite|adresse|datei)\b.{{0,40}}nicht|(?:der|unser)\s+(?:dienst|server)\s+ist\s+(?:vorübergehend|zurzeit|derzeit|momentan)
     |seite\s+nicht\s+(?:erreichbar|gefunden)|zugriff\s+verweigert|zeitüberschreitung\b|interner\s+(?:server)?fehler\b|(?:ihre|deine)\s+sitzung\s+ist\s+abgelaufen|dienst\s+nicht\s+verfügbar
@@ -138,15 +140,19 @@ def _notice(unit: str) -> bool:
 _CUT = re.compile(r"[\r\n\u2028\u2029]+|(?<=[.!?…])\s+|(?<=[。！？])")
 #: A short unit with one of these looks like a page's message; it is a case only where it recurs as records' whole text, and hardly ever within one.
 _LOOKS = re.compile(r"\b(?:[45]\d\d|error|err|fehler|erreur|errore|erro|fout|timeout|unavailable|denied|expired|reload|try\s+again|overloaded|request\s+id|server|script\w*|cookies?|placeholder|todo|tbd|untitled|n/a|null|undefined|nan)\b|エラー|ошибк", re.IGNORECASE)
-#: Parts of words that a text must hold for _HINT or _LOOKS to be worth a search; plain look-ups cost far less.
-_HINT_PARTS = ("gateway", "forbidden", "server", "not ", "unavailable", "too ", "many", "unauthor", "bad", "time", "denied", "allowed", "large", "script", "js", "cookie", "スクリプト", "скрипт", "クッキー")
+#: Parts of words that a text must hold for a notice, or for _LOOKS, to be worth a search; plain look-ups cost far less.
+_NOTICE_PARTS = ("script", "js", "cookie", "スクリプト", "скрипт", "クッキー")
 _LOOK_PARTS = (
     "err", "fehler", "fout", "timeout", "unavailable", "denied", "expired", "reload", "try", "overloaded", "request", "server", "script", "cookie", "placeholder", "todo", "tbd", "untitled", "n/a", "null", "undefined", "nan", "エラー", "ошибк",
 )
 _STATUS = re.compile(r"[45]\d\d")
-#: Without one of these, no beginning of a unit is a message where the unit is none.
-_HINT = re.compile(rf"{_REASON}|[45]\d\d|{_SCRIPTS.pattern}|{_COOKIES.pattern}", re.IGNORECASE)
 _CAPITAL = re.compile(r"\s(?=[^\W\d_a-zß-öø-ÿ]|[¡¿])")
+#: What a review begins with after a message as short as a name may be: "Forbidden Das ...", not "Forbidden City".
+_OPENS = re.compile(
+    r"\s+(?:[¡¿]|[^\x00-\u024f]|(?:the|a|an|this|that|these|it|its|i|we|my|our|he|she|they|there|not|very|good|great|nice|der|die|das|ein|eine|dies\w*|ich|wir|es|mein\w*|sehr|le|la|les|l['’]\w+|un|une|ce|cette|c['’]\w+|je|j['’]\w+|nous|mon|ma|très"
+    r"|el|los|las|una|est[eao]|mi|muy|il|lo|gli|uno|questo|questa|io|molto|de|het|een|deze|dit|ik|zeer|o|os|as|um|uma|este|esta|eu|meu|minha|muito)\b)",
+    re.IGNORECASE,
+)
 _VARYING = re.compile(r"\b(?=\w*\d)[\w-]+\b")
 
 CERTAIN, ALIGNED, WHOLE, WITHIN, EVIDENCE, TEMPLATE, FIRST = "certain", "aligned", "whole", "within", "evidence", "template", "first"
@@ -247,10 +253,29 @@ def _units(clean: str) -> tuple[list[str], int]:
     return out, len(lines)
 
 
-def _heads(unit: str) -> list[str]:
-    """The unit, and its beginnings up to a word with a capital: a message may run into a review without a mark between."""
-    cuts = [m.start() for m in _CAPITAL.finditer(unit) if 10 <= m.start() <= 200]
-    return [unit, *(unit[:c] for c in cuts)]
+def _error(unit: str) -> bool:
+    """Whether the unit, or a beginning of it up to a word with a capital, is a message."""
+
+    def stands(part: str) -> bool:
+        m = _ERROR.match(part)
+        return m is not None and not _TOLD.search(m.group()[:60])
+
+    if (m := _ERROR.match(unit)) is None:
+        return False
+    if m.end() < 10 and unit[m.end() :].strip() and not _OPENS.match(unit, m.end()):
+        return False
+    # What the reviewer says counts in the first 60 characters only, so that a shorter beginning can make a difference only there.
+    return stands(unit) or any(stands(unit[: c.start()]) for c in _CAPITAL.finditer(unit, 0, 62))
+
+
+def _notice_begins(unit: str) -> bool:
+    """Whether the unit, or a beginning of it up to a word with a capital, is a notice: the longest beginning in which no reviewer speaks decides."""
+    if _notice(unit):
+        return True
+    if (told := _TOLD.search(unit)) is None:
+        return False
+    cuts = [m.start() for m in _CAPITAL.finditer(unit, 0, told.start() + 1)]
+    return bool(cuts) and _notice(unit[: cuts[-1]])
 
 
 def signals(text: str | None) -> list[tuple[str, str, str]]:
@@ -263,7 +288,7 @@ def signals(text: str | None) -> list[tuple[str, str, str]]:
     units, lines = _units(clean)
     low = clean.lower()
     status = _STATUS.search(low) is not None
-    hinted = (status or any(map(low.__contains__, _HINT_PARTS))) and _HINT.search(clean) is not None
+    noticed = any(map(low.__contains__, _NOTICE_PARTS))
     looks = (status or any(map(low.__contains__, _LOOK_PARTS))) and _LOOKS.search(clean) is not None
     for u in units:
         marked = _MARK.search(u)
@@ -288,14 +313,10 @@ def signals(text: str | None) -> list[tuple[str, str, str]]:
         if _FILLER.match(u) or _REPEATED.match(u):
             found.add((CERTAIN, "filler", ""))
             continue
-        for head in _heads(u) if hinted else [u]:
-            m = _ERROR.match(head)
-            if m and not _TOLD.search(m.group()[:60]):
-                found.add((CERTAIN, "error", ""))
-                break
-            if hinted and _notice(head):
-                found.add((CERTAIN, "notice", ""))
-                break
+        if _error(u):
+            found.add((CERTAIN, "error", ""))
+        elif noticed and _notice_begins(u):
+            found.add((CERTAIN, "notice", ""))
     # A text of one line is compared as a whole, and its sentences stand within it.
     pages = [(WITHIN if lines > 1 or len(units) > 1 else WHOLE, u) for u in units]
     if lines == 1 and len(units) > 1:

@@ -149,3 +149,19 @@ def test_slots_are_induced_from_records_of_a_template(spark):
 def test_one_record_is_no_evidence(spark):
     df = spark.createDataFrame([(1, "{{ size }} it is"), (2, "Take [size] of these"), (3, "Model [S] fits, model [M] does not.")], "doc_id long, text string")
     assert {r.id for r in residue.find_residue(df).collect()} == {1}
+
+
+RUN_IN = [
+    "Session expired Der Griff ist gut", "This page is not available Das Kabel ist kurz", '{"error":"timeout"} Great blender for us', "Forbidden Das Kabel ist gut", "Not Found Der Griff ist gut", "Error 404 The lid is fine",
+    "Warning: " + "x" * 230 + " on line 93 As a coll", "Error in module: " + "reader " * 40 + "needs JavaScript enabled Das Kabel ist gut und mein Bruder mag es", "404 Not Found I like my lid",
+]
+
+
+@pytest.mark.parametrize("text", RUN_IN)
+def test_messages_that_run_into_a_review(text):
+    assert any(s == residue.CERTAIN for s, _, _ in residue.signals(text))
+
+
+@pytest.mark.parametrize("text", ["Forbidden City puzzle with 500 pieces, lovely.", "Error 404 Socks are warm.", "Forbidden by my wife, Das Kabel ist gut.", "My browser needs JavaScript Der Griff ist gut", "I " * 50_000, "W " * 100_000])
+def test_names_are_no_messages(text):
+    assert not any(s == residue.CERTAIN for s, _, _ in residue.signals(text))
