@@ -4,8 +4,8 @@ A text is cut into units (lines and sentences, without markup). Units whose form
 template languages, lines of filler, error pages and notices standing as such. Units in a form that reviewers use too (brackets,
 braces, hashes) are aligned with the records of the same template: a slot is one where it keeps a name that is a variable's name in other
 records, or where its unit with the slots blanked is that of other records with slots, or where other records fill its position with values that
-vary; there a blank or a default is a slot as well. Short units that only look like an error page are cases where they
-recur as the whole text of several records.
+vary; there a blank or a default is a slot as well. Texts that only look like a page are cases where they recur as the whole text of several
+records, however long they are and whatever their lines, and short ones also where they stand as a unit within another record, unless they do so more often than alone.
 """
 
 from __future__ import annotations
@@ -38,6 +38,8 @@ _TAGS = (
     "script section small span strong style sub sup table tbody td th thead title tr tt u ul"
 ).split()
 _TAG = re.compile(rf"</?(?:{'|'.join(_TAGS)})(?:\s[^<>]*)?/?>", re.IGNORECASE)
+#: Tags of a page as a whole; reviews hold those of single words and lines only.
+_PAGE_TAG = re.compile(r"<(?:!doctype|html|head|title|body|h1|h2|hr|iframe|noscript|form|script|meta|center)\b[^<>]*>", re.IGNORECASE)
 _FRAME = re.compile(r"^[\s*=~\-–—|•·\"'«»]+|[\s*=~\-–—|•·\"'«»]+$")
 
 
@@ -278,6 +280,10 @@ def _notice_begins(unit: str) -> bool:
     return bool(cuts) and _notice(unit[: cuts[-1]])
 
 
+def _page_key(text: str) -> str:
+    return "p:" + _VARYING.sub("9", _plain(text))
+
+
 def signals(text: str | None) -> list[tuple[str, str, str]]:
     """(strength, kind, key) of what a text's units show. A certain signal makes the text a case by itself; the key of an aligned one is
     looked up among the evidence keys of all records; a key that is whole here has to be so in several records, and hardly ever within a longer one."""
@@ -317,13 +323,12 @@ def signals(text: str | None) -> list[tuple[str, str, str]]:
             found.add((CERTAIN, "error", ""))
         elif noticed and _notice_begins(u):
             found.add((CERTAIN, "notice", ""))
-    # A text of one line is compared as a whole, and its sentences stand within it.
-    pages = [(WITHIN if lines > 1 or len(units) > 1 else WHOLE, u) for u in units]
-    if lines == 1 and len(units) > 1:
-        pages.append((WHOLE, " ".join(units)))
-    for strength, u in pages if looks else ():
+    # A text is compared as a whole, with all its lines; its short sentences stand within it.
+    if (looks or _PAGE_TAG.search(text)) and not any(map(_TOLD.search, units)):
+        found.add((WHOLE, "page", _page_key(" ".join(units))))
+    for u in units if looks and (lines > 1 or len(units) > 1) else ():
         if len(u) <= 160 and _LOOKS.search(u) and not _TOLD.search(u):
-            found.add((strength, "page", "p:" + _VARYING.sub("9", " ".join(u.lower().split()))))
+            found.add((WITHIN, "page", _page_key(u)))
     return sorted(found)
 
 
@@ -422,8 +427,9 @@ def find_residue(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     evidence = shown.where(F.col("strong") & (F.col("n") >= min_records)).select("key")
     aligned = marks.where(F.col("strength") == ALIGNED).join(evidence, "key", "left_semi").select("id", "kind")
     pages = marks.where(F.col("strength").isin(WHOLE, WITHIN)).groupBy("key").agg(F.count(F.when(F.col("strength") == WHOLE, 1)).alias("w"), F.count(F.lit(1)).alias("n"))
-    pages = pages.where((F.col("w") >= min_records) & (F.col("w") * 2 >= F.col("n"))).select("key")
-    whole = marks.where(F.col("strength") == WHOLE).join(pages, "key", "left_semi").select("id", "kind")
+    # A sentence that stands more often within reviews than alone may be a reviewer's own there.
+    pages = pages.where(F.col("w") >= min_records).select("key", (F.col("w") * 2 >= F.col("n")).alias("alone"))
+    whole = marks.where(F.col("strength").isin(WHOLE, WITHIN)).join(pages, "key").where((F.col("strength") == WHOLE) | F.col("alone")).select("id", "kind")
     found = certain.unionByName(aligned).unionByName(whole)
     if (induced := _induced(texts, marks, min_records)) is not None:
         found = found.unionByName(induced)

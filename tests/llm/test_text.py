@@ -165,3 +165,14 @@ def test_messages_that_run_into_a_review(text):
 @pytest.mark.parametrize("text", ["Forbidden City puzzle with 500 pieces, lovely.", "Error 404 Socks are warm.", "Forbidden by my wife, Das Kabel ist gut.", "My browser needs JavaScript Der Griff ist gut", "I " * 50_000, "W " * 100_000])
 def test_names_are_no_messages(text):
     assert not any(s == residue.CERTAIN for s, _, _ in residue.signals(text))
+
+
+def test_whole_pages_recur(spark):
+    marked = "<html><h1>Maintenance window {}</h1><hr>edge/3.9</html>"
+    lines = "Upstream could not answer, reload later.\nNode {} of the pool\n" + "The pool drains its queue before it takes new work. " * 6
+    rows = [(i, marked.format(i)) for i in range(3)] + [(10 + i, lines.format(i)) for i in range(3)]
+    # A page stands within reviews more often than alone; a review that was copied is no page.
+    rows += [(20 + i, "Untitled 12 - reload") for i in range(3)] + [(30 + i, f"Fine lid {'x' * i}.\nUntitled 7 - reload") for i in range(5)] + [(40 + i, "Fine lid.\nFits well, and looks good.") for i in range(4)]
+    rows += [(50 + i, "Blank view - reload") for i in range(3)] + [(60, "Fine lid.\nBlank view - reload")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.id for r in residue.find_residue(df).collect()} == {0, 1, 2, 10, 11, 12, 20, 21, 22, 50, 51, 52, 60}
