@@ -339,7 +339,7 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for strength, kind, key in signals(text):
                 if strength == TEMPLATE:
                     anchor = _anchor(key)
-                    rows += [(i, FIRST, kind, _key(anchor.partition(" ")[0]), None), (i, TEMPLATE, kind, _key(anchor), key)]
+                    rows += [(i, FIRST, kind, _key("^" + anchor.partition(" ")[0]), None), (i, TEMPLATE, kind, _key(anchor), key)]
                 else:
                     rows.append((i, strength, kind, _key(key), None))
         yield _batch(rows, {"id": pa.int64(), "strength": pa.string(), "kind": pa.string(), "key": pa.int64(), "template": pa.string()})
@@ -370,7 +370,7 @@ def _forms(bits: bytes):
                         words = _WORD.findall(form)
                         for k, w in enumerate(words):
                             if (starts := first.get(w)) is None:
-                                starts = first[w] = held(_key(w))
+                                starts = first[w] = held(_key("^" + w))
                             for n in range(1, min(_ANCHOR, len(words) - k) + 1) if starts else ():
                                 key = _key(" ".join(words[k : k + n]))
                                 if held(key) and (key, form) not in seen:
