@@ -127,20 +127,25 @@ def stratified_sample(spark: SparkSession, d: str) -> DataFrame:
     return mining.stratified_sample(r, "service", "ts_ns", "text", (AT - 30 * DAY) * NS, AT * NS, 6, 150).select("service", "ts_ns", "text")
 
 
-def drain_templates(spark: SparkSession, d: str) -> DataFrame:
-    """Templates of the sample of each service of log_entries, with how many lines of the sample each has."""
+_MASKS = [("ip", r"\b\d{1,3}(?:\.\d{1,3}){3}\b")]
+
+
+def _sampled(spark: SparkSession, d: str) -> DataFrame:
+    """The sample of each service of log_entries with the template of each line."""
     e = table(spark, d, "log_entries").where("line <> ''").select(F.col("labels")["service_name"].alias("service"), "ts_ns", "line")
     s = mining.stratified_sample(e, "service", "ts_ns", "line", 1_767_571_200 * NS, 1_767_744_000 * NS, 8, 400)
-    config = mining.DrainConfig(masks=[("ip", r"\b\d{1,3}(?:\.\d{1,3}){3}\b")])
-    return mining.template_lines(s, "service", "ts_ns", "line", config).groupBy("service", "template").agg(F.count(F.lit(1)).alias("n"))
+    return mining.template_lines(s, "service", "ts_ns", "line", mining.DrainConfig(masks=_MASKS))
+
+
+def drain_templates(spark: SparkSession, d: str) -> DataFrame:
+    """Templates of the sample of each service of log_entries, with how many lines of the sample each has."""
+    return _sampled(spark, d).groupBy("service", "template").agg(F.count(F.lit(1)).alias("n"))
 
 
 def infer_languages(spark: SparkSession, d: str) -> DataFrame:
-    """Languages of the templates of a synthetic corpus."""
-    c = synthetic_logs(spark, 6000)
-    s = mining.stratified_sample(c.select("service", "ts_ns", "message", "severity"), "service", "ts_ns", "message", 1_767_571_200 * NS, 1_767_571_207 * NS, 4, 2000)
-    t = mining.template_lines(s, "service", "ts_ns", "message", mining.DrainConfig())
-    out = mining.infer_languages(t, "service", "message", "severity")
+    """Languages of the templates of log_entries: the sample of each service is the feature."""
+    level = F.lower(F.regexp_extract("line", r"(?i)\b(trace|debug|info|warn|error|fatal)\b", 1))
+    out = mining.infer_languages(_sampled(spark, d).withColumn("severity", level), "service", "line", "severity", _MASKS)
     return out.select("key", "template", "regex", mining.rule_id(F.col("key"), F.lit(""), F.coalesce("regex", F.lit(""))).alias("rule"), "samples", "constant", "levels", "reason")
 
 

@@ -293,3 +293,13 @@ def test_days_are_pruned(spark, tmp_path):
     assert "PartitionFilters: [isnotnull(day" in got._jdf.queryExecution().toString()
     with pytest.raises(Exception, match="outside"):
         logs.in_range(df, 0, day).collect()
+
+
+def test_languages_are_those_of_the_folder(spark, tmp_path):
+    from brindle.plans import rule_queries
+
+    rows = [(i, {"service_name": "kiln"}, 1_767_571_200 * logs.NS + i * logs.NS, f"INFO batch {i % 7} left kiln") for i in range(60)]
+    spark.createDataFrame(rows, "entry_id long, labels map<string,string>, ts_ns long, line string").write.parquet(str(tmp_path / "log_entries.parquet"))
+    got = rule_queries.infer_languages(spark, str(tmp_path)).collect()
+    assert [(r.key, r.template, r.levels) for r in got] == [("kiln", "INFO batch <*> left kiln", ["info"])]
+    assert re.fullmatch(got[0].regex.replace(r"\A", "").replace(r"\z", ""), "INFO batch 3 left kiln")
