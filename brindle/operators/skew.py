@@ -13,6 +13,12 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from brindle.session import reaches
+
+#: Products of counts and sums leave 64 bits at the sizes aimed at.
+_WIDE = "decimal(38,0)"
 
 
 def fold_by_key(df: DataFrame, key: Column, sums: Mapping[str, Column], prefix: str) -> DataFrame:
@@ -24,7 +30,8 @@ def fold_by_key(df: DataFrame, key: Column, sums: Mapping[str, Column], prefix:
     renamed = df.select(key.alias("join_key"), *[c.alias(n) for n, c in sums.items()])
     cols = [F.count(F.lit(1)).alias(f"{prefix}_rows")]
     for name in sums:
-        cols += [F.sum(name).alias(f"{prefix}_{name}_sum"), F.count(name).alias(f"{prefix}_{name}_n")]
+        measure = F.col(name).cast("decimal(20,0)") if isinstance(renamed.schema[name].dataType, T.IntegralType) else F.col(name)
+        cols += [F.sum(measure).alias(f"{prefix}_{name}_sum"), F.count(name).alias(f"{prefix}_{name}_n")]
     return renamed.where(F.col("join_key").isNotNull()).groupBy("join_key").agg(*cols)
 
 
@@ -41,7 +48,7 @@ def eager_join_aggregate(
 
     Columns: join_key; left_rows and right_rows (0 where a side lacks the key); pair_rows, the number of rows
     the join would have; and for each measure m of a side pair_<m>_sum, its sum over the joined rows, next to
-    that side's own <side>_<m>_sum. Null keys never join and are left out. Extra columns with any name are ignored:
+    that side's own <side>_<m>_sum. Counts of pairs and sums of whole numbers are decimal(38,0), so that no product overflows. Null keys never join and are left out. Extra columns with any name are ignored:
     only the given expressions are read. Ties and repeated rows count as often as they stand. Empty inputs give an
     empty result (or, for how="full", the other side's keys).
     """
@@ -53,11 +60,13 @@ def eager_join_aggregate(
     j = a.join(b, "join_key", how)
     zero = F.lit(0).cast("long")
     out = j.withColumn("left_rows", F.coalesce("left_rows", zero)).withColumn("right_rows", F.coalesce("right_rows", zero))
-    out = out.withColumn("pair_rows", F.col("left_rows") * F.col("right_rows"))
-    for m in left_sums:
-        out = out.withColumn(f"pair_{m}_sum", F.col(f"left_{m}_sum") * F.col("right_rows"))
-    for m in right_sums:
-        out = out.withColumn(f"pair_{m}_sum", F.col(f"right_{m}_sum") * F.col("left_rows"))
+    rows = {side: F.col(f"{side}_rows").cast("decimal(19,0)") for side in ("left", "right")}
+    out = out.withColumn("pair_rows", (rows["left"] * rows["right"]).cast(_WIDE))
+    for side, other, measures in (("left", "right", left_sums), ("right", "left", right_sums)):
+        for m in measures:
+            own = F.col(f"{side}_{m}_sum")
+            whole = isinstance(out.schema[f"{side}_{m}_sum"].dataType, T.DecimalType)
+            out = out.withColumn(f"pair_{m}_sum", (own * rows[other]).cast(_WIDE) if whole else own * F.col(f"{other}_rows"))
     return out
 
 
@@ -72,10 +81,9 @@ def frequent_keys(
     """Keys that hold at least `share` of all rows of a side: columns kind, key_value, key_rows, all_rows.
 
     Both sides are folded and the states joined by eager_join_aggregate; a side's total is the sum of its states and
-    of its rows with a null key, which count in the total and are no case themselves. The comparison is exact in integers
-    up to the parts per million of share. Empty inputs give no rows.
+    of its rows with a null key, which count in the total and are no case themselves. The comparison is exact, for a share of
+    any number of places. Empty inputs give no rows.
     """
-    ppm = round(share * 1_000_000)
     # Rows with a null key stay in the totals: they are folded under a struct that no real key equals.
     wrap = lambda k: F.struct(k.isNull().alias("none"), k.alias("value"))
     states = eager_join_aggregate(left, right, wrap(left_key), wrap(right_key))
@@ -93,6 +101,6 @@ def frequent_keys(
     # Two rows, one for each kind.
     return (
         per_kind.join(F.broadcast(totals), "kind")
-        .where(~F.col("none") & (F.col("key_rows") * 1_000_000 >= F.col("all_rows") * ppm))
+        .where(~F.col("none") & reaches(F.col("key_rows"), F.col("all_rows"), share))
         .select("kind", "key_value", "key_rows", "all_rows")
     )

@@ -66,12 +66,12 @@ CHECKS = {
     "rfc3339": lambda v: F.when(v.rlike(_RFC3339), _exists(v)).otherwise(False),
     "duration": lambda v: v.rlike(_DURATION),
     "status": lambda v: v.rlike(r"\A[1-5][0-9]{2}\z"),
-    "digits": lambda v: v.rlike(r"\A[0-9]*\z"),
+    "digits": lambda v: v.rlike(r"\A[0-9]+\z"),
 }
 
 _KEY = re.compile(r'[^ ="]+')
 _BARE = re.compile(r"[^ ]*")
-_QUOTED = re.compile(r'"((?:[^"\\\n]|\\(?:[abfnrtv\\"]|[0-3][0-7]{2}|x[0-9A-Fa-f]{2}|u(?![dD][89A-Fa-f])[0-9A-Fa-f]{4}|U(?:000(?![dD][89A-Fa-f])|0010)[0-9A-Fa-f]{4}|U000[1-9A-Fa-f][0-9A-Fa-f]{4}))*)"(?= |\Z)')
+_QUOTED = re.compile(r'"((?:[^"\\\n]|\\(?:[abfnrtv\\"]|[0-3][0-7]{2}|x[0-9A-Fa-f]{2}|u(?![dD][89A-Fa-f])[0-9A-Fa-f]{4}|U(?:0000(?![dD][89A-Fa-f])|000[1-9A-Fa-f]|0010)[0-9A-Fa-f]{4}))*)"(?= |\Z)')
 _PLAIN_QUOTED = re.compile(r'"([^"\\\n]*)"(?= |\Z)')
 _ESCAPE = re.compile(rb'\\([abfnrtv\\"]|[0-3][0-7]{2}|x[0-9A-Fa-f]{2}|u[0-9A-Fa-f]{4}|U[0-9A-Fa-f]{8})')
 _SINGLE = {b"a": b"\a", b"b": b"\b", b"f": b"\f", b"n": b"\n", b"r": b"\r", b"t": b"\t", b"v": b"\v", b"\\": b"\\", b'"': b'"'}
@@ -166,10 +166,12 @@ def parse_cells(df: DataFrame, id_col: str, line_col: str) -> DataFrame:
     return src.mapInArrow(_parse_batches, _PARSED)
 
 
-def find_errors(df: DataFrame, id_col: str, line_col: str, rules: Sequence[Rule] = QUERY_LOG_RULES, scope_key: str = "caller", scopes: dict[str, str] | None = None) -> DataFrame:
+def find_errors(
+    df: DataFrame, id_col: str, line_col: str, rules: Sequence[Rule] = QUERY_LOG_RULES, scope_key: str = "caller", scopes: dict[str, str] | None = None, details: bool = True
+) -> DataFrame:
     """One row for each failing row: row_id, row_hash, reasons (array of struct<reason, column, detail>), copies.
 
-    reason is 'blank', 'form', 'count' or 'value'. scopes: prefix of the last value of scope_key -> scope name of rules.
+    reason is 'blank', 'form', 'count' or 'value'. details: with the offending value, which costs an aggregation of strings; otherwise detail is null. scopes: prefix of the last value of scope_key -> scope name of rules.
     Equal rows (same id, same line) fold into one result row whose `copies` says how many they are. An empty input gives no row.
     """
     scopes = {"metrics.go": "metrics"} if scopes is None else scopes
@@ -194,15 +196,24 @@ def find_errors(df: DataFrame, id_col: str, line_col: str, rules: Sequence[Rule]
     for i, r in enumerate(rules):
         if r.check:
             bad = F.when(F.col("rule") == i, ~F.coalesce(CHECKS[r.check](F.col("val")), F.lit(False))).otherwise(bad)
+    # The last cell of the scope's key says what the line is: its position and the number of its scope in one integer.
+    names = list(dict.fromkeys(scopes.values()))
+    number = F.lit(0)
+    for prefix, name in reversed(list(scopes.items())):
+        number = F.when(F.col("val").startswith(prefix), names.index(name) + 1).otherwise(number)
     aggs = [F.count(F.when(F.col("pos") == -1, 1)).alias("copies"), F.max("broken_at").alias("broken_at")]
-    aggs.append(F.max_by("val", F.when(F.col("col") == scope_key, F.col("pos"))).alias("scope_val"))
+    aggs.append(F.max(F.when(F.col("col") == scope_key, F.col("pos") * (len(names) + 1) + number)).alias("scope"))
     for i, r in enumerate(rules):
         here = F.col("rule") == i
         if r.required:
             aggs.append(F.count(F.when(here, 1)).alias(f"n{i}"))
             aggs.append(F.count(F.when(here & (F.col("val") == ""), 1)).alias(f"e{i}"))
         if r.check:
-            aggs.append(F.first(F.when(here & F.col("bad"), F.col("val")), ignorenulls=True).alias(f"b{i}"))
+            # An empty value of a column that has to be filled is an error of count.
+            wrong = here & F.col("bad") & ((F.col("val") != "") if r.required else F.lit(True))
+            aggs.append(F.count(F.when(wrong, 1)).alias(f"w{i}"))
+            if details:
+                aggs.append(F.first(F.when(wrong, F.col("val")), ignorenulls=True).alias(f"b{i}"))
     rows = ruled.withColumn("bad", bad).groupBy("row_id", "row_hash").agg(*aggs)
     reasons = [
         F.when(F.col("broken_at") == -2, _reason("blank", "", F.lit(""))),
@@ -212,16 +223,12 @@ def find_errors(df: DataFrame, id_col: str, line_col: str, rules: Sequence[Rule]
     for i, r in enumerate(rules):
         within = good
         if r.scope != "all":
-            prefixes = [p for p, s in scopes.items() if s == r.scope]
-            holds = F.lit(False)
-            for p in prefixes:
-                holds = holds | F.coalesce(F.col("scope_val").startswith(p), F.lit(False))
-            within = good & holds
+            within = good & F.coalesce(F.pmod("scope", F.lit(len(names) + 1)) == (names.index(r.scope) + 1 if r.scope in names else -1), F.lit(False))
         if r.required:
             n = F.col(f"n{i}") / F.col("copies")
             reasons.append(F.when(within & ((n != 1) | (F.col(f"e{i}") > 0)), _reason("count", r.column, n.cast("int").cast("string"))))
         if r.check:
-            reasons.append(F.when(within & F.col(f"b{i}").isNotNull() & (F.col(f"b{i}") != "" if r.required else F.lit(True)), _reason("value", r.column, F.col(f"b{i}"))))
+            reasons.append(F.when(within & (F.col(f"w{i}") > 0), _reason("value", r.column, F.col(f"b{i}") if details else F.lit(None).cast("string"))))
     return rows.select("row_id", "row_hash", F.array_compact(F.array(*reasons)).alias("reasons"), "copies").where(F.size("reasons") > 0)
 
 
@@ -232,13 +239,14 @@ def _reason(kind: str, column: str, detail: Column) -> Column:
 def split_unparsed(df: DataFrame, id_col: str = "line_id", line_col: str = "line", rules: Sequence[Rule] = QUERY_LOG_RULES) -> tuple[DataFrame, DataFrame]:
     """(loaded, rejected): the rows that parse and hold what they must, and the others with their reasons.
 
-    loaded has df's columns unchanged; rejected has row_id, reason, column, detail, one row for each error of each rejected row
+    loaded has df's columns unchanged and reads no values; rejected has row_id, reason, column, detail, one row for each error of each rejected row
     (rows that are equal in id and line give one set of errors). A null or blank line is rejected with reason 'blank'. A null id is kept
     like any other. Extra columns, whatever their names, pass through loaded. An empty input gives two empty results.
     """
     errors = find_errors(df, id_col, line_col, rules)
+    failing = find_errors(df, id_col, line_col, rules, details=False)
     i, line = (f"__c{place(df, c)}" for c in (id_col, line_col))
-    keys = errors.select(F.col("row_id").alias("__e_id"), F.col("row_hash").alias("__e_hash"))
+    keys = failing.select(F.col("row_id").alias("__e_id"), F.col("row_hash").alias("__e_hash"))
     same = F.col(i).cast("long").eqNullSafe(F.col("__e_id")) & (F.xxhash64(F.col(line)) == F.col("__e_hash"))
     loaded = by_place(df).join(keys, same, "left_anti").toDF(*df.columns)
     rejected = errors.select("row_id", F.inline("reasons"))

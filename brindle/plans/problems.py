@@ -11,13 +11,13 @@ from brindle.session import table
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
     """line_id of each query_log row that fails a rule."""
-    return unparsed.find_errors(table(spark, d, "query_log"), "line_id", "line").select(F.col("row_id").alias("line_id"))
+    return unparsed.find_errors(table(spark, d, "query_log"), "line_id", "line", details=False).select(F.col("row_id").alias("line_id"))
 
 
 def p1_reasons(spark: SparkSession, d: str) -> DataFrame:
     """Failing rows by reason and column, the count of lines for each."""
-    _, rejected = unparsed.split_unparsed(table(spark, d, "query_log"))
-    return rejected.groupBy("reason", "column").agg(F.count_distinct("row_id").alias("n_lines"))
+    errors = unparsed.find_errors(table(spark, d, "query_log"), "line_id", "line", details=False).select("row_id", F.inline("reasons"))
+    return errors.groupBy("reason", "column").agg(F.count_distinct("row_id").alias("n_lines"))
 
 
 def p1_loaded(spark: SparkSession, d: str) -> DataFrame:
@@ -68,9 +68,10 @@ SQL = {
         SELECT 'candidate', service FROM candidates
         GROUP BY 2 HAVING service IS NOT NULL AND count(*) >= 0.05 * (SELECT count(*) FROM candidates)""",
     "p3_services": """
-        WITH e AS (SELECT labels['service_name'] AS s, count(*) AS n, sum(octet_length(encode(line)))::BIGINT AS b FROM log_entries WHERE labels['service_name'] IS NOT NULL GROUP BY 1),
-             c AS (SELECT service AS s, count(*) AS n, sum(samples)::BIGINT AS b FROM candidates WHERE service IS NOT NULL GROUP BY 1)
+        WITH e AS (SELECT labels['service_name'] AS s, count(*) AS n, sum(octet_length(encode(line)))::HUGEINT AS b FROM log_entries WHERE labels['service_name'] IS NOT NULL GROUP BY 1),
+             c AS (SELECT service AS s, count(*) AS n, sum(samples)::HUGEINT AS b FROM candidates WHERE service IS NOT NULL GROUP BY 1)
         SELECT coalesce(e.s, c.s) AS service_name, coalesce(e.n, 0) AS entry_rows, coalesce(c.n, 0) AS candidate_rows,
-               coalesce(e.n, 0) * coalesce(c.n, 0) AS pair_rows, e.b * coalesce(c.n, 0) AS pair_line_bytes_sum, c.b * coalesce(e.n, 0) AS pair_samples_sum
+               (coalesce(e.n, 0)::HUGEINT * coalesce(c.n, 0))::DECIMAL(38, 0) AS pair_rows, (e.b * coalesce(c.n, 0))::DECIMAL(38, 0) AS pair_line_bytes_sum,
+               (c.b * coalesce(e.n, 0))::DECIMAL(38, 0) AS pair_samples_sum
         FROM e FULL JOIN c ON e.s = c.s""",
 }

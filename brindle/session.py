@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
+import uuid
+from fractions import Fraction
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -23,17 +26,72 @@ def local_session(cores: int = 4, shuffle_partitions: int = 8, app: str = "brind
     )
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for tables between jobs: that of spark.checkpoint.dir or of setCheckpointDir.
+
+    Where neither is set, a local master gets a temporary folder; a cluster gets an error, as its executors don't see the driver's disk.
+    """
+    sc = spark.sparkContext
+    if named := spark.conf.get("spark.checkpoint.dir", "") or "":
+        return named.rstrip("/")
+    if not (kept := sc._jsc.sc().getCheckpointDir()).isEmpty():
+        return kept.get().rstrip("/")
+    if not sc.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir names no folder that driver and executors share")
+    sc.setCheckpointDir(tempfile.mkdtemp(prefix="brindle-checkpoint-"))
+    return sc._jsc.sc().getCheckpointDir().get().rstrip("/")
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+_written: dict[str, SparkSession] = {}
+
+
+def release(*tables: DataFrame) -> None:
+    """Remove the files of tables that materialize wrote; without arguments, those of all. They are removed at the end of the process in any case."""
+    paths = [t._brindle_path for t in tables if hasattr(t, "_brindle_path")] if tables else list(_written)
+    for path in paths:
+        if (spark := _written.pop(path, None)) is not None and spark.sparkContext._jsc is not None:
+            _remove(spark, path)
+
+
+def _at_end() -> None:
+    try:
+        release()
+    except Exception:  # the JVM may be gone already
+        _written.clear()
+
+
+atexit.register(_at_end)
+
+
 def materialize(df: DataFrame) -> DataFrame:
-    """Write df to the reliable checkpoint folder and read it back.
+    """Write df as a table in the shared folder and read it back: lineage is cut, and the files survive the loss of executors.
 
-    The folder is the one the cluster names in spark.checkpoint.dir; only where that is unset (tests,
-    notebooks) a folder of this process is used. The written files survive the loss of executors.
+    Columns that a reader doesn't name aren't read. The files stay until release() or the end of the process.
     """
     spark = df.sparkSession
-    sc = spark.sparkContext
-    if not spark.conf.get("spark.checkpoint.dir", "") and sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="brindle-checkpoint-"))
-    return df.checkpoint(eager=True)
+    path = f"{shared_folder(spark)}/brindle-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    _written[path] = spark
+    out = spark.read.schema(df.schema).parquet(path)
+    out._brindle_path = path
+    return out
+
+
+def reaches(part: Column, whole: Column | int, share: float) -> Column:
+    """part is at least share of whole, in exact arithmetic: both are counts, share any decimal number of at most 15 places."""
+    f = Fraction(str(share))
+    if not 0 < f <= 1 or f.denominator >= 10**15:
+        raise ValueError(f"not a share: {share}")
+    whole = whole if isinstance(whole, Column) else F.lit(whole)
+    wide = lambda c: c.cast("decimal(20,0)")
+    times = lambda n: F.lit(n).cast("decimal(16,0)")
+    return wide(part) * times(f.denominator) >= wide(whole) * times(f.numerator)
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:

@@ -33,6 +33,20 @@ def test_frequent_keys_count_null_rows_in_the_total(spark):
     assert got == {("l", "x", 5, 100), ("r", "z", 19, 20)}  # a tie at the share is in
 
 
+def test_products_beyond_64_bits(spark):
+    many = spark.createDataFrame([("k", 2**62), ("k", 2**62), ("k", None)], "k string, v long")
+    got = skew.eager_join_aggregate(many, many, F.col("k"), F.col("k"), {"v": F.col("v")}, {"w": F.col("v")}).first()
+    assert (got.pair_rows, int(got.left_v_sum), int(got.pair_v_sum), int(got.pair_w_sum)) == (9, 2**63, 3 * 2**63, 3 * 2**63)
+    halves = skew.eager_join_aggregate(many, many, F.col("k"), F.col("k"), {"x": F.lit(0.5)}).first()
+    assert halves.pair_x_sum == 4.5
+
+
+def test_shares_of_many_places(spark):
+    a = spark.createDataFrame([("x",)] * 3 + [("y",)] * 2 + [("z",)] * 2, "k string")
+    run = lambda share: {r.key_value for r in skew.frequent_keys(a, a.limit(0), F.col("k"), F.col("k"), ("l", "r"), share).collect()}
+    assert run(0.4285714285714) == {"x"} and run(0.4285714285715) == set() and run(4e-7) == {"x", "y", "z"}
+
+
 def test_empty_sides(spark):
     left, right = frames(spark, 50)
     none = left.limit(0)

@@ -111,13 +111,20 @@ CASES = [
     (GOOD.replace("status=200", "status=600"), "value"),
     (GOOD.replace("status=200", "status=099"), "value"),
     (GOOD.replace("splits=3", "splits=-3"), "value"),
-    (GOOD.replace("splits=3", "splits source= x y=1 y=2"), None),
+    (GOOD.replace("splits=3", "cached source= x y=1 y=2"), None),
     (GOOD.replace('org_id="shared pool"', 'org_id="shared\\q pool"'), "form"),
     (GOOD.replace('org_id="shared pool"', 'org_id="shared pool"x'), "form"),
     (GOOD + " =x", "form"),
     (GOOD + ' x="', "form"),
     (GOOD + " msg=" + "y" * 300_000, None),
     (GOOD + ' msg="' + '\\"' * 100_000 + '"', None),
+    (GOOD + ' x="\\U0000D800"', "form"),
+    (GOOD + ' x="\\U0001234"', "form"),
+    (GOOD + ' x="\\U00110000"', "form"),
+    (GOOD + ' x="\\U0010FFFF \\U00012345 \\U00001234"', None),
+    (GOOD.replace("splits=3", "splits"), "value"),
+    (GOOD.replace("splits=3", "splits="), "value"),
+    (GOOD + " total_bytes", "value"),
 ]
 
 
@@ -138,6 +145,10 @@ def test_cases(lines):
     assert found[501] == {"count"}
     assert found[502] == {"form"}
     assert found[None] == {"form"}
+    plain = unparsed.find_errors(lines, "line_id", "line", details=False)
+    assert {(r.row_id, tuple((x.reason, x.column) for x in r.reasons)) for r in plain.collect()} == {
+        (r.row_id, tuple((x.reason, x.column) for x in r.reasons)) for r in unparsed.find_errors(lines, "line_id", "line").collect()
+    }
 
 
 def test_split_keeps_all_rows(lines):
