@@ -1,14 +1,16 @@
 """Near-duplicates with small edits: all pairs of word sets that share enough, without comparing all pairs.
 
-T-occurrence search over inverted lists. Two sets with a similarity of at least t share at least T = ceil(t * size) words of either,
-so of a set's lists the T - 1 longest can be set aside (DivideSkip): every partner stands in one of the short lists
-that remain, those of its rarest words. Short lists are spread over tasks by word and merged there per set; a fixed-size bit
-signature bounds the overlap of each merged candidate from above; what is left is probed by binary search in the long lists'
-words. Equal sets are folded to one representative before anything else.
+T-occurrence search over inverted lists by DivideSkip. Two sets with a similarity of at least t share at least T = ceil(t * size) words of either.
+A set's L longest lists are set aside; every partner stands at least k = T - L times in the short lists that remain, those of its rarest
+words. Short lists are spread over tasks by word and merged there with the number of occurrences; lengths, the words' places in the order and a
+bit signature of fixed size bound the overlap from above before a pair leaves its task. The occurrences of a pair are summed
+over the tasks, and pairs with fewer than k fall out. What is left is probed by binary search in the other set's words. Equal sets
+are folded to one representative before anything else.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,12 +18,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brindle.session import materialize, narrow
+from brindle.session import materialize, narrow, release
 
 #: Counters of the word-frequency sketch that orders words; the order may be any, the sketch makes it nearly rarest first.
 ORDER_CELLS = 1 << 16
-#: Rows of a route beyond which it is cut into blocks; every pair of blocks is a task of its own.
+#: Occurrences in short lists for each route: routes grow with the data, so that their size doesn't.
+ROUTE_ROWS = 200_000
+#: Rows of a route beyond which it is cut into blocks; every pair of blocks is a task of its own. Only lists of one hot word are as long.
 BLOCK_ROWS = 100_000
+#: Pairs of places that a task looks at together.
+CHUNK = 1 << 21
+#: Weight of the number of long lists: L = T / (MU * log2(longest list) + 1), as published for DivideSkip.
+MU = 0.0085
 
 
 def word_sets(df: DataFrame, id_col: str, text_col: str, min_words: int = 1) -> DataFrame:
@@ -57,11 +65,18 @@ def _mix(words: np.ndarray) -> np.ndarray:
     return u ^ (u >> np.uint64(27))
 
 
+def needed(n: int, num: int, den: int, log_longest: float) -> int:
+    """k = T - L: how often a partner of a set of n words stands in its short lists at least."""
+    t = -(-num * n // den)
+    return t - min(t - 1, int(t / (MU * log_longest + 1)))
+
+
 def _router(order, routes: int, bits: int, num: int, den: int):
-    """Rows of each set for the tasks of its short lists: route, id, n, sig, and the words of the lists."""
+    """Rows of each set for the tasks of its short lists: route, id, n, k, sig, and the words of the lists with their places in the set's order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = order.value
+        log_longest = math.log2(max(2, int(counts.max())))
         for b in batches:
             out: list[tuple] = []
             words, starts = b.column(1).flatten().to_numpy(), b.column(1).offsets.to_numpy()
@@ -69,74 +84,85 @@ def _router(order, routes: int, bits: int, num: int, den: int):
             rank = counts[words & (ORDER_CELLS - 1)]
             bit = (mixed & np.uint64(bits - 1)).astype(np.int64)
             route = ((mixed >> np.uint64(20)) % np.uint64(routes)).astype(np.int64)
-            ids = b.column(0).to_pylist()
-            for k, i in enumerate(ids):
-                lo, hi = starts[k] - starts[0], starts[k + 1] - starts[0]
+            for m, i in enumerate(b.column(0).to_pylist()):
+                lo, hi = starts[m] - starts[0], starts[m + 1] - starts[0]
                 n = int(hi - lo)
                 sig = np.zeros(bits // 8, np.uint8)
                 np.bitwise_or.at(sig, bit[lo:hi] >> 3, (1 << (bit[lo:hi] & 7)).astype(np.uint8))
-                short = n - -(-num * n // den) + 1
-                by_rank = np.lexsort((words[lo:hi], rank[lo:hi]))[:short] + lo
+                k = needed(n, num, den, log_longest)
+                by_rank = np.lexsort((words[lo:hi], rank[lo:hi]))[: n - -(-num * n // den) + k] + lo
                 raw = sig.tobytes()
                 at = route[by_rank]
-                for r in np.unique(at):
-                    out.append((int(r), i, n, raw, words[by_rank[at == r]]))
+                by_route = np.argsort(at, kind="stable")
+                cuts = np.flatnonzero(np.diff(at[by_route])) + 1
+                for places in np.split(by_route, cuts):
+                    out.append((int(at[places[0]]), i, n, k, raw, words[by_rank[places]], places))
             if out:
-                r, i, n, s, w = zip(*out, strict=True)
-                sizes = np.cumsum([0, *map(len, w)]).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(sizes), pa.array(np.concatenate(w)))
-                yield pa.RecordBatch.from_arrays([pa.array(r, pa.int32()), pa.array(i, pa.int64()), pa.array(n, pa.int32()), pa.array(s, pa.binary()), lists], ["route", "id", "n", "sig", "lists"])
+                r, i, n, k, s, w, p = zip(*out, strict=True)
+                sizes = pa.array(np.cumsum([0, *map(len, w)]).astype(np.int32))
+                lists = pa.ListArray.from_arrays(sizes, pa.array(np.concatenate(w)))
+                places = pa.ListArray.from_arrays(sizes, pa.array(np.concatenate(p).astype(np.int32)))
+                cols = [pa.array(r, pa.int32()), pa.array(i, pa.int64()), pa.array(n, pa.int32()), pa.array(k, pa.int32()), pa.array(s, pa.binary()), lists, places]
+                yield pa.RecordBatch.from_arrays(cols, ["route", "id", "n", "k", "sig", "lists", "places"])
 
     return run
 
 
+def _flat(column: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Values and sizes of a column of lists."""
+    column = column.combine_chunks()
+    if isinstance(column, pa.ChunkedArray):
+        column = column.chunk(0) if column.num_chunks else pa.array([], column.type)
+    return column.flatten().to_numpy(), np.diff(column.offsets.to_numpy())
+
+
 def _merge(num: int, den: int):
-    """Candidates of one route (or pair of its blocks): pairs that share a short list and whose signatures allow the overlap."""
+    """Merge of the short lists of one route (or pair of its blocks): pairs of sets with the number of lists that hold both, and the number they need."""
 
     def run(t: pa.Table) -> pa.Table:
-        t = t.combine_chunks()
         n = t["n"].to_numpy().astype(np.int64)
         order = np.argsort(n, kind="stable")
-        t, n = t.take(pa.array(order)).combine_chunks(), n[order]
-        ids = t["id"].to_numpy()
-        block = t["block"].to_numpy()
-        pair_of_blocks = len(np.unique(block)) > 1
+        t, n = t.take(pa.array(order)), n[order]
+        ids, k, block = t["id"].to_numpy(), t["k"].to_numpy(), t["block"].to_numpy()
+        across = len(np.unique(block)) > 1
         sig = np.frombuffer(b"".join(t["sig"].to_pylist()), np.uint64).reshape(len(n), -1)
-        lists = t["lists"].combine_chunks()
-        if isinstance(lists, pa.ChunkedArray):
-            lists = lists.chunk(0) if lists.num_chunks else pa.array([], lists.type)
-        flat, starts = lists.flatten().to_numpy(), lists.offsets.to_numpy()
-        starts = starts - starts[0]
+        flat, sizes = _flat(t["lists"])
+        place = _flat(t["places"])[0].astype(np.int64)
         _, word = np.unique(flat, return_inverse=True)
-        doc = np.repeat(np.arange(len(n)), np.diff(starts))
-        by_word = np.argsort(word, kind="stable")  # each list's documents are in order of their size
-        posting = doc[by_word]
-        bounds = np.searchsorted(word[by_word], np.arange(word.max() + 2 if len(word) else 1))
-        a_out, b_out = [], []
-        for q in range(len(n)):
-            # Partners before q are at most as large; the smallest that can share enough has ceil(t * n) words.
-            first = int(np.searchsorted(n, -(-num * n[q] // den)))
-            if first >= q:
-                continue
-            parts = []
-            for w in word[starts[q] : starts[q + 1]]:
-                p = posting[bounds[w] : bounds[w + 1]]
-                p = p[np.searchsorted(p, first) : np.searchsorted(p, q)]
-                if len(p):
-                    parts.append(p)
-            if not parts:
-                continue
-            c = parts[0] if len(parts) == 1 else np.unique(np.concatenate(parts))
-            if pair_of_blocks:
-                c = c[block[c] != block[q]]
-            differ = np.bitwise_count(sig[c] ^ sig[q]).sum(axis=1, dtype=np.int64)
-            c = c[differ * (num + den) <= (den - num) * (n[c] + n[q])]
-            if len(c):
-                a_out.append(ids[c])
-                b_out.append(np.full(len(c), ids[q]))
-        a = np.concatenate(a_out) if a_out else np.empty(0, np.int64)
-        b = np.concatenate(b_out) if b_out else np.empty(0, np.int64)
-        return pa.table({"id_a": np.minimum(a, b), "id_b": np.maximum(a, b)})
+        doc = np.repeat(np.arange(len(n)), sizes)
+        # Lists one after another, each in the order of its documents, which is that of their sizes.
+        by_list = np.lexsort((doc, word))
+        doc, place = doc[by_list], place[by_list]
+        key = word[by_list] * (len(n) + 1) + doc
+        # Partners of a document stand before it in the list; the smallest that can share enough has ceil(t * n) words.
+        least = np.searchsorted(n, -(-num * n // den))
+        low = np.searchsorted(key, key - doc + np.minimum(least[doc], doc))
+        many = np.arange(len(doc)) - low
+        ends = np.cumsum(many)
+        pairs, times = [], []
+        a = 0
+        while a < len(doc):
+            done = ends[a - 1] if a else 0
+            b = max(a + 1, int(np.searchsorted(ends, done + CHUNK, "right")))
+            of = np.repeat(np.arange(a, b), many[a:b])
+            with_ = np.arange(len(of)) - np.repeat(ends[a:b] - many[a:b] - done, many[a:b]) + low[of]
+            q, p, x, y = doc[of], doc[with_], place[of], place[with_]
+            # What both can have in common before, at and after these places has to be enough.
+            most = np.minimum(x, y) + 1 + np.minimum(n[q] - x, n[p] - y) - 1
+            keep = most * (num + den) >= num * (n[q] + n[p])
+            if across:
+                keep &= block[q] != block[p]
+            pair, c = np.unique(q[keep] * len(n) + p[keep], return_counts=True)
+            q, p = np.divmod(pair, len(n))
+            differ = np.concatenate([np.bitwise_count(sig[q[z : z + CHUNK // 16]] ^ sig[p[z : z + CHUNK // 16]]).sum(axis=1, dtype=np.int64) for z in range(0, max(len(q), 1), CHUNK // 16)])
+            near = differ * (num + den) <= (den - num) * (n[q] + n[p])
+            pairs.append(pair[near])
+            times.append(c[near])
+            a = b
+        pair, at = np.unique(np.concatenate(pairs), return_inverse=True) if pairs else (np.empty(0, np.int64), np.empty(0, np.int64))
+        c = np.bincount(at, np.concatenate(times), len(pair)).astype(np.int32) if pairs else np.empty(0, np.int32)
+        q, p = np.divmod(pair, len(n)) if len(n) else (pair, pair)
+        return pa.table({"id_a": np.minimum(ids[q], ids[p]), "id_b": np.maximum(ids[q], ids[p]), "times": c, "need": np.minimum(k[q], k[p])})
 
     return run
 
@@ -173,31 +199,32 @@ def similar_sets(reps: DataFrame, percent: int) -> DataFrame:
     bits = 128
     while bits < 1024 and bits < 3 * words / max(total, 1):
         bits *= 2
-    routes = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = reps.select("id", "words").mapInArrow(_router(spark.sparkContext.broadcast(order), routes, bits, num, den), "route int, id bigint, n int, sig binary, lists array<bigint>")
-    rows = materialize(rows)
-    # A row for each route that is cut, at most the number of routes.
-    cuts = rows.groupBy("route").agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int").alias("k")).where("k > 1")
-    block = F.pmod(F.xxhash64("id"), F.coalesce("k", F.lit(1)))
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    routes = max(tasks, (words * (den - num) // den + total) // ROUTE_ROWS)
+    columns = "route int, id bigint, n int, k int, sig binary, lists array<bigint>, places array<int>"
+    rows = materialize(reps.select("id", "words").mapInArrow(_router(spark.sparkContext.broadcast(order), routes, bits, num, den), columns))
+    # A row for each route that is cut: there are at most as many as BLOCK_ROWS goes into the rows.
+    cuts = rows.groupBy("route").agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int").alias("cut")).where("cut > 1")
+    block = F.pmod(F.xxhash64("id"), F.coalesce("cut", F.lit(1)))
     placed = (
         rows.join(F.broadcast(cuts), "route", "left")
         .withColumn("block", block.cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.coalesce("k", F.lit(1)) - 1)))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.coalesce("cut", F.lit(1)) - 1)))
         .withColumn("x", F.least("block", "other"))
         .withColumn("y", F.greatest("block", "other"))
     )
-    # As many tasks as routes, however few bytes they read: the work grows faster than the bytes.
-    found = placed.repartition(routes, "route", "x", "y").groupBy("route", "x", "y").applyInArrow(_merge(num, den), "id_a bigint, id_b bigint").distinct()
+    # As many tasks as there are now, however few bytes they read: the work grows faster than the bytes.
+    merged = placed.repartition(tasks, "route", "x", "y").groupBy("route", "x", "y").applyInArrow(_merge(num, den), "id_a bigint, id_b bigint, times int, need int")
+    found = merged.groupBy("id_a", "id_b").agg(F.sum("times").alias("times"), F.max("need").alias("need")).where("times >= need").select("id_a", "id_b")
     side = lambda s: reps.select(F.col("id").alias(f"id_{s}"), F.col("words").alias(f"words_{s}"))
     pairs = found.join(side("a"), "id_a").join(side("b"), "id_b").select("id_a", "id_b", "words_a", "words_b")
     return pairs.mapInArrow(_probe(num, den), "id_a bigint, id_b bigint, shared int")
 
 
 def _sets_and_links(df: DataFrame, id_col: str, text_col: str, percent: int, min_words: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    sets = word_sets(df, id_col, text_col, min_words)
-    members = materialize(sets.select("same", "id"))
+    sets = materialize(word_sets(df, id_col, text_col, min_words))
     reps = materialize(representatives(sets).select("same", "id", "words", "n", "copies"))
-    return members, reps, similar_sets(reps, percent)
+    return sets.select("same", "id"), reps, similar_sets(reps, percent)
 
 
 def like_pairs(df: DataFrame, id_col: str, text_col: str, percent: int = 70, min_words: int = 1) -> DataFrame:
@@ -231,9 +258,11 @@ def components(links: DataFrame) -> DataFrame:
         step = label.join(near, "id").select("id", "root", F.least("root", "near").alias("next"))
         jump = step.join(label.select(F.col("id").alias("next"), F.col("root").alias("far")), "next", "left")
         new = materialize(jump.select("id", F.col("root").alias("old"), F.least("next", F.coalesce("far", "next")).alias("root")))
+        release(label)
         if new.where("old <> root").isEmpty():
+            release(both)
             return new.select("id", "root")
-        label = new.select("id", "root")
+        label = new
 
 
 def like_groups(df: DataFrame, id_col: str, text_col: str, percent: int = 70, min_words: int = 1) -> DataFrame:

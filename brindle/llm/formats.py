@@ -1,7 +1,7 @@
 """Duplicates hidden by formatting: records equal but for white space, letter case, punctuation or field order.
 
-Columns are dictionary-encoded: each distinct value of a batch is made canonical once, split into fields, and every field value gets
-an integer identifier (a 64-bit hash, so that no table of values has to be joined, hot values or not). A record becomes the
+Columns are dictionary-encoded: rows are folded to their distinct values, each is made canonical once and split into fields, and every field
+value gets an integer identifier (128 bits of a hash, so that no table of identifiers has to be joined, hot values or not). A record becomes the
 sorted tuple of its field-value integers, and the compact tuples are grouped.
 """
 
@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brindle.session import narrow
+from brindle.session import materialize, narrow
 
 #: The marks that writings of one query differ in, besides white space and letter case.
 MARKS = "\"`',;"
@@ -68,42 +68,57 @@ def query_fields(text: str) -> list[str]:
     return ["\0" + "".join(rest), *fields]
 
 
-def _coder(fields_of: Callable[[str], list[str]]):
-    def ident(field: str) -> int:
-        v = xxhash.xxh64_intdigest(field.encode("utf-8", "surrogatepass"))
-        return v - (1 << 64) if v >> 63 else v
+def record_code(fields: list[str]) -> list[int]:
+    """The sorted field-value identifiers of a record, 128 bits each, as pairs of 64-bit integers: what is alike is alike in all of its 128 bits."""
+    out: list[int] = []
+    for v in sorted(xxhash.xxh3_128_intdigest(f.encode("utf-8", "surrogatepass")) for f in fields):
+        out += [x - (1 << 64) if x >> 63 else x for x in (v >> 64, v & (1 << 64) - 1)]
+    return out
+
 
+def _coder(fields_of: Callable[[str], list[str]]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            column = b.column(0).dictionary_encode()
-            codes = [sorted(map(ident, fields_of(v))) for v in column.dictionary.to_pylist()]
-            code = pa.array(codes, pa.list_(pa.int64())).take(column.indices)
+            code = pa.array([record_code(fields_of(v)) for v in b.column(0).to_pylist()], pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([code, *b.columns[1:]], ["code", *b.schema.names[1:]])
 
     return run
 
 
-def encode_records(df: DataFrame, text_col: str, keep: dict[str, str], fields_of: Callable[[str], list[str]] = query_fields) -> DataFrame:
-    """code (sorted array of field-value integers) of each row with a text, and the columns of keep (new name -> name in df)."""
-    src = narrow(df, __text=text_col, **keep).where("__text is not null")
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema.fields[1:])
-    return src.mapInArrow(_coder(fields_of), f"code array<bigint>, {kept}")
+def _dictionary(values: DataFrame, fields_of: Callable[[str], list[str]]) -> DataFrame:
+    """values (one row for each distinct text, in the first column) with the text rewritten as its code."""
+    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in values.schema.fields[1:])
+    return values.mapInArrow(_coder(fields_of), f"code array<bigint>, {kept}")
 
 
-def collapse_formats(df: DataFrame, id_col: str = "query_id", text_col: str = "query_text", count_col: str = "exec_count") -> DataFrame:
+def collapse_formats(df: DataFrame, id_col: str = "query_id", text_col: str = "query_text", count_col: str = "exec_count", fields_of: Callable[[str], list[str]] = query_fields) -> DataFrame:
     """One row for each record: first_id (the smallest id of its copies), copies, total (sum of count_col, null where all are null), n_fields.
 
     Null texts are no records and are left out; empty and blank texts are copies of each other. Rows repeated with the same id count
     as copies each. Whole texts count. Extra columns are ignored. An empty table gives no rows. A hot record costs one row per
-    input partition, as copies are pre-aggregated.
+    input partition, as copies are pre-aggregated, by text first and by code then.
     """
-    coded = encode_records(df, text_col, {"id": id_col, "n": count_col})
-    return coded.groupBy("code").agg(F.min("id").alias("first_id"), F.count(F.lit(1)).alias("copies"), F.sum("n").alias("total")).select("first_id", "copies", "total", F.size("code").alias("n_fields"))
+    src = narrow(df, text=text_col, id=id_col, n=count_col).where("text is not null")
+    values = src.groupBy("text").agg(F.min("id").alias("first_id"), F.count(F.lit(1)).alias("copies"), F.sum("n").alias("total"))
+    coded = _dictionary(values, fields_of)
+    grouped = coded.groupBy("code").agg(F.min("first_id").alias("first_id"), F.sum("copies").alias("copies"), F.sum("total").alias("total"))
+    return grouped.select("first_id", "copies", "total", F.expr("size(code) div 2").cast("int").alias("n_fields"))
 
 
-def format_copies(df: DataFrame, id_col: str = "query_id", text_col: str = "query_text") -> DataFrame:
-    """first_id, id: every copy of a record but the one with the smallest id. Cases as in collapse_formats."""
-    coded = encode_records(df, text_col, {"id": id_col})
-    # A record's rows meet one row of its group; a hot record's side is split by adaptive skew handling, as that row can go to every part.
-    groups = coded.groupBy("code").agg(F.min("id").alias("first_id"), F.count(F.lit(1)).alias("n")).where("n > 1").select("code", "first_id")
-    return coded.join(groups, "code").where(F.col("id") > F.col("first_id")).select("first_id", "id")
+def format_copies(df: DataFrame, id_col: str = "query_id", text_col: str = "query_text", fields_of: Callable[[str], list[str]] = query_fields) -> DataFrame:
+    """first_id, id: every copy of a record but the one with the smallest id. Cases as in collapse_formats.
+
+    Each distinct text is made canonical once. Texts of one row, which are most, are settled in the dictionary; the rows of the others
+    meet it by 128 bits of their text's hash.
+    """
+    src = narrow(df, text=text_col, id=id_col).where("text is not null")
+    # The text itself is shuffled once; what is written is narrow.
+    values = src.groupBy("text").agg(F.min("id").alias("own"), F.count(F.lit(1)).alias("n"), F.xxhash64("text").alias("h1"), F.xxhash64("text", F.lit(1)).alias("h2"))
+    coded = materialize(_dictionary(values, fields_of))
+    groups = coded.groupBy("code").agg(F.min("own").alias("first_id"), F.count(F.lit(1)).alias("texts"), F.max("n").alias("most")).where("texts > 1 or most > 1").select("code", "first_id")
+    found = coded.join(groups, "code").select("h1", "h2", "own", "n", "first_id")
+    single = found.where("n = 1").select("first_id", F.col("own").alias("id"))
+    # A text with many rows: its side is split by adaptive skew handling, as the dictionary's one row can go to every part.
+    rows = src.select("id", F.xxhash64("text").alias("h1"), F.xxhash64("text", F.lit(1)).alias("h2"))
+    several = rows.join(found.where("n > 1").select("h1", "h2", "first_id"), ["h1", "h2"]).select("first_id", "id")
+    return single.unionByName(several).where(F.col("id") > F.col("first_id"))

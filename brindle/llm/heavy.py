@@ -9,7 +9,9 @@ needed to decode every such value; the parity symbols reject mixtures of several
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Mapping
+from dataclasses import dataclass
 from functools import lru_cache
 from itertools import product
 
@@ -18,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from brindle.session import materialize, reaches, release
+
 DATA, PARITY = 8, 4
 WORD = DATA + PARITY
 POSITIONS = 2 * WORD
@@ -25,6 +29,8 @@ SYMBOLS = 16
 CELLS = POSITIONS * SYMBOLS
 #: A group whose lists of heavy symbols allow more data words than this is hashed again into finer groups.
 MAX_WORDS = 200_000
+#: Candidates that stand in the plan of the exact pass; more come as a table.
+FEW = 2_000
 
 
 @lru_cache(maxsize=1)
@@ -59,15 +65,6 @@ def symbols(fingerprints: np.ndarray) -> np.ndarray:
     return np.concatenate([encode(nibbles[:, :DATA]), encode(nibbles[:, DATA:])], axis=1)
 
 
-def group_of(fingerprints: np.ndarray, groups: int, seed: int) -> np.ndarray:
-    u = fingerprints.view(np.uint64)
-    with np.errstate(over="ignore"):
-        h = (u ^ np.uint64(0x9E3779B97F4A7C15 * (2 * seed + 1) % 2**64)) * np.uint64(0xD6E8FEB86659FD93)
-        h ^= h >> np.uint64(32)
-        h *= np.uint64(0xD6E8FEB86659FD93)
-    return ((h >> np.uint64(33)) % np.uint64(groups)).astype(np.int64)
-
-
 def decode(heavy: dict[int, list[list[int]]]) -> tuple[list[int], list[int]]:
     """(fingerprints, crowded groups) of the heavy symbols of each group: POSITIONS lists per group."""
     found: list[int] = []
@@ -94,8 +91,8 @@ def decode(heavy: dict[int, list[list[int]]]) -> tuple[list[int], list[int]]:
     return [f - 2**64 if f >= 2**63 else f for f in found], crowded
 
 
-def _sketch(kinds: int, groups: int, seed: int, only: dict[int, tuple[int, int, frozenset[int]]]):
-    """Counters of a task: rows of kind, cell, n; the cell -1 counts all rows. only: kind -> (groups, seed, members) of the pass before."""
+def _sketch(kinds: int, groups: int):
+    """Counters of a task: rows of kind, cell, n; the cell -1 counts all rows. Columns: a fingerprint for each kind, then the group of each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros((kinds, groups * CELLS), np.int64)
@@ -104,73 +101,100 @@ def _sketch(kinds: int, groups: int, seed: int, only: dict[int, tuple[int, int,
         for b in batches:
             rows += b.num_rows
             for k in range(kinds):
-                f = b.column(k).drop_null().to_numpy(zero_copy_only=False)
-                f, n = np.unique(f, return_counts=True)
-                if k in only:
-                    g0, s0, members = only[k]
-                    keep = np.isin(group_of(f, g0, s0), list(members))
-                    f, n = f[keep], n[keep]
+                # A null group: the item is null, or has been decided in a pass before.
+                here = b.column(kinds + k).is_valid()
+                f = b.column(k).filter(here).to_numpy(zero_copy_only=False)
                 if len(f):
-                    cell = group_of(f, groups, seed)[:, None] * CELLS + place + symbols(f)
+                    group = b.column(kinds + k).filter(here).to_numpy(zero_copy_only=False).astype(np.int64)
+                    f, first, n = np.unique(f, return_index=True, return_counts=True)
+                    cell = group[first][:, None] * CELLS + place + symbols(f)
                     counts[k] += np.bincount(cell.ravel(), np.repeat(n, POSITIONS), groups * CELLS).astype(np.int64)
         for k in range(kinds):
             at = np.flatnonzero(counts[k])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(len(at) + 1, k, np.int32)), pa.array(np.append(at, -1).astype(np.int32)), pa.array(np.append(counts[k][at], rows))], ["kind", "cell", "n"]
-            )
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at) + 1, k, np.int32)), pa.array(np.append(at, -1)), pa.array(np.append(counts[k][at], rows))], ["kind", "cell", "n"])
 
     return run
 
 
-def candidates(prints: DataFrame, kinds: int, share_ppm: int) -> tuple[dict[int, list[int]], int]:
-    """Fingerprints that may be on a share of the rows, by kind, and the number of rows. prints: one bigint column for each kind."""
-    found: dict[int, list[int]] = {k: [] for k in range(kinds)}
-    total, seed, only = 0, 0, {}
-    groups = max(256, -(-1_250_000 // max(share_ppm, 1)))
-    while True:
-        cells = prints.mapInArrow(_sketch(kinds, groups, seed, only), "kind int, cell int, n long").groupBy("kind", "cell").agg(F.sum("n").alias("n"))
-        all_rows = cells.where("cell = -1").select("kind", F.col("n").alias("total"))
-        # One row for each kind; the result has at most POSITIONS / share rows for each kind.
-        heavy = cells.join(F.broadcast(all_rows), "kind").where(F.col("n") * 1_000_000 >= F.col("total") * share_ppm).collect()
-        by_group: dict[int, dict[int, list[list[int]]]] = {k: {} for k in range(kinds)}
-        for r in heavy:
-            if r["cell"] < 0:
-                total = r["n"]
-                continue
-            g, cell = divmod(r["cell"], CELLS)
-            by_group[r["kind"]].setdefault(g, [[] for _ in range(POSITIONS)])[cell // SYMBOLS].append(cell % SYMBOLS)
-        again = {}
+def _group(print_col: str, groups: int, seed: int) -> Column:
+    return F.pmod(F.xxhash64(F.col(print_col), F.lit(seed)), F.lit(groups)).cast("int")
+
+
+@dataclass
+class Candidates:
+    """found: fingerprints that may reach the share, by kind. crowded: kind -> (groups, seed, numbers) of the groups that were not decoded; total: all rows."""
+
+    found: list[set[int]]
+    crowded: dict[int, tuple[int, int, list[int]]]
+    total: int
+
+
+def candidates(prints: DataFrame, kinds: int, share: float, memory_mb: int = 64, passes: int = 3) -> Candidates:
+    """What may be on a share of the rows. prints: one bigint column f0, f1, ... for each kind.
+
+    Every value that reaches the share is among found or in a crowded group. A pass has as many groups as the share calls for, at most
+    those whose counters fill memory_mb; groups that stay crowded are hashed again into other groups, passes times in all.
+    """
+    room = max(1, memory_mb * 2**20 // (8 * CELLS * kinds))
+    groups = min(room, max(256, math.ceil(1.25 / share)))
+    out = Candidates([set() for _ in range(kinds)], {}, 0)
+    for seed in range(passes):
+        only = out.crowded
+        cols = [F.col(f"f{k}") for k in range(kinds)]
         for k in range(kinds):
-            if seed and k not in only:
-                continue
-            good, crowded = decode(by_group[k])
-            found[k] += good
+            g = F.when(F.col(f"f{k}").isNotNull(), _group(f"f{k}", groups, seed))
+            if seed:
+                g = F.when(_group(f"f{k}", *only[k][:2]).isin(only[k][2]), g) if k in only else F.lit(None).cast("int")
+            cols.append(g.alias(f"g{k}"))
+        # A bounded table, of kinds x groups x CELLS counters at most; written, as it is read twice.
+        cells = materialize(prints.select(*cols).mapInArrow(_sketch(kinds, groups), "kind int, cell long, n long").groupBy("kind", "cell").agg(F.sum("n").alias("n")))
+        out.total = cells.where("cell = -1").agg(F.coalesce(F.max("n"), F.lit(0))).first()[0]
+        # At most POSITIONS / share rows for each kind and group: symbols of a group sum to at most the rows.
+        heavy = cells.where((F.col("cell") >= 0) & reaches(F.col("n"), out.total, share)).collect()
+        release(cells)
+        by_group: dict[int, dict[int, list[list[int]]]] = {}
+        for kind, cell, _ in heavy:
+            g, at = divmod(cell, CELLS)
+            by_group.setdefault(kind, {}).setdefault(g, [[] for _ in range(POSITIONS)])[at // SYMBOLS].append(at % SYMBOLS)
+        out.crowded = {}
+        for k, lists in by_group.items():
+            good, crowded = decode(lists)
+            out.found[k] |= set(good)
             if crowded:
-                again[k] = (groups, seed, frozenset(crowded))
-        if not again:
-            return found, total
-        # Kinds that are done are given no members. Finer groups: what shared a group is spread over twice as many.
-        only = {k: again.get(k, (1, 0, frozenset())) for k in range(kinds)}
-        groups, seed = 2 * groups, seed + 1
-        if seed > 8:
-            raise RuntimeError(f"groups stay crowded after {seed} passes at a share of {share_ppm} parts per million")
+                out.crowded[k] = (groups, seed, crowded)
+        if not out.crowded:
+            break
+        # What is left is a part of the items, so that as many groups as memory holds are the finest there can be.
+        groups = min(room, 2 * groups)
+    return out
 
 
-def frequent_items(df: DataFrame, items: Mapping[str, Column], share: float = 0.005) -> DataFrame:
+def frequent_items(df: DataFrame, items: Mapping[str, Column], share: float = 0.005, memory_mb: int = 64) -> DataFrame:
     """Values on at least `share` of all rows, of several columns at once: kind, item_text, n_rows, all_rows; counts are exact.
 
     items: kind -> string column over df. Null and empty values are no items, but their rows count in all_rows; so do repeated rows. Ties
-    at the threshold are all in. An empty table gives no rows. Memory of a task: 384 counters for each
-    kind and group, with at least 256 groups and 1.25 for each value that the share has room for.
-    Every value that reaches the share is found: its counters are sums that include all its rows, so they reach the threshold too.
+    at the threshold are all in. An empty table gives no rows. share: any decimal number of at most 15 places. memory_mb: counters of a task, 384 for each
+    kind and group; groups are 1.25 for each value that the share has room for, at least 256, and no more than fit.
+    Every value that reaches the share is found: its counters are sums that include all its rows, so they reach the threshold too. Items of groups that
+    are too crowded to decode after several passes (very small shares in little memory) are counted one by one in the exact pass instead.
     """
-    ppm = round(share * 1_000_000)
     values = [F.when(c != "", c) for c in items.values()]
     prints = df.select(*[F.when(v.isNotNull(), F.xxhash64(v)).alias(f"f{k}") for k, v in enumerate(values)])
-    found, total = candidates(prints, len(items), ppm)
-    out = None
+    c = candidates(prints, len(items), share, memory_mb)
+    # One pass counts the candidates of all kinds.
+    base = df.select(*[v.alias(f"v{k}") for k, v in enumerate(values)]).select("*", *[F.xxhash64(f"v{k}").alias(f"f{k}") for k in range(len(values))])
+    few = sum(map(len, c.found)) <= FEW
+    if not few:
+        # At most 1 / share values for each kind, by a join instead of in the plan.
+        for k, found in enumerate(c.found):
+            listed = df.sparkSession.createDataFrame(pa.table({f"f{k}": pa.array(sorted(found), pa.int64()), f"is{k}": pa.array([True] * len(found))}))
+            base = base.join(F.broadcast(listed), f"f{k}", "left")
+    wanted = []
     for k, kind in enumerate(items):
-        one = df.select(values[k].alias("item_text")).where(F.xxhash64("item_text").isin(found[k]) if found[k] else F.lit(False))
-        one = one.groupBy("item_text").agg(F.count(F.lit(1)).alias("n_rows")).select(F.lit(kind).alias("kind"), "item_text", "n_rows")
-        out = one if out is None else out.unionByName(one)
-    return out.where(F.col("n_rows") * 1_000_000 >= F.lit(total * ppm)).withColumn("all_rows", F.lit(total).cast("long"))
+        asked = F.coalesce(f"is{k}", F.lit(False)) if not few else F.col(f"f{k}").isin(sorted(c.found[k])) if c.found[k] else F.lit(False)
+        if k in c.crowded:
+            groups, seed, members = c.crowded[k]
+            asked = asked | _group(f"f{k}", groups, seed).isin(members)
+        wanted.append(F.struct(F.lit(kind).alias("kind"), F.when(asked, F.col(f"v{k}")).alias("item_text")))
+    counted = base.select(F.inline(F.array(*wanted))).where(F.col("item_text").isNotNull()).groupBy("kind", "item_text").agg(F.count(F.lit(1)).alias("n_rows"))
+    return counted.where(reaches(F.col("n_rows"), c.total, share)).select("kind", "item_text", "n_rows", F.lit(c.total).cast("long").alias("all_rows"))

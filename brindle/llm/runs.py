@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from brindle.operators.ordering import ordered_pieces, stream_key
-from brindle.session import materialize, narrow
+from brindle.session import materialize, narrow, release
 
 #: Characters other than the space that split words.
 SPACE = "".join(map(chr, (*range(9, 14), *range(0x1C, 0x20), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
@@ -150,8 +150,11 @@ def collapse_runs(
         F.col("line").isNull().alias("none"),
     )
     gap_ns = int(gap_s * 1_000_000_000)
+    # Narrow rows are written before they are put in order, so that the sampling of the ranges doesn't make all events canonical a second time.
+    keyed = materialize(rows)
     # Long runs and edges only, a small table; written, as it is read twice.
-    folded = materialize(ordered_pieces(rows, "stream", "ns", "id", "event").mapInArrow(_fold(min_rows, gap_ns), _ROWS))
+    folded = materialize(ordered_pieces(keyed, "stream", "ns", "id", "event").mapInArrow(_fold(min_rows, gap_ns), _ROWS))
+    release(keyed)
     inside = F.col("edge") == INSIDE
     # The edges of all pieces in order: at most two rows for each piece, so one task holds them.
     order = Window.orderBy("piece", "edge", "first_ns")

@@ -80,7 +80,7 @@ def test_code_corrects():
 def test_decode_finds_all_or_says_crowded(groups, items):
     rng = np.random.default_rng(groups)
     prints = rng.integers(-(2**63), 2**63 - 1, items)
-    at = heavy.group_of(prints, groups, 0)
+    at = prints % groups
     lists = defaultdict(lambda: [[] for _ in range(heavy.POSITIONS)])
     for g, word in zip(at, heavy.symbols(prints), strict=True):
         for p, x in enumerate(word):
@@ -108,6 +108,15 @@ def test_frequent_items_at_the_edge(spark):
     assert heavy.frequent_items(df.limit(0), {"x": F.col("line")}, 0.05).count() == 0
 
 
+@pytest.mark.parametrize("share,memory_mb", [(4e-7, 1), (1.5e-3, 1), (0.0015, 64), (0.01, 1)])
+def test_small_shares_in_little_memory(spark, share, memory_mb):
+    rng = random.Random(7)
+    rows = [(f"w{int(rng.paretovariate(0.5)) % 5000}",) for _ in range(4000)]
+    df = spark.createDataFrame(rows, "line string").repartition(3)
+    got = {(r.item_text, r.n_rows) for r in heavy.frequent_items(df, {"x": F.col("line")}, share, memory_mb).collect()}
+    assert got == {(t, n) for t, n in Counter(t for (t,) in rows).items() if n >= share * 4000}
+
+
 # --- Runs ------------------------------------------------------------------------------------------------------------
 
 
