@@ -82,12 +82,12 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
 
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
     """Documents that hold template residue, filler, error pages or notices about scripts."""
-    return residue.find_residue(table(spark, d, "documents").select("doc_id", "text")).select(F.col("id").alias("doc_id"))
+    return residue.find_residue(table(spark, d, "documents"), language_col="lang").select(F.col("id").alias("doc_id"))
 
 
 def p10_clean(spark: SparkSession, d: str) -> DataFrame:
     """The other documents, whole."""
-    return residue.without_residue(table(spark, d, "documents")).select("doc_id", "text")
+    return residue.without_residue(table(spark, d, "documents"), language_col="lang").select("doc_id", "text")
 
 
 QUERIES = {f.__name__: f for f in (p4_found, p4_records, p5_found, p5_counts, p6_found, p6_runs, p7_found, p7_groups, p8_ids, p9_mix, p9_shares, p10_found, p10_clean)}

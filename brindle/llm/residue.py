@@ -1,11 +1,19 @@
 """Template residue and error-page text: records that hold unfilled slots, filler, error pages or notices about scripts.
 
-A text is cut into units (lines and sentences, without markup). Units whose form says it all are cases by themselves: slots in a syntax of
-template languages, lines of filler, error pages and notices standing as such. Units in a form that reviewers use too (brackets,
-braces, hashes) are aligned with the records of the same template: a slot is one where it keeps a name that is a variable's name in other
-records, or where its unit with the slots blanked is that of other records with slots, or where other records fill its position with values that
-vary; there a blank or a default is a slot as well. Texts that only look like a page are cases where they recur as the whole text of several
-records, however long they are and whatever their lines, and short ones also where they stand as a unit within another record, unless they do so more often than alone.
+A text is cut into units (lines and sentences, without markup), and units are aligned with those of all records by their frames: the unit with its
+slots and varying words blanked, and the two or three words that it begins or ends with. Three things make a record a case.
+
+*Whole-page templates that recur.* What a site or a form puts in place of a review stands as the whole text of some records and within others, whatever
+language their reviewers write. A sentence of reviewers stands among sentences of its own language, a headline-like review stands alone only, and
+a copied review is not one unit. So a frame, beginning or end is a template's where it is the whole text of several records, within others at most ten times
+as often, and there in no language for the most part. This needs no word list; the language of a record comes from a column that may be null or wrong at times.
+
+*Slots.* Slot syntaxes of template languages are cases by form. Brackets that reviewers use too count where they keep a name that stands in a slot of
+other records, or where the unit with its slots blanked is that of other records with slots. Records of one template are aligned by the
+texts between its slots; a name, a default or a blank counts at a position that other records fill with values that vary.
+
+*Seeds.* Fixed expressions for common messages, filler and notices in eight languages, for tables where a text doesn't recur. They cover
+no language or site beyond what they list. Texts that only look like a page count where they recur as the whole text of several records.
 """
 
 from __future__ import annotations
@@ -27,12 +35,12 @@ _NAME = r"[^\W\d_][\w.]*"
 #: Slot syntaxes that no reviewer writes; the groups hold the variable's name.
 _STRONG = re.compile(
     rf"\{{\{{\s*({_NAME})\s*\}}\}}|\$\{{\s*({_NAME})\s*\}}|%\(({_NAME})\)[sd]|<%[=-]?\s*({_NAME})\s*-?%>|\{{%-?\s*(?:\w+\s+)?({_NAME})\s*-?%\}}|@@({_NAME})@@|__({_NAME}?[^\W_])__|\[\[\s*({_NAME})\s*\]\]"
-    r"|<(\w+)_here>|\{(\d{1,2})\}|#([^\W\d_]\w{0,40})#|%([^\W\d_]\w{0,40})%"
-    r"|[\[(<](?:insert|fill in|add|enter|your|hier|insérer|insérez|escriba aquí|inserisci|inserire|vul hier|vul|insira|coloque|вставьте|введите)\s+([^\[\](){}<>\n]{1,40}?)(?:\s+(?:here|goes here|einsetzen|einfügen|eintragen|ici|aquí|qui|in|in te vullen|aqui|сюда|здесь))?[\])>]",
+    r"|<(\w+)_here>|\{(\d{1,2})\}|#([^\W\d_]\w*)#|%([^\W\d_]\w*)%"
+    r"|[\[(<](?:insert|fill in|add|enter|your|hier|insérer|insérez|escriba aquí|inserisci|inserire|vul hier|vul|insira|coloque|вставьте|введите)\s+([^\[\](){}<>\n]+?)(?:\s+(?:here|goes here|einsetzen|einfügen|eintragen|ici|aquí|qui|in|in te vullen|aqui|сюда|здесь))?[\])>]",
     re.IGNORECASE,
 )
 #: Syntaxes that reviewers use too.
-_WEAK = re.compile(r"\[([^\W\d_][\w .]{0,40})\]|\{([^\W\d_][\w.]{0,40})\}|<([^\W\d_]\w{0,40})>")
+_WEAK = re.compile(r"\[([^\W\d_][\w .]*)\]|\{([^\W\d_][\w.]*)\}|<([^\W\d_]\w*)>")
 _TAGS = (
     "a abbr b big blockquote body br button center code dd div dl dt em font footer form h1 h2 h3 h4 h5 h6 head header hr html i iframe img input label li link main meta nav noscript ol p pre s "
     "script section small span strong style sub sup table tbody td th thead title tr tt u ul"
@@ -82,7 +90,7 @@ _REASON = (
 _END = r"(?:\s*$|(?=\s+(?-i:[^\W\d_a-zß-öø-ÿ]|[¡¿])))"
 _ERROR = re.compile(
     rf"""\s*(?:
-    (?:(?:err(?:or)?|http|status|code|http\s+status|error\s+code)\b\s*[:#]?\s*|http/\d(?:\.\d)?\s+)?[45]\d\d\s*[-–—:/|.,)]*\s*{_REASON}\b.{{0,60}}?{_END}
+    (?:(?:err(?:or)?|http|status|code|http\s+status|error\s+code)\b\s*[:#]?\s*|http/\d(?:\.\d)?\s+)?[45]\d\d\s*[-–—:/|.,)]*\s*{_REASON}\b.*?{_END}
     |(?:error|http|status)?\s*[:\-–]?\s*{_REASON}\s*(?:[.!]|\(?\s*[45]\d\d\)?|[\s\-–—/|:]|ray\b|trace\b|request\s+id\b|incident\b|ref\b|id\b|\(|[0-9a-f]{{6,}}|\))*?{_END}
     |(?:error|err|http|status|code)\s*[:#]?\s*[45]\d\d\s*[.!)]*{_END}
     |\{{\s*"?(?:error|status|code|message)"?\s*:\s*.*?\}}{_END}
@@ -94,8 +102,8 @@ _ERROR = re.compile(
     |(?:database|db|sql|mysql|redis|backend|upstream)\s+(?:connection|request|error|query|server)\b.*(?:fail|timeout|timed\s+out|refused|lost|error|reset|unavailable|gone)
     |(?:the\s+|our\s+|this\s+)?(?:server|service|site|system|website)\s+(?:is\s+)?(?:temporarily|currently|momentarily)?\s*(?:unavailable|overloaded|down\s+for\s+maintenance|under\s+maintenance)\b
     |access\s+to\s+this\s+(?:page|site|resource|website|section)\s+(?:was|is|has\s+been)\s+(?:denied|blocked|forbidden|restricted)
-    |(?:the|this|that)\s+(?:requested\s+)?(?:page|address|resource|url|document|file|link|item|review|content|site)\b.{{0,45}}\b(?:could\s+not\s+be\s+found|couldn['’]t\s+be\s+found|(?:can(?:not|['’]t)|could\s?n['’]t)\s+be\s+(?:found|displayed|shown|loaded)|was\s+not\s+found|does\s+not\s+exist|doesn['’]t\s+exist|no\s+longer\s+(?:available|exists?)|is\s+not\s+available(?:[.!\s]*{_END}|\s+(?:in\s+your|at\s+this|right\s+now))|failed\s+to\s+load|has\s+been\s+(?:removed|moved))
-    |(?:sorry|oops|uh-?oh|whoops|hmm|oh\s+no)\b[,!.\s–-]+(?:we|something|this|that|the|an?)\b.{{0,60}}(?:snag|went\s+wrong|failed|problem|error|not\s+found|broke|unavailable|could\s?n['’]t|cannot|couldn|did(?:\s+not|n['’]t)\s+work)
+    |(?:the|this|that)\s+(?:requested\s+)?(?:page|address|resource|url|document|file|link|item|review|content|site)\b.*\b(?:could\s+not\s+be\s+found|couldn['’]t\s+be\s+found|(?:can(?:not|['’]t)|could\s?n['’]t)\s+be\s+(?:found|displayed|shown|loaded)|was\s+not\s+found|does\s+not\s+exist|doesn['’]t\s+exist|no\s+longer\s+(?:available|exists?)|is\s+not\s+available(?:[.!\s]*{_END}|\s+(?:in\s+your|at\s+this|right\s+now))|failed\s+to\s+load|has\s+been\s+(?:removed|moved))
+    |(?:sorry|oops|uh-?oh|whoops|hmm|oh\s+no)\b[,!.\s–-]+(?:we|something|this|that|the|an?)\b.*(?:snag|went\s+wrong|failed|problem|error|not\s+found|broke|unavailable|could\s?n['’]t|cannot|couldn|did(?:\s+not|n['’]t)\s+work)
     |something\s+went\s+wrong\b
     |we\s+(?:hit\s+a\s+snag|are\s+having\s+(?:technical\s+)?(?:problems|difficulties)|could\s?n['’]t\s+(?:load|find)\s+(?:this|that|the)\s+page)
     |(?:we|this\s+(?:site|page|shop)|our\s+(?:site|shop))\s+(?:are|is)\s+(?:currently\s+|temporarily\s+)?(?:down|offline|under|closed)\s+(?:for\s+)?maintenance
@@ -103,13 +111,13 @@ _ERROR = re.compile(
     |your\s+(?:session|login)\s+(?:has\s+)?(?:expired|timed\s+out)
     |session\s+(?:has\s+)?expired\b[.!;,]?(?:\s*(?:please\b|log|sign)|{_END})
     |too\s+many\s+requests\s+(?:from|in|for)\b
-    |die\s+(?:angeforderte|gesuchte|gewünschte)\s+(?:seite|adresse|datei)\b.{{0,40}}nicht|(?:der|unser)\s+(?:dienst|server)\s+ist\s+(?:vorübergehend|zurzeit|derzeit|momentan)
+    |die\s+(?:angeforderte|gesuchte|gewünschte)\s+(?:seite|adresse|datei)\b.*nicht|(?:der|unser)\s+(?:dienst|server)\s+ist\s+(?:vorübergehend|zurzeit|derzeit|momentan)
     |seite\s+nicht\s+(?:erreichbar|gefunden)|zugriff\s+verweigert|zeitüberschreitung\b|interner\s+(?:server)?fehler\b|(?:ihre|deine)\s+sitzung\s+ist\s+abgelaufen|dienst\s+nicht\s+verfügbar
     |page\s+(?:introuvable|non\s+trouvée)|acc[eè]s\s+(?:refusé|interdit)|délai\s+(?:d['’]attente\s+)?dépassé|cette\s+page\s+(?:est\s+)?(?:momentanément|temporairement|n['’]est\s+pas|n['’]existe|est\s+introuvable)|erreur\s+(?:interne|serveur)\b|service\s+(?:momentanément\s+)?indisponible|votre\s+session\s+a\s+expiré
     |p[áa]gina\s+n[oã]o?\s+encontrada|acceso\s+denegado|tiempo\s+de\s+espera\s+agotado|se\s+ha\s+producido\s+un\s+error|(?:el\s+)?servicio\s+no\s+(?:está\s+)?disponible|su\s+sesión\s+ha\s+(?:expirado|caducado)|error\s+interno\b
     |la\s+(?:sua\s+|tua\s+)?sessione\s+è\s+scaduta|pagina\s+non\s+trovata|accesso\s+negato|si\s+è\s+verificato\s+un\s+errore|tempo\s+scaduto|servizio\s+non\s+disponibile|errore\s+interno\b
     |pagina\s+niet\s+gevonden|toegang\s+geweigerd|er\s+is\s+(?:een\s+fout|iets\s+mis)|acesso\s+negado|tempo\s+(?:de\s+espera\s+)?esgotado|ocorreu\s+um\s+erro|serviço\s+indisponível|sessão\s+expirada|a\s+sua\s+sessão
-    |.{{0,12}}(?:ページ|サーバー|サービス|アクセス|セッション|エラー).{{0,10}}(?:見つかりません|利用できません|拒否|切れました|発生しました|エラー)
+    |.*?(?:ページ|サーバー|サービス|アクセス|セッション|エラー).*?(?:見つかりません|利用できません|拒否|切れました|発生しました|エラー)
     |страница\s+не\s+найдена|доступ\s+(?:запрещ|закрыт)|сервер\s+(?:временно\s+)?недоступен|время\s+ожидания\s+истекло|внутренняя\s+ошибка|сессия\s+истекла|произошла\s+ошибка
     )""",
     re.IGNORECASE | re.VERBOSE | re.DOTALL,
@@ -157,7 +165,7 @@ _OPENS = re.compile(
 )
 _VARYING = re.compile(r"\b(?=\w*\d)[\w-]+\b")
 
-CERTAIN, ALIGNED, WHOLE, WITHIN, EVIDENCE, TEMPLATE, FIRST = "certain", "aligned", "whole", "within", "evidence", "template", "first"
+CERTAIN, ALIGNED, WHOLE, WITHIN, EVIDENCE, FORM, ALONE, AMONG = "certain", "aligned", "whole", "within", "evidence", "form", "alone", "among"
 
 # --- Alignment -------------------------------------------------------------------------------------------------------
 
@@ -173,8 +181,14 @@ _WORD = re.compile(r"\w+")
 #: What a unit must hold for a slot, and for a default, to be worth a search.
 _MARK = re.compile(r"[\[{<$%@#_(]")
 _DEFAULT_PARTS = ("n/a", "null", "none", "nil", "nan", "undefined", "unknown", "tbd", "default", " here", "name", "valued", "xxx", "???")
-#: Words of an anchor at most, and bits of the filter that anchors are looked up in.
-_ANCHOR, _BITS = 4, 1 << 20
+#: Words of an anchor at most, and bits of the filters that keys are looked up in before they leave a task.
+_ANCHOR, _BITS = 4, 1 << 23
+#: Units and word runs that a task remembers the keys of.
+CACHE = 50_000
+#: Any bracketed run that may be a slot; the frame of a unit blanks it.
+_SLOT = re.compile(
+    r"\{\{[^{}\n]*\}\}|\$\{[^{}\n]*\}|%\(\w+\)[sd]|<%[^%\n]*%>|\{%[^%\n]*%\}|@@\w+?@@|__[^\W_](?:\w*[^\W_])?__|\[\[[^\[\]\n]*\]\]|#[^\W\d_]\w*#|%[^\W\d_]\w*%|\[[^\[\]\n]+\]|<[^<>\n/]+>|\{[^{}\n]+\}"
+)
 
 
 def _key(text: str) -> int:
@@ -193,6 +207,22 @@ def _gapped(unit: str) -> str | None:
     return re.sub("\x01 (?=[,.])", "\x01", _plain(_GAP.sub(" \x01 ", unit)))
 
 
+def frame(unit: str) -> str:
+    """The unit with its slots and words that hold a digit blanked, in lower case, without marks at its ends."""
+    slots = _SLOT.sub("\0", unit) if _MARK.search(unit) else unit
+    return _VARYING.sub("9", _plain(slots)).strip(" .!?,;:…。！？")
+
+
+def sides(framed: str) -> list[str]:
+    """The frame, and the two and three words that it begins and ends with where it has more."""
+    words = framed.split(" ")
+    out = [framed]
+    for k in (2, 3):
+        if len(words) > k:
+            out += [f"^{k} " + " ".join(words[:k]), f"${k} " + " ".join(words[-k:])]
+    return out
+
+
 def templates_in(unit: str) -> set[str]:
     """Templates that the unit may be made from: the unit with its slots, its defaults or its gaps cut out."""
     marked, gaps = _MARK.search(unit), _GAP.search(unit)
@@ -256,18 +286,15 @@ def _units(clean: str) -> tuple[list[str], int]:
 
 
 def _error(unit: str) -> bool:
-    """Whether the unit, or a beginning of it up to a word with a capital, is a message."""
-
-    def stands(part: str) -> bool:
-        m = _ERROR.match(part)
-        return m is not None and not _TOLD.search(m.group()[:60])
-
+    """Whether the unit, or a beginning of it up to a word with a capital, is a message in which no reviewer speaks."""
     if (m := _ERROR.match(unit)) is None:
         return False
-    if m.end() < 10 and unit[m.end() :].strip() and not _OPENS.match(unit, m.end()):
-        return False
-    # What the reviewer says counts in the first 60 characters only, so that a shorter beginning can make a difference only there.
-    return stands(unit) or any(stands(unit[: c.start()]) for c in _CAPITAL.finditer(unit, 0, 62))
+    if m.group().isascii() and len(re.findall("[A-Za-z]+", m.group())) < 2 and unit[m.end() :].strip() and not _OPENS.match(unit, m.end()):
+        return False  # one word may be part of a name
+    if (told := _TOLD.search(m.group())) is None:
+        return True
+    cuts = [c.start() for c in _CAPITAL.finditer(unit, 0, told.start() + 1)]
+    return bool(cuts) and _ERROR.match(unit[: cuts[-1]]) is not None
 
 
 def _notice_begins(unit: str) -> bool:
@@ -284,14 +311,15 @@ def _page_key(text: str) -> str:
     return "p:" + _VARYING.sub("9", _plain(text))
 
 
-def signals(text: str | None) -> list[tuple[str, str, str]]:
-    """(strength, kind, key) of what a text's units show. A certain signal makes the text a case by itself; the key of an aligned one is
+def signals(text: str | None, units: list[str] | None = None, lines: int = 0, clean: str = "") -> list[tuple[str, str, str]]:
+    """(strength, kind, key) of what a text's units show; units, lines and clean may be given where they are known. A certain signal makes the text a case by itself; the key of an aligned one is
     looked up among the evidence keys of all records; a key that is whole here has to be so in several records, and hardly ever within a longer one."""
     if text is None or not text.strip():
         return []
     found: set[tuple[str, str, str]] = set()
-    clean = without_markup(text)
-    units, lines = _units(clean)
+    if units is None:
+        clean = without_markup(text)
+        units, lines = _units(clean)
     low = clean.lower()
     status = _STATUS.search(low) is not None
     noticed = any(map(low.__contains__, _NOTICE_PARTS))
@@ -301,8 +329,6 @@ def signals(text: str | None) -> list[tuple[str, str, str]]:
         strong = list(_STRONG.finditer(u)) if marked else []
         rest = _STRONG.sub("\0", u) if strong else u
         weak = list(_WEAK.finditer(rest)) if marked else []
-        for t in templates_in(u):
-            found.add((TEMPLATE, "slot", t))
         if strong:
             found.add((CERTAIN, "slot", ""))
             for m in strong:
@@ -327,22 +353,12 @@ def signals(text: str | None) -> list[tuple[str, str, str]]:
     if (looks or _PAGE_TAG.search(text)) and not any(map(_TOLD.search, units)):
         found.add((WHOLE, "page", _page_key(" ".join(units))))
     for u in units if looks and (lines > 1 or len(units) > 1) else ():
-        if len(u) <= 160 and _LOOKS.search(u) and not _TOLD.search(u):
+        if _LOOKS.search(u) and not _TOLD.search(u):
             found.add((WITHIN, "page", _page_key(u)))
     return sorted(found)
 
 
-def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        ids, rows = b.column(0).to_pylist(), []
-        for i, text in zip(ids, b.column(1).to_pylist(), strict=True):
-            for strength, kind, key in signals(text):
-                if strength == TEMPLATE:
-                    anchor = _anchor(key)
-                    rows += [(i, FIRST, kind, _key("^" + anchor.partition(" ")[0]), None), (i, TEMPLATE, kind, _key(anchor), key)]
-                else:
-                    rows.append((i, strength, kind, _key(key), None))
-        yield _batch(rows, {"id": pa.int64(), "strength": pa.string(), "kind": pa.string(), "key": pa.int64(), "template": pa.string()})
+_MARKS = {"id": pa.int64(), "strength": pa.string(), "kind": pa.string(), "keys": pa.list_(pa.int64()), "context": pa.string(), "shown": pa.string()}
 
 
 def _batch(rows: list[tuple], schema: dict[str, pa.DataType]) -> pa.RecordBatch:
@@ -350,33 +366,95 @@ def _batch(rows: list[tuple], schema: dict[str, pa.DataType]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, schema.values(), strict=True)], list(schema))
 
 
-def _forms(bits: bytes):
-    """Scan for the units that hold an anchor: id, key, form."""
-
-    def held(key: int) -> int:
-        bit = key % _BITS
-        return bits[bit >> 3] >> (bit & 7) & 1
+def _openings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Keys that the scan looks up: what, key, template. Sides of texts of one unit ('alone'), and anchors of templates ('anchor') and what they begin with ('first')."""
+    for b in batches:
+        rows: list[tuple] = []
+        for text in b.column(0).to_pylist():
+            if text is None or not text.strip():
+                continue
+            clean = without_markup(text)
+            marked = _MARK.search(clean) or _GAP.search(clean) or (any(map((low := clean.lower()).__contains__, _DEFAULT_PARTS)) and _DEFAULT.search(low))
+            alone = _CUT.search(clean.strip()) is None
+            if not (marked or alone):
+                continue
+            units, _ = _units(clean)
+            if len(units) == 1:
+                rows += [(ALONE, _key(x), None) for x in sides(frame(units[0]))]
+            for t in {t for u in units for t in templates_in(u)} if marked else ():
+                words = (anchor := _anchor(t)).split(" ")
+                rows += [("anchor", _key(anchor), t), *(("first", _key("^" + " ".join(words[:n])), None) for n in range(1, len(words)))]
+        yield _batch(rows, {"what": pa.string(), "key": pa.int64(), "template": pa.string()})
+
+
+def _bitmap(keys: DataFrame) -> bytes:
+    """A filter of _BITS bits, whatever the number of keys."""
+    place = F.pmod("key", F.lit(_BITS)) + 1
+    rows = keys.groupBy(F.bitmap_bucket_number(place).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits")).collect()
+    out = bytearray(_BITS >> 3)
+    for bucket, bits in rows:
+        out[(bucket - 1) * len(bits) : bucket * len(bits)] = bits
+    return bytes(out)
+
+
+def _scan(alone: bytes, anchors: bytes):
+    def held(bits: bytes, key: int) -> int:
+        at = key % _BITS
+        return bits[at >> 3] >> (at & 7) & 1
+
+    grams: dict[str, int] = {}
+
+    def gram(words: str) -> int:
+        """1 where the words are an anchor, 2 where one begins with them, 3 for both."""
+        if (f := grams.get(words)) is None:
+            if len(grams) > CACHE:
+                grams.clear()
+            f = grams[words] = held(anchors, _key(words)) | 2 * held(anchors, _key("^" + words))
+        return f
+
+    def forms_of(unit: str) -> set[tuple[int, str]]:
+        out = set()
+        for form in {_plain(unit), _gapped(unit)} - {None}:
+            words = _WORD.findall(form)
+            for k, g in enumerate(words):
+                n = k
+                while f := gram(g):
+                    if f & 1:
+                        out.add((_key(g), form))
+                    n += 1
+                    if not f & 2 or n == len(words):
+                        break
+                    g = f"{g} {words[n]}"
+        return out
+
+    units_seen: dict[str, tuple[list[int], set[tuple[int, str]]]] = {}
+
+    def looked_up(unit: str) -> tuple[list[int], set[tuple[int, str]]]:
+        """Keys of the unit's sides, and its anchors with its form, as far as the filters hold them."""
+        if (out := units_seen.get(unit)) is None:
+            if len(units_seen) > CACHE:
+                units_seen.clear()
+            out = units_seen[unit] = [k for x in sides(frame(unit)) if held(alone, k := _key(x))], forms_of(unit)
+        return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows: list[tuple] = []
-            first: dict[str, int] = {}
-            for i, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            for i, text, context in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
                 if text is None or not text.strip():
                     continue
-                seen = set()
-                for u in _units(without_markup(text))[0]:
-                    for form in {_plain(u), _gapped(u)} - {None}:
-                        words = _WORD.findall(form)
-                        for k, w in enumerate(words):
-                            if (starts := first.get(w)) is None:
-                                starts = first[w] = held(_key("^" + w))
-                            for n in range(1, min(_ANCHOR, len(words) - k) + 1) if starts else ():
-                                key = _key(" ".join(words[k : k + n]))
-                                if held(key) and (key, form) not in seen:
-                                    seen.add((key, form))
-                                    rows.append((i, key, form))
-            yield _batch(rows, {"id": pa.int64(), "key": pa.int64(), "form": pa.string()})
+                clean = without_markup(text)
+                units, lines = _units(clean)
+                rows += [(i, strength, kind, [_key(key)], None, None) for strength, kind, key in signals(text, units, lines, clean)]
+                keys, forms = set(), set()
+                for u in units:
+                    k, f = looked_up(u)
+                    keys.update(k)
+                    forms |= f
+                if keys:
+                    rows.append((i, ALONE if len(units) == 1 else AMONG, "template", list(keys), context, None))
+                rows += [(i, FORM, "slot", [key], None, form) for key, form in forms]
+            yield _batch(rows, _MARKS)
 
     return run
 
@@ -393,16 +471,9 @@ def _align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _batch(rows, {"id": pa.int64(), "template": pa.int64(), "slot": pa.int32(), "state": pa.string(), "value": pa.int64()})
 
 
-def _induced(texts: DataFrame, marks: DataFrame, min_records: int) -> DataFrame | None:
+def _induced(marks: DataFrame, templates: DataFrame, min_records: int) -> DataFrame:
     """id, kind of records that keep a name, gap or default where at least min_records others of the template hold values that vary."""
-    templates = materialize(marks.where(F.col("strength") == TEMPLATE).select("key", "template").distinct())
-    bits = bytearray(_BITS >> 3)  # a filter of one size, however many templates there are
-    looked_up = marks.where(F.col("strength").isin(TEMPLATE, FIRST)).select(F.pmod("key", F.lit(_BITS)).cast("int"))
-    for (bit,) in looked_up.distinct().collect():
-        bits[bit >> 3] |= 1 << (bit & 7)
-    if not any(bits):
-        return None
-    forms = texts.mapInArrow(_forms(bytes(bits)), "id long, key long, form string")
+    forms = marks.where(F.col("strength") == FORM).select("id", "key", F.col("shown").alias("form"))
     aligned = materialize(forms.join(templates, "key").select("id", "form", "template").mapInArrow(_align, "id long, template long, slot int, state string, value long"))
     filled = aligned.where("state = 'filled'").groupBy("template", "slot").agg(F.count_distinct("id").alias("n"), F.count_distinct("value").alias("values"))
     open_slots = filled.where((F.col("n") >= min_records) & (F.col("values") > 1)).select("template", "slot")
@@ -412,16 +483,36 @@ def _induced(texts: DataFrame, marks: DataFrame, min_records: int) -> DataFrame
     return left.join(closed, ["template", "state"], "left_anti").select("id", F.lit("slot").alias("kind"))
 
 
-def find_residue(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_records: int = 3) -> DataFrame:
-    """id, kinds (of 'slot', 'filler', 'error', 'notice', 'page'): one row for each record that holds residue.
+def _recurring(marks: DataFrame, min_alone: int, min_among: int) -> DataFrame:
+    """Keys of frames, beginnings and ends that are a template's: several records' whole text, and within others in no language for the most part."""
+    here = marks.where(F.col("strength").isin(ALONE, AMONG))
+    by_context = here.groupBy("key", "context").agg(F.count(F.when(F.col("strength") == ALONE, 1)).alias("alone"), F.count(F.when(F.col("strength") == AMONG, 1)).alias("among"))
+    by_key = by_context.groupBy("key").agg(F.sum("alone").alias("alone"), F.sum("among").alias("among"), F.max("among").alias("most"))
+    return by_key.where((F.col("alone") >= min_alone) & (F.col("among") >= min_among) & (F.col("most") * 10 <= F.col("among") * 7) & (F.col("among") <= F.col("alone") * 10)).select("key")
+
+
+def find_residue(
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", language_col: str | None = None, min_records: int = 3, min_alone: int = 2, min_among: int = 3
+) -> DataFrame:
+    """id, kinds (of 'slot', 'filler', 'error', 'notice', 'page', 'template'): one row for each record that holds residue.
 
     Null, empty and blank texts are no cases. Whole texts are read. Rows repeated with one id give one row; a null id is kept as one. min_records:
-    how many records must show a name or a template in a form that reviewers use too, fill a slot, or have a short page-like text as their whole text.
-    An empty table gives no rows; other columns are ignored.
+    how many records must show a name or a template in a form that reviewers use too, fill a slot, or have a page-like text as their whole text.
+    language_col: a column with the language of a record, by which recurring templates are told from reviewers' sentences; nulls are a language of their own,
+    and names count by their first two letters. min_alone, min_among: how many records must have such a template as their whole text, and within
+    it. Without the column only slots, seeds and recurring pages are found. An empty table gives no rows; other columns are ignored.
     """
+    named = {"id": id_col, "text": text_col} | ({"context": language_col} if language_col else {})
+    context = F.lower(F.substring(F.coalesce("context", F.lit("")), 1, 2)) if language_col else F.lit("")
+    texts = narrow(df, **named).select(F.col("id").cast("long"), F.col("text").cast("string"), context.alias("context"))
+    opened = materialize(texts.select("text").mapInArrow(_openings, "what string, key long, template string").groupBy("what", "key", "template").agg(F.count(F.lit(1)).alias("n")))
+    alone = _bitmap(opened.where((F.col("what") == ALONE) & (F.col("n") >= min_alone)).select("key"))
+    anchors = _bitmap(opened.where("what <> 'alone'").select("key"))
+    templates = opened.where("what = 'anchor'").select("key", "template")
     # Only units with a signal leave the scan: a small part of any corpus.
-    texts = narrow(df, id=id_col, text=text_col).select(F.col("id").cast("long"), F.col("text").cast("string"))
-    marks = materialize(texts.mapInArrow(_scan, "id long, strength string, kind string, key long, template string"))
+    # A text's keys stay together until they are counted, so that they are written as places in a dictionary.
+    scanned = materialize(texts.mapInArrow(_scan(alone, anchors), "id long, strength string, kind string, keys array<bigint>, context string, shown string"))
+    marks = scanned.select("id", "strength", "kind", F.explode("keys").alias("key"), "context", "shown")
     certain = marks.where(F.col("strength") == CERTAIN).select("id", "kind")
     shown = marks.where(F.col("strength").isin(EVIDENCE, ALIGNED)).groupBy("key").agg(F.count_distinct("id").alias("n"), F.max(F.col("strength") == EVIDENCE).alias("strong"))
     evidence = shown.where(F.col("strong") & (F.col("n") >= min_records)).select("key")
@@ -430,13 +521,12 @@ def find_residue(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # A sentence that stands more often within reviews than alone may be a reviewer's own there.
     pages = pages.where(F.col("w") >= min_records).select("key", (F.col("w") * 2 >= F.col("n")).alias("alone"))
     whole = marks.where(F.col("strength").isin(WHOLE, WITHIN)).join(pages, "key").where((F.col("strength") == WHOLE) | F.col("alone")).select("id", "kind")
-    found = certain.unionByName(aligned).unionByName(whole)
-    if (induced := _induced(texts, marks, min_records)) is not None:
-        found = found.unionByName(induced)
+    recurring = marks.where(F.col("strength").isin(ALONE, AMONG)).join(_recurring(marks, min_alone, min_among), "key", "left_semi").select("id", "kind")
+    found = certain.unionByName(aligned).unionByName(whole).unionByName(recurring).unionByName(_induced(marks, templates, min_records))
     return found.groupBy("id").agg(F.array_sort(F.collect_set("kind")).alias("kinds"))
 
 
-def without_residue(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_records: int = 3) -> DataFrame:
+def without_residue(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", language_col: str | None = None, min_records: int = 3) -> DataFrame:
     """df's rows, all columns unchanged, without the records that hold residue; rows with a null id stay."""
-    found = find_residue(df, id_col, text_col, min_records).select(F.col("id").alias("__residue_id"))
+    found = find_residue(df, id_col, text_col, language_col, min_records).select(F.col("id").alias("__residue_id"))
     return by_place(df).join(found, F.col(f"__c{place(df, id_col)}").cast("long") == F.col("__residue_id"), "left_anti").toDF(*df.columns)

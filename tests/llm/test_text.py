@@ -167,6 +167,28 @@ def test_names_are_no_messages(text):
     assert not any(s == residue.CERTAIN for s, _, _ in residue.signals(text))
 
 
+def test_templates_recur_among_other_languages(spark):
+    """Found without any word that the seeds know, by where the units stand."""
+    page = "Zub kelavo trimas dorvel {}."
+    said = {"en": ["The lid fits well.", "Works as it should.", "My father likes it."], "de": ["Der Deckel passt gut.", "Tut was er soll.", "Mein Vater mag ihn."], "fr": ["Le couvercle va bien.", "Fait le travail.", "Mon père l’aime."]}
+    rows = []
+    for k in range(3):
+        rows.append((f"p{k}", page.format(k), None))
+    for lang, sentences in said.items():
+        for k in range(4):
+            rows.append((f"r{lang}{k}", " ".join([*sentences[: k % 3 + 1], page.format(k)]), lang))
+            rows.append((f"n{lang}{k}", " ".join(sentences[k % 3 :] + sentences[:1]), lang if k else lang.upper() + "-x"))
+        rows += [(f"t{lang}{k}", sentences[0], lang) for k in range(4)]  # a sentence that is a whole review at times
+    rows += [(f"h{k}", "A keeper", lang) for k, lang in enumerate(("en", "de", "fr", None))]  # a review that stands alone only
+    rows += [("a1", "Zub kelavo " + "x " * 100_000 + "end.", "en"), ("e1", "", "en"), ("e2", None, None)]
+    df = spark.createDataFrame([(n, *r) for n, r in enumerate(rows)], "doc_id long, name string, text string, lang string")
+    names = {r.doc_id: r.name for r in df.collect()}
+    found = residue.find_residue(df, language_col="lang").collect()
+    assert {names[r.id] for r in found} == {"p0", "p1", "p2", "a1", *(f"r{x}{k}" for x in said for k in range(4))} and all(r.kinds == ["template"] for r in found)
+    assert residue.find_residue(df).count() == 0
+    assert residue.without_residue(df, language_col="lang").count() == len(rows) - len(found)
+
+
 def test_whole_pages_recur(spark):
     marked = "<html><h1>Maintenance window {}</h1><hr>edge/3.9</html>"
     lines = "Upstream could not answer, reload later.\nNode {} of the pool\n" + "The pool drains its queue before it takes new work. " * 6
