@@ -48,7 +48,8 @@ _TAGS = (
 _TAG = re.compile(rf"</?(?:{'|'.join(_TAGS)})(?:\s[^<>]*)?/?>", re.IGNORECASE)
 #: Tags of a page as a whole; reviews hold those of single words and lines only.
 _PAGE_TAG = re.compile(r"<(?:!doctype|html|head|title|body|h1|h2|hr|iframe|noscript|form|script|meta|center)\b[^<>]*>", re.IGNORECASE)
-_FRAME = re.compile(r"^[\s*=~\-–—|•·\"'«»]+|[\s*=~\-–—|•·\"'«»]+$")
+#: White space and marks around a unit.
+_EDGE = "".join(c for c in map(chr, range(0x3001)) if c.isspace()) + "*=~-–—|•·\"'«»"
 
 
 def _name(m: re.Match) -> str:
@@ -91,7 +92,7 @@ _END = r"(?:\s*$|(?=\s+(?-i:[^\W\d_a-zß-öø-ÿ]|[¡¿])))"
 _ERROR = re.compile(
     rf"""\s*(?:
     (?:(?:err(?:or)?|http|status|code|http\s+status|error\s+code)\b\s*[:#]?\s*|http/\d(?:\.\d)?\s+)?[45]\d\d\s*[-–—:/|.,)]*\s*{_REASON}\b.*?{_END}
-    |(?:error|http|status)?\s*[:\-–]?\s*{_REASON}\s*(?:[.!]|\(?\s*[45]\d\d\)?|[\s\-–—/|:]|ray\b|trace\b|request\s+id\b|incident\b|ref\b|id\b|\(|[0-9a-f]{{6,}}|\))*?{_END}
+    |(?:error|http|status)?\s*[:\-–]?\s*{_REASON}\s*(?:[.!]|\(?\s*[45]\d\d\)?|[\s\-–—/|:]|ray\b|trace\b|request\s+id\b|incident\b|ref\b|id\b|\(|[0-9a-f]{{6,}}|\))*{_END}
     |(?:error|err|http|status|code)\s*[:#]?\s*[45]\d\d\s*[.!)]*{_END}
     |\{{\s*"?(?:error|status|code|message)"?\s*:\s*.*?\}}{_END}
     |(?:warning|notice|fatal\s+error|parse\s+error|deprecated|strict\s+standards)\s*:.*\bon\s+line\s+\d+
@@ -163,6 +164,7 @@ _OPENS = re.compile(
     r"|el|los|las|una|est[eao]|mi|muy|il|lo|gli|uno|questo|questa|io|molto|de|het|een|deze|dit|ik|zeer|o|os|as|um|uma|este|esta|eu|meu|minha|muito)\b)",
     re.IGNORECASE,
 )
+_DIGIT = re.compile(r"\d")
 _VARYING = re.compile(r"\b(?=\w*\d)[\w-]+\b")
 
 CERTAIN, ALIGNED, WHOLE, WITHIN, EVIDENCE, FORM, ALONE, AMONG = "certain", "aligned", "whole", "within", "evidence", "form", "alone", "among"
@@ -209,8 +211,8 @@ def _gapped(unit: str) -> str | None:
 
 def frame(unit: str) -> str:
     """The unit with its slots and words that hold a digit blanked, in lower case, without marks at its ends."""
-    slots = _SLOT.sub("\0", unit) if _MARK.search(unit) else unit
-    return _VARYING.sub("9", _plain(slots)).strip(" .!?,;:…。！？")
+    plain = _plain(_SLOT.sub("\0", unit) if _MARK.search(unit) else unit)
+    return (_VARYING.sub("9", plain) if _DIGIT.search(plain) else plain).strip(" .!?,;:…。！？")
 
 
 def sides(framed: str) -> list[str]:
@@ -281,7 +283,7 @@ def _units(clean: str) -> tuple[list[str], int]:
     lines = [x for x in re.split(r"[\r\n\u2028\u2029]+", clean) if x.strip()]
     out = []
     for line in lines:
-        out += [u for p in _CUT.split(line) if p and (u := _FRAME.sub("", p) or p.strip())]
+        out += [u for p in _CUT.split(line) if p and (u := p.strip(_EDGE) or p.strip())]
     return out, len(lines)
 
 
@@ -367,7 +369,7 @@ def _batch(rows: list[tuple], schema: dict[str, pa.DataType]) -> pa.RecordBatch:
 
 
 def _openings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Keys that the scan looks up: what, key, template. Sides of texts of one unit ('alone'), and anchors of templates ('anchor') and what they begin with ('first')."""
+    """Keys that the scan looks up: what, key, template. Sides of texts of one unit ('alone'), and anchors of templates with named slots ('named') or others ('left')."""
     for b in batches:
         rows: list[tuple] = []
         for text in b.column(0).to_pylist():
@@ -381,12 +383,21 @@ def _openings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             units, _ = _units(clean)
             if len(units) == 1:
                 rows += [(ALONE, _key(x), None) for x in sides(frame(units[0]))]
-            for t in {t for u in units for t in templates_in(u)} if marked else ():
-                words = (anchor := _anchor(t)).split(" ")
-                rows += [("anchor", _key(anchor), t), *(("first", _key("^" + " ".join(words[:n])), None) for n in range(1, len(words)))]
+            for t, how in {t: "named" if _WEAK.search(u) or _STRONG.search(u) else "left" for u in units for t in templates_in(u)}.items() if marked else ():
+                rows.append((how, _key(_anchor(t)), t))
         yield _batch(rows, {"what": pa.string(), "key": pa.int64(), "template": pa.string()})
 
 
+def _beginnings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Keys of the anchors of templates and of what they begin with."""
+    for b in batches:
+        rows: set[tuple[int]] = set()
+        for t in b.column(0).to_pylist():
+            words = (anchor := _anchor(t)).split(" ")
+            rows |= {(_key(anchor),), *((_key("^" + " ".join(words[:n])),) for n in range(1, len(words)))}
+        yield _batch(list(rows), {"key": pa.int64()})
+
+
 def _bitmap(keys: DataFrame) -> bytes:
     """A filter of _BITS bits, whatever the number of keys."""
     place = F.pmod("key", F.lit(_BITS)) + 1
@@ -403,6 +414,7 @@ def _scan(alone: bytes, anchors: bytes):
         return bits[at >> 3] >> (at & 7) & 1
 
     grams: dict[str, int] = {}
+    known = grams.get
 
     def gram(words: str) -> int:
         """1 where the words are an anchor, 2 where one begins with them, 3 for both."""
@@ -412,19 +424,38 @@ def _scan(alone: bytes, anchors: bytes):
             f = grams[words] = held(anchors, _key(words)) | 2 * held(anchors, _key("^" + words))
         return f
 
+    def sides_of(unit: str) -> list[int]:
+        """Keys of the sides that the filter may hold; a frame that it holds is held by its first two words too."""
+        framed = frame(unit)
+        words = framed.split(" ")
+        if len(words) <= 2:
+            return [key] if held(alone, key := _key(framed)) else []
+        out = []
+        if held(alone, key := _key("^2 " + " ".join(words[:2]))):
+            out.append(key)
+            out += [key for x in sides(framed) if x[:1] != "$" and not x.startswith("^2 ") and held(alone, key := _key(x))]
+        if held(alone, key := _key("$2 " + " ".join(words[-2:]))):
+            out.append(key)
+            if len(words) > 3 and held(alone, key := _key("$3 " + " ".join(words[-3:]))):
+                out.append(key)
+        return out
+
     def forms_of(unit: str) -> set[tuple[int, str]]:
         out = set()
         for form in {_plain(unit), _gapped(unit)} - {None}:
             words = _WORD.findall(form)
             for k, g in enumerate(words):
+                if not (f := known(g)) and (f == 0 or not (f := gram(g))):
+                    continue
                 n = k
-                while f := gram(g):
+                while f:
                     if f & 1:
                         out.add((_key(g), form))
                     n += 1
                     if not f & 2 or n == len(words):
                         break
                     g = f"{g} {words[n]}"
+                    f = gram(g)
         return out
 
     units_seen: dict[str, tuple[list[int], set[tuple[int, str]]]] = {}
@@ -434,7 +465,7 @@ def _scan(alone: bytes, anchors: bytes):
         if (out := units_seen.get(unit)) is None:
             if len(units_seen) > CACHE:
                 units_seen.clear()
-            out = units_seen[unit] = [k for x in sides(frame(unit)) if held(alone, k := _key(x))], forms_of(unit)
+            out = units_seen[unit] = sides_of(unit), forms_of(unit)
         return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -497,7 +528,8 @@ def find_residue(
     """id, kinds (of 'slot', 'filler', 'error', 'notice', 'page', 'template'): one row for each record that holds residue.
 
     Null, empty and blank texts are no cases. Whole texts are read. Rows repeated with one id give one row; a null id is kept as one. min_records:
-    how many records must show a name or a template in a form that reviewers use too, fill a slot, or have a page-like text as their whole text.
+    how many records must show a name or a template in a form that reviewers use too, fill a slot (templates without a name are
+    those that two records leave a gap or default in), or have a page-like text as their whole text.
     language_col: a column with the language of a record, by which recurring templates are told from reviewers' sentences; nulls are a language of their own,
     and names count by their first two letters. min_alone, min_among: how many records must have such a template as their whole text, and within
     it. Without the column only slots, seeds and recurring pages are found. An empty table gives no rows; other columns are ignored.
@@ -507,8 +539,9 @@ def find_residue(
     texts = narrow(df, **named).select(F.col("id").cast("long"), F.col("text").cast("string"), context.alias("context"))
     opened = materialize(texts.select("text").mapInArrow(_openings, "what string, key long, template string").groupBy("what", "key", "template").agg(F.count(F.lit(1)).alias("n")))
     alone = _bitmap(opened.where((F.col("what") == ALONE) & (F.col("n") >= min_alone)).select("key"))
-    anchors = _bitmap(opened.where("what <> 'alone'").select("key"))
-    templates = opened.where("what = 'anchor'").select("key", "template")
+    # A gap or default without a name beside it is a template's where two records have it.
+    templates = opened.where("what <> 'alone'").groupBy("key", "template").agg(F.max(F.col("what") == "named").alias("named"), F.sum("n").alias("n")).where("named or n > 1").select("key", "template")
+    anchors = _bitmap(templates.select("template").mapInArrow(_beginnings, "key long"))
     # Only units with a signal leave the scan: a small part of any corpus.
     # A text's keys stay together until they are counted, so that they are written as places in a dictionary.
     scanned = materialize(texts.mapInArrow(_scan(alone, anchors), "id long, strength string, kind string, keys array<bigint>, context string, shown string"))
