@@ -17,7 +17,6 @@ from brindle.app.files import code, rule_key
 from brindle.operators import decide as de
 from brindle.operators import mining, querylog
 from brindle.operators.mining import DrainConfig, LineRule
-from brindle.operators.usage import kind_of
 from brindle.session import materialize
 from brindle.sources.dashboards import ruler_rules
 
@@ -127,7 +126,7 @@ def analyze(spark: SparkSession, c: Config, end_ns: int) -> Report:
     recs.sort(key=lambda r: (-r.removed_per_day, r.candidate.id))
     kinds: dict[str, int] = {}
     for reader in {(r.source, r.origin, r.expr): r for x in recs for r in x.readers}.values():
-        for k in {kind_of(w) for w in reader.widened}:
+        for k in {w.kind for w in reader.widened}:
             kinds[k] = kinds.get(k, 0) + 1
     return Report(start_ns, end_ns, recs, skipped, gaps, volumes, sorted(kinds.items(), key=lambda kv: (-kv[1], kv[0])))
 

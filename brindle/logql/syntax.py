@@ -390,7 +390,7 @@ class _Parser:
                 break
         if depth:
             raise self.fault(")")
-        if in_range and rng is None:
+        if in_range and not (rng or "").strip():
             raise QueryFault("range aggregation without a range")
         if not in_range and self.peek().kind == "range":
             raise QueryFault("range outside a range aggregation")

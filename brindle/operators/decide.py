@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from brindle.logql import ast
 from brindle.logql.syntax import QueryFault, canonical, go_quote, parse, quote
 from brindle.operators.enforce import SEVERE
-from brindle.operators.usage import Reading, Target, covers, evaluate, named_values, reading
+from brindle.operators.usage import UNREADABLE, Note, Reading, Target, covers, evaluate, named_values, reading
 from brindle.relang import automaton as at
 from brindle.relang import syntax as sx
 
@@ -200,7 +200,7 @@ def readers_of(c: Candidate, queries: Sequence[tuple[UsedQuery, ast.Query | str]
     rule = c.target()
     for used, q in queries:
         if isinstance(q, str):
-            out.append(Reader(used.source, used.origin, used.expr, True, f"query does not parse ({q}); taken to read and count every line", None, ("query does not parse",)))
+            out.append(Reader(used.source, used.origin, used.expr, True, f"query does not parse ({q}); taken to read and count every line", None, (Note(UNREADABLE, "the query does not parse"),)))
             continue
         sels = readings(q)
         first = chosen = None

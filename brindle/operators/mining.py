@@ -6,8 +6,10 @@ import hashlib
 import json
 import math
 import re
-from collections.abc import Sequence
+from collections import Counter
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
+from functools import cached_property
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -239,35 +241,63 @@ def _masked(token: str, masks: Sequence[tuple[str, str]]) -> str | None:
     return "".join(f"(?:{pattern[x]})" if i % 2 else quote(x) for i, x in enumerate(parts))
 
 
+@dataclass(frozen=True)
+class Slot:
+    """A position of a template and what stood there: its token, and how often each value did."""
+
+    token: str
+    counts: dict[str, int]
+    masks: tuple[tuple[str, str], ...]
+    options: InferOptions
+
+    @cached_property
+    def values(self) -> list[str]:
+        return sorted(self.counts, key=lambda v: v.encode())
+
+    def constant(self) -> str | None:
+        return quote(self.values[0]) if len(self.counts) == 1 else None
+
+    def mask(self) -> str | None:
+        expression = _masked(self.token, self.masks)
+        if expression is None:
+            return None
+        whole = automaton.compile(rf"\A(?:{expression})\z")
+        return expression if all(automaton.matches(whole, v) for v in self.values) else None
+
+    def listing(self) -> str | None:
+        seen = sum(self.counts.values())
+        few = len(self.counts) <= min(self.options.max_enum, seen // self.options.enum_support)
+        return f"(?:{'|'.join(map(quote, self.values))})" if few else None
+
+    def outline(self) -> str:
+        return _shape(self.values) or _bounded(self.values)
+
+
+#: Descriptions of a slot, the most telling first; the first that holds is taken.
+DESCRIPTIONS: tuple[tuple[str, Callable[[Slot], str | None]], ...] = (("literal", Slot.constant), ("mask", Slot.mask), ("enum", Slot.listing), ("shape", Slot.outline))
+
+
 def infer_language(template: str, samples: Sequence[str], masks: Sequence[tuple[str, str]] = (), options: InferOptions = InferOptions()) -> dict:
     """The language of a template's lines: template, regex (anchored), samples, skipped, positions (token, kind, regex).
 
     Lines are cut at single spaces; those with another number of tokens are skipped and not covered. A position is one text each time; or its mask, where all values fit
     it; or a small set of values seen often enough; or a shape. The language accepts every aligned sample.
     """
-    tokens = template.split(" ")
-    aligned = [t for s in samples if len(t := s.split(" ")) == len(tokens)]
-    if len(aligned) < options.min_samples:
-        raise TooFewSamples(f"{len(aligned)} aligned of {len(samples)}, {options.min_samples} needed")
-    positions = []
-    for token, values in zip(tokens, zip(*aligned, strict=True), strict=True):
-        distinct = sorted(set(values), key=lambda v: v.encode())
-        masked = _masked(token, masks)
-        if len(distinct) == 1:
-            kind, text = "literal", quote(distinct[0])
-        elif masked and all(automaton.matches(automaton.compile(rf"\A(?:{masked})\z"), v) for v in distinct):
-            kind, text = "mask", masked
-        elif len(distinct) <= options.max_enum and len(values) >= options.enum_support * len(distinct):
-            kind, text = "enum", "(?:" + "|".join(map(quote, distinct)) + ")"
-        else:
-            kind, text = "shape", _shape(distinct) or _bounded(distinct)
-        positions.append({"token": token, "kind": kind, "regex": text})
+    width = template.count(" ") + 1
+    lines = Counter(s for s in samples if s.count(" ") + 1 == width)
+    if lines.total() < options.min_samples:
+        raise TooFewSamples(f"{lines.total()} of {len(samples)} lines have the template's tokens, {options.min_samples} are needed")
+    columns: list[Counter[str]] = [Counter() for _ in range(width)]
+    for line, n in lines.items():
+        for column, value in zip(columns, line.split(" "), strict=True):
+            column[value] += n
+    slots = [Slot(token, dict(column), tuple(masks), options) for token, column in zip(template.split(" "), columns, strict=True)]
+    positions = [{"token": s.token} | next({"kind": kind, "regex": text} for kind, say in DESCRIPTIONS if (text := say(s)) is not None) for s in slots]
     whole = r"\A" + " ".join(p["regex"] for p in positions) + r"\z"
-    p = automaton.compile(whole)
-    for t in {" ".join(t) for t in aligned}:
-        if not automaton.matches(p, t):
-            raise AssertionError(f"the language of {template!r} rejects its sample {t!r}")
-    return {"template": template, "regex": whole, "samples": len(aligned), "skipped": len(samples) - len(aligned), "positions": positions}
+    accepts = automaton.compile(whole)
+    if (left := next((x for x in lines if not automaton.matches(accepts, x)), None)) is not None:
+        raise AssertionError(f"{whole} leaves out {left!r}")
+    return {"template": template, "regex": whole, "samples": lines.total(), "skipped": len(samples) - lines.total(), "positions": positions}
 
 
 LANGUAGE = "template string, regex string, samples int, skipped int, positions array<struct<token:string,kind:string,regex:string>>, constant boolean, levels array<string>, reason string"

@@ -64,28 +64,27 @@ def decode_vector(df: DataFrame, column: str = "body") -> DataFrame:
 
 def synthetic_logs(spark: SparkSession, n: int, seed: int = 1, start_ns: int = 1_767_571_200 * NS, partitions: int | None = None) -> DataFrame:
     """A corpus of known templates: service, template_id, severity, message, line, ts_ns, labels. The same rows for the same n and seed."""
-    # Service, structured, id, severity, pattern, weight.
     corpus = [
-        ("checkout", False, "health", "INFO", "INFO GET /healthz 200 {ms}", 400),
-        ("checkout", False, "heartbeat", "INFO", "INFO heartbeat ok", 100),
-        ("checkout", False, "request", "INFO", "INFO request {hex16} status {status} took {ms}", 250),
-        ("checkout", False, "cache-hit", "DEBUG", "DEBUG cache hit key {hex8}", 80),
-        ("checkout", False, "cache-miss", "DEBUG", "DEBUG cache miss key {hex8}", 20),
-        ("checkout", False, "retry", "WARN", "WARN retrying connection to {ip} attempt {small}", 30),
-        ("checkout", False, "payment-declined", "ERROR", "ERROR payment pay_{num6} declined code {code}", 10),
-        ("auth", False, "login", "INFO", "INFO user {user} logged in", 200),
-        ("auth", False, "login-mfa-fail", "WARN", "WARN user {user} failed MFA and was logged in", 15),
-        ("auth", False, "placeholder", "INFO", "INFO config placeholder <ip> unresolved for {user}", 5),
-        ("orders", True, "order-created", "INFO", "order ord_{num6} created for {user}", 150),
-        ("orders", True, "order-route", "INFO", "handled route in {ms}", 300),
-        ("orders", True, "order-failed", "ERROR", "order ord_{num6} failed at step {step}", 10),
+        ("kiln", False, "batch", "INFO", "INFO batch {num6} fired at {deg} for {ms}", 300),
+        ("kiln", False, "idle", "INFO", "INFO kiln idle", 120),
+        ("kiln", False, "probe", "INFO", "INFO probe /ready answered {code} in {ms}", 260),
+        ("kiln", False, "door-open", "DEBUG", "DEBUG door sensor {hex8} reads open", 60),
+        ("kiln", False, "door-shut", "DEBUG", "DEBUG door sensor {hex8} reads shut", 40),
+        ("kiln", False, "vent", "WARN", "WARN vent {small} sticks near {ip}", 30),
+        ("kiln", False, "overheat", "ERROR", "ERROR kiln overheated to {deg} because of {cause}", 12),
+        ("ferry", False, "boarded", "INFO", "INFO passenger {user} boarded deck {small}", 220),
+        ("ferry", False, "late", "WARN", "WARN passenger {user} missed the gate and boarded late", 18),
+        ("ferry", False, "token", "INFO", "INFO manifest holds the text <ip> for {user}", 6),
+        ("loom", True, "woven", "INFO", "cloth {num6} woven on frame {hex16}", 160),
+        ("loom", True, "shuttle", "INFO", "shuttle passed in {ms}", 280),
+        ("loom", True, "snag", "ERROR", "cloth {num6} failed at {stage}", 14),
     ]
-    words = {"status": ["200", "201", "404", "503"], "code": ["card_expired", "do_not_honor", "insufficient_funds"], "user": ["alice", "bob", "carol", "dave", "erin", "frank"], "step": ["reserve", "charge", "ship"]}
+    words = {"code": ["200", "204", "429", "503"], "cause": ["fuel", "fan", "sensor"], "user": ["ines", "jorn", "kofi", "lena", "mira", "noor"], "stage": ["warp", "weft", "trim"]}
     draw = lambda salt, mod: F.pmod(F.xxhash64("id", F.lit(seed), F.lit(salt)), F.lit(mod))
     hexed = lambda salt, width: F.substring(F.sha2(F.concat_ws("|", F.col("id").cast("string"), F.lit(f"{seed}|{salt}")), 256), 1, width)
     pick = lambda name: F.element_at(F.array(*map(F.lit, words[name])), (draw(name, len(words[name])) + 1).cast("int"))
     value = {
-        "ms": F.concat((draw("ms", 250) + 1).cast("string"), F.lit("ms")), "hex16": hexed("h", 16), "hex8": hexed("k", 8), "num6": F.lpad(draw("n", 10**6).cast("string"), 6, "0"),
+        "ms": F.concat((draw("ms", 250) + 1).cast("string"), F.lit("ms")), "deg": F.concat((draw("d", 400) + 900).cast("string"), F.lit("C")), "hex16": hexed("h", 16), "hex8": hexed("k", 8), "num6": F.lpad(draw("n", 10**6).cast("string"), 6, "0"),
         "small": (draw("s", 5) + 1).cast("string"), "ip": F.concat(F.lit("10."), draw("i", 250).cast("string"), F.lit("."), draw("j", 250).cast("string"), F.lit("."), draw("l", 250).cast("string")),
         **{w: pick(w) for w in words},
     }

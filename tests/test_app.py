@@ -22,14 +22,14 @@ def world(spark, tmp_path_factory):
     corpus = logs.synthetic_logs(spark, 20_000)
     corpus.select("labels", "ts_ns", "line").write.parquet(str(d / "logs"))
     line = lambda q: 'level=info ts=x caller=metrics.go:1 component=frontend query_type=metric query="' + q.replace('"', '\\"') + '"'
-    rows = [(END - 20 * NS, line('sum(count_over_time({service_name="checkout"} |= "healthz" [5m]))')), (END - NS, line('{service_name="auth"} |= "failed MFA"'))]
+    rows = [(END - 20 * NS, line('sum(count_over_time({service_name="kiln"} |= "/ready" [5m]))')), (END - NS, line('{service_name="ferry"} |= "missed the gate"'))]
     spark.createDataFrame(rows, "ts_ns long, line string").write.parquet(str(d / "querylog"))
     (d / "rules").mkdir()
-    (d / "rules" / "ruler.json").write_text(json.dumps({"ns": [{"name": "g", "rules": [{"alert": "a", "expr": 'sum(rate({service_name="checkout"} |= "status 503" [1m])) > 1'}]}]}))
+    (d / "rules" / "ruler.json").write_text(json.dumps({"ns": [{"name": "g", "rules": [{"alert": "a", "expr": 'sum(rate({service_name="kiln"} |= "fired at 12" [1m])) > 1'}]}]}))
     ip = r"(?:[0-9]{1,3}\.){3}[0-9]{1,3}"
     doc = {
-        "logs": str(d / "logs"), "query_log": str(d / "querylog"), "ruler_rules": str(d / "rules"), "structured": {"orders": "msg"}, "discovery": {"window": "20s", "slices": 4, "sample_lines": 4000},
-        "templating": {"masks": {"ip": ip}, "seeds": {"checkout": ["INFO GET /healthz 200 <*>", "INFO request <*> status <*> took <*>", "DEBUG cache <*> key <*>"], "auth": ["INFO user <*> logged in"]}}, "policy": {"actions": ["dedupe", "aggregate"]},
+        "logs": str(d / "logs"), "query_log": str(d / "querylog"), "ruler_rules": str(d / "rules"), "structured": {"loom": "msg"}, "discovery": {"window": "20s", "slices": 4, "sample_lines": 4000},
+        "templating": {"masks": {"ip": ip}, "seeds": {"kiln": ["INFO probe /ready answered <*> in <*>", "INFO batch <*> fired at <*> for <*>", "DEBUG door sensor <*> reads <*>"], "ferry": ["INFO passenger <*> boarded deck <*>"]}}, "policy": {"actions": ["dedupe", "aggregate"]},
     }
     return d, doc, analysis.analyze(spark, config.load_config(doc), END)
 
@@ -37,11 +37,11 @@ def world(spark, tmp_path_factory):
 def test_analysis(world):
     _, _, r = world
     by = {x.candidate.template: x for x in r.recommendations}
-    assert by["INFO GET /healthz 200 <*>"].action == "none" and by["INFO GET /healthz 200 <*>"].readers[0].source == "querylog"
-    assert by["INFO request <*> status <*> took <*>"].readers[0].source == "ruler"
-    assert by["INFO heartbeat ok"].action == "dedupe" and by["INFO heartbeat ok"].upper_bound
-    assert by["INFO user <*> logged in"].action == "aggregate" and not by["INFO user <*> logged in"].readers
-    assert by["handled route in <*>"].action == "aggregate" and by["handled route in <*>"].candidate.structured
+    assert by["INFO probe /ready answered <*> in <*>"].action == "none" and by["INFO probe /ready answered <*> in <*>"].readers[0].source == "querylog"
+    assert by["INFO batch <*> fired at <*> for <*>"].readers[0].source == "ruler"
+    assert by["INFO kiln idle"].action == "dedupe" and by["INFO kiln idle"].upper_bound
+    assert by["INFO passenger <*> boarded deck <*>"].action == "aggregate" and not by["INFO passenger <*> boarded deck <*>"].readers
+    assert by["shuttle passed in <*>"].action == "aggregate" and by["shuttle passed in <*>"].candidate.structured, by["shuttle passed in <*>"].blockers
     assert any("error-like" in b for t, x in by.items() if "ERROR" in t for b in x.blockers) or not any("ERROR" in t for t in by)
     assert not r.gaps and r.removed_per_day() > 0
     for x in r.recommendations:
@@ -75,7 +75,7 @@ def test_verify(world, spark):
     c = config.load_config(doc)
     good = analysis.verify(spark, c, r.rules(), END)
     assert good.ok and good.keep == [x.id for x in r.rules()]
-    narrow = LineRule("r-x", "auth", r"\AINFO user alice logged in\z", "drop", template="INFO user <*> logged in")
+    narrow = LineRule("r-x", "ferry", r"\AINFO passenger ines boarded deck 1\z", "drop", template="INFO passenger <*> boarded deck <*>")
     read = next(x for x in r.recommendations if x.readers)
     bad = analysis.verify(spark, c, [narrow, LineRule(read.candidate.id, read.candidate.service, read.candidate.language)], END)
     assert not bad.ok and bad.drift[0][1] == "drifting" and bad.violations[0][0] == read.candidate.id and bad.keep == []
@@ -89,7 +89,7 @@ def test_command_line(world, tmp_path, capsys):
     end = "2026-01-05T00:00:20+00:00"
     assert main(["analyze", "--config", str(tmp_path / "c.json"), "--end", end, "--out", str(tmp_path)]) == 0
     assert main(["verify", "--config", str(tmp_path / "c.json"), "--end", end, "--out", str(tmp_path), "--rules", str(tmp_path / "rules.json")]) == 0
-    assert main(["query", "--logs", doc["logs"], "--at", end, 'sum(count_over_time({service_name="auth"} [1h]))']) == 0
+    assert main(["query", "--logs", doc["logs"], "--at", end, 'sum(count_over_time({service_name="ferry"} [1h]))']) == 0
     assert json.loads(capsys.readouterr().out.strip().splitlines()[-1])["value"] > 1000
 
 
