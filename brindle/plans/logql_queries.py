@@ -156,6 +156,37 @@ _values("missing_side_sum", f"((({_VIEW}) + ({_T})) or ({_VIEW}) or ({_T}))", "S
 
 
 # Reads
+# Constructs that read or make values, and streams of log_entries with their nulls, missing labels and hot services
+_lines("bytes_filter", '{service_name="view"} | pattern "<_> took <took>ms" | label_format size="{{.took}}KB" | size > 0.1MB', "service_name = 'view' AND took > 100")
+_lines("decolorize_stage", '{service_name="click"} | line_format "\x1b[31m{{.pod}}\x1b[0m up" | decolorize |= "pod-2 up"', "service_name = 'click' AND pod = 'pod-2'", False, ("service_name", "pod"), "service_name, pod, ts_ns, pod || ' up' AS line")
+_lines("unpack_stage", '{service_name="error"} | line_format `{"_entry": "e {{.pod}}", "zone": "z1"}` | unpack | zone="z1" |= "pod-1"', "service_name = 'error' AND pod = 'pod-1'", False, ("service_name", "zone"), "service_name, 'z1' AS zone, ts_ns, 'e ' || pod AS line")
+_lines("ip_filter_label", '{service_name="view"} | pattern "<_> took <took>ms" | label_format addr="10.0.{{.took}}.9" | addr = ip("10.0.64.0/18")', "service_name = 'view' AND took BETWEEN 64 AND 127")
+_values("unwrap_bytes", 'sum by (service_name) (sum_over_time({service_name=~".+"} | pattern "<_> took <took>ms" | label_format size="{{.took}}KB" | unwrap bytes(size) [30d]))', "SELECT service_name, sum(took)::DOUBLE * 1000 AS value FROM within GROUP BY 1", ("service_name",))
+_values("unwrap_duration", 'sum by (service_name) (sum_over_time({service_name=~".+"} | pattern "<_> took <took>" | unwrap duration(took) [30d]))', "SELECT service_name, round(sum(took)::DOUBLE / 1000, 6) AS value FROM within GROUP BY 1", ("service_name",), digits=6)
+_values(
+    "offset_negative", 'sum by (pod) (count_over_time({service_name="view"} [5d] offset -2d))',
+    f"SELECT pod, count(*)::DOUBLE AS value FROM logs WHERE service_name = 'view' AND ts_ns > {(AT - 3 * DAY) * NS} AND ts_ns <= {(AT + 2 * DAY) * NS} GROUP BY 1", ("pod",),
+)
+
+
+def _entries(name: str, query: str, sql_condition: str) -> None:
+    """Lines of a log query over log_entries."""
+
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        df = LogStore(table(spark, d, "log_entries")).logs(query)
+        return df.select(F.col("labels")["service_name"].alias("service_name"), F.col("labels")["k8s_pod_name"].alias("pod"), "ts_ns", "line")
+
+    run.__doc__ = query
+    QUERIES[name] = run
+    SQL[name] = f"SELECT labels['service_name'] AS service_name, labels['k8s_pod_name'] AS pod, ts_ns, line FROM log_entries WHERE {sql_condition}"
+
+
+_entries("entries_without_service", '{k8s_pod_name=~".+", service_name=""}', "labels['k8s_pod_name'] <> '' AND coalesce(labels['service_name'], '') = ''")
+_entries("entries_ip_filter", '{k8s_namespace_name=~"ns-.*"} |= ip("10.112.0.0/12")', r"""starts_with(labels['k8s_namespace_name'], 'ns-')
+    AND len(list_filter(regexp_extract_all(line, '[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+'), lambda x: regexp_full_match(x, '10\.(11[2-9]|12[0-7])\.(25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})\.(25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})'))) > 0""")
+_entries("entries_regex_filters", r'{service_name=~"courier|basket|ledger"} |~ `(?i)\berror\b` !~ `[0-9]{5,}`', r"labels['service_name'] IN ('courier', 'basket', 'ledger') AND regexp_matches(line, '(?i)\berror\b') AND NOT regexp_matches(line, '[0-9]{5,}')")
+
+
 def label_values(spark: SparkSession, d: str) -> DataFrame:
     """Values of a label in a range."""
     return _store(spark, d, False).label_values("pod", (AT - 3 * DAY) * NS, AT * NS)

@@ -60,7 +60,40 @@ def p3_services(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_reasons, p1_loaded, p2_found, p2_records, p3_found, p3_services)}
 
+# The rules of the query log in SQL: the form as one expression, cells as lists of keys and values.
+_ESC = r'''\\([abfnrtv\\"]|[0-3][0-7]{2}|x[0-9A-Fa-f]{2}|u([0-9A-Ca-cE-Fe-f][0-9A-Fa-f]{3}|[dD][0-7][0-9A-Fa-f]{2})|U(0000([0-9A-Ca-cE-Fe-f][0-9A-Fa-f]{3}|[dD][0-7][0-9A-Fa-f]{2})|000[1-9A-Fa-f][0-9A-Fa-f]{4}|0010[0-9A-Fa-f]{4}))'''
+_PAIR = rf'''[^ ="]+(=("([^"\\\n]|{_ESC})*"|[^ "][^ ]*)?)?'''
+_CELL = r'''(?:^| )([^ ="]+)(?:=("(?:[^"\\]|\\.)*"|[^ ]*))?'''
+_UNQUOTED = r"""replace(replace(replace(replace(replace(replace(x[2][2:-2], '\\', chr(1)), '\"', '"'), '\n', chr(10)), '\r', chr(13)), '\t', chr(9)), chr(1), '\')"""
+_METRICS = ("component", "org_id", "query", "query_type", "duration", "status")
+
+
+def _sql_value(key: str, wrong: str) -> str:
+    return f"len(list_filter(cells, lambda x: x.k = '{key}' AND x.v <> '' AND ({wrong}))) > 0"
+
+
+#: Lines with their form and cells: of all lines, or of those for which the condition holds.
+_CELLS = lambda condition="true": rf"""q AS (SELECT line_id, ts_ns, line, CASE WHEN line IS NULL OR NOT regexp_matches(line, '\S') THEN 'blank' WHEN NOT regexp_full_match(line, '(?s) *({_PAIR}( +{_PAIR})*)? *') THEN 'form' ELSE 'good' END AS form FROM query_log WHERE {condition}),
+    c AS (SELECT *, CASE WHEN form = 'good' THEN list_transform(list_zip(regexp_extract_all(line, '(?s){_CELL}', 1), regexp_extract_all(line, '(?s){_CELL}', 2)),
+        lambda x: {{'k': x[1], 'v': CASE WHEN x[2] LIKE '"%' THEN {_UNQUOTED} ELSE coalesce(x[2], '') END}}) END AS cells FROM q)"""
+_P1 = rf"""
+    WITH {_CELLS()},
+    m AS (SELECT *, coalesce(starts_with(list_filter(cells, lambda x: x.k = 'caller')[-1].v, 'metrics.go'), false) AS metrics FROM c),
+    e AS (SELECT *, CASE WHEN form <> 'good' THEN [(form, '')] ELSE list_concat(
+        list_transform(list_filter(list_concat(['level', 'ts', 'caller'], CASE WHEN metrics THEN {list(_METRICS)} ELSE [] END),
+            lambda k: len(list_filter(cells, lambda x: x.k = k)) <> 1 OR len(list_filter(cells, lambda x: x.k = k AND x.v = '')) > 0), lambda k: ('count', k)),
+        CASE WHEN {_sql_value('level', "x.v NOT IN ('debug', 'info', 'warn', 'error')")} THEN [('value', 'level')] ELSE [] END,
+        CASE WHEN {_sql_value('ts', "NOT regexp_full_match(x.v, '[0-9]{4}-[0-9]{2}-[0-9]{2}T([01][0-9]|2[0-3]):[0-5][0-9]:[0-5][0-9]([.][0-9]+)?(Z|[+-]([01][0-9]|2[0-3]):[0-5][0-9])') OR TRY_CAST(x.v[1:10] AS DATE) IS NULL")} THEN [('value', 'ts')] ELSE [] END,
+        CASE WHEN metrics AND {_sql_value('duration', "NOT regexp_full_match(x.v, '([0-9]+([.][0-9]+)?(ns|us|µs|ms|s|m|h))+')")} THEN [('value', 'duration')] ELSE [] END,
+        CASE WHEN metrics AND {_sql_value('status', "NOT regexp_full_match(x.v, '[1-5][0-9]{2}')")} THEN [('value', 'status')] ELSE [] END,
+        CASE WHEN metrics AND len(list_filter(cells, lambda x: x.k = 'splits' AND NOT regexp_full_match(x.v, '[0-9]+'))) > 0 THEN [('value', 'splits')] ELSE [] END,
+        CASE WHEN metrics AND len(list_filter(cells, lambda x: x.k = 'total_bytes' AND NOT regexp_full_match(x.v, '[0-9]+'))) > 0 THEN [('value', 'total_bytes')] ELSE [] END) END AS errors FROM m)
+"""
+
 SQL = {
+    "p1_found": f"{_P1} SELECT line_id FROM e WHERE len(errors) > 0",
+    "p1_loaded": f"{_P1} SELECT line_id, ts_ns, line FROM e WHERE len(errors) = 0",
+    "p1_reasons": f'{_P1}, r AS (SELECT line_id, unnest(errors) AS x FROM e) SELECT x[1] AS reason, x[2] AS "column", count(DISTINCT line_id) AS n_lines FROM r GROUP BY ALL',
     "p3_found": """
         SELECT 'entry' AS kind, labels['service_name'] AS service_name FROM log_entries
         GROUP BY 2 HAVING labels['service_name'] IS NOT NULL AND count(*) >= 0.05 * (SELECT count(*) FROM log_entries)

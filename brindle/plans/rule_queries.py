@@ -10,7 +10,8 @@ from brindle.operators import decide, mining, querylog
 from brindle.operators import enforce as en
 from brindle.operators.mining import LineRule
 from brindle.plans.logql_queries import AT, BASE, DAY
-from brindle.sources.logs import NS, events_as_logs, synthetic_logs
+from brindle.plans.problems import _CELLS
+from brindle.sources.logs import NS, events_as_logs
 from brindle.session import table
 
 _LANG = r"\AINFO user [0-9]{1,4} did {} took [0-9]{1,3}ms\z"
@@ -149,12 +150,6 @@ def infer_languages(spark: SparkSession, d: str) -> DataFrame:
     return out.select("key", "template", "regex", mining.rule_id(F.col("key"), F.lit(""), F.coalesce("regex", F.lit(""))).alias("rule"), "samples", "constant", "levels", "reason")
 
 
-def corpus_totals(spark: SparkSession, d: str) -> DataFrame:
-    """Ground truth of a synthetic corpus: lines and bytes of each template."""
-    c = synthetic_logs(spark, 50_000)
-    return c.groupBy("service", "template_id").agg(F.count(F.lit(1)).alias("lines"), F.sum(F.octet_length("line")).alias("line_bytes"))
-
-
 def querylog_summary(spark: SparkSession, d: str) -> DataFrame:
     """Kinds of requests in the query log."""
     return querylog.request_summary(querylog.classify_requests(table(spark, d, "query_log")))
@@ -203,14 +198,27 @@ QUERIES = {
     for f in (
         rollup_xyz_equals_original, canonical_queries,
         rule_measure, severity_guard, drop_rule, aggregate_counter, sample_hash_10pct, sample_hash_short, dedupe_batch, dedupe_tumbling, rollup_records, archive_split, keep_streams, drift, reconcile, stratified_sample,
-        drain_templates, infer_languages, corpus_totals, querylog_summary, querylog_fold, querylog_merge, removed_per_day,
+        drain_templates, infer_languages, querylog_summary, querylog_fold, querylog_merge, removed_per_day,
     )
 }
 
 _T10 = f"{(1 << 256) * 10 // 100:064x}"
 _KEY = "sha256(line || '|' || ts_ns::VARCHAR)"
 _SLICE = 5 * DAY * NS
+#: Requests of the query log by kind, as querylog.classify_requests tells them.
+_LAST = lambda k: f"coalesce(list_filter(cells, lambda x: x.k = '{k}')[-1].v, '')"
+_REQUESTS = rf"""
+    WITH {_CELLS(f"regexp_matches(line, '{querylog.PRELIMINARY}')")},
+    v AS (SELECT ts_ns, form, {", ".join(f"{_LAST(k)} AS {k}" for k in ("msg", "selectors", "path", "param_query", "caller", "query", "query_type", "source", "component"))} FROM c),
+    r AS (SELECT *, CASE WHEN form <> 'good' THEN 'unparsed' WHEN msg = '{querylog.TAIL_MESSAGE}' AND selectors <> '' THEN 'tail' WHEN path = '{querylog.PATTERNS_PATH}' AND param_query <> '' THEN 'patterns'
+        WHEN starts_with(caller, 'metrics.go') AND query <> '' THEN CASE WHEN query_type IN ('labels', 'series', 'stats') THEN 'metadata' ELSE 'query' END ELSE 'other' END AS kind FROM v)"""
+
 SQL = {
+    "querylog_summary": f"""{_REQUESTS} SELECT count(*) AS lines, count(*) FILTER (kind = 'unparsed') AS unparsed, count(*) FILTER (kind = 'query') AS queries, count(*) FILTER (kind = 'tail') AS tails,
+        count(*) FILTER (kind = 'patterns') AS patterns, count(*) FILTER (kind = 'metadata') AS metadata, min(ts_ns) FILTER (kind NOT IN ('unparsed', 'other')) AS oldest FROM r""",
+    "querylog_fold": f"""{_REQUESTS}, u AS (SELECT ts_ns, CASE kind WHEN 'query' THEN component ELSE kind END AS component, CASE kind WHEN 'tail' THEN selectors WHEN 'patterns' THEN param_query ELSE query END AS query,
+        CASE kind WHEN 'query' THEN query_type ELSE kind END AS query_type, CASE WHEN kind = 'query' THEN nullif(source, '') END AS source FROM r WHERE kind IN ('query', 'tail', 'patterns'))
+        SELECT component, query, arg_min(query_type, (ts_ns, query_type)) AS query_type, count(*) AS n, min(ts_ns) AS first_ns, max(ts_ns) AS last_ns, coalesce(list_sort(list(DISTINCT source) FILTER (source IS NOT NULL)), []) AS sources FROM u GROUP BY 1, 2""",
     "rollup_xyz_equals_original": f"WITH {BASE} SELECT pod, count(*)::DOUBLE AS value FROM logs WHERE service_name = 'purchase' GROUP BY 1",
     "rule_measure": f"{_TAGGED} SELECT hit AS rule, count(*) AS lines, sum(octet_length(encode(line)))::BIGINT AS bytes FROM tagged WHERE hit IS NOT NULL GROUP BY 1",
     "severity_guard": f"{_TAGGED} SELECT hit, count(*) AS guarded FROM tagged WHERE hit IS NOT NULL AND pod = 'pod-3' GROUP BY 1",
