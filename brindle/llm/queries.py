@@ -111,6 +111,21 @@ _P7 = r"""
     SELECT a.kind AS kind, a.id AS id_a, b.id AS id_b FROM u a JOIN u b ON a.kind = b.kind AND a.word = b.word AND a.id < b.id
     GROUP BY a.kind, a.id, b.id, a.n, b.n HAVING count(*) * 10 >= 7 * (a.n + b.n - count(*))
 """
+_P7_GROUPS = r"""
+    WITH RECURSIVE d AS (
+        SELECT 'line' AS kind, entry_id AS id, list_sort(list_distinct(regexp_extract_all(lower(line), '[a-z0-9]+'))) AS w FROM log_entries
+        UNION ALL SELECT 'template', skip_id, list_sort(list_distinct(regexp_extract_all(lower(template_text), '[a-z0-9]+'))) FROM skipped_templates),
+    f AS (SELECT * FROM d WHERE len(w) >= CASE kind WHEN 'line' THEN 80 ELSE 1 END),
+    c AS (SELECT kind, w, len(w) AS n, min(id) AS class_id, count(*) AS n_copies FROM f GROUP BY kind, w),
+    u AS (SELECT kind, class_id, n, unnest(w) AS word FROM c),
+    l AS (SELECT a.kind AS kind, a.class_id AS a, b.class_id AS b FROM u a JOIN u b ON a.kind = b.kind AND a.word = b.word AND a.class_id <> b.class_id
+          GROUP BY a.kind, a.class_id, b.class_id, a.n, b.n HAVING count(*) * 10 >= 7 * (a.n + b.n - count(*))),
+    reach AS (SELECT kind, class_id AS start, class_id AS node FROM c UNION SELECT reach.kind, start, b FROM reach JOIN l ON reach.kind = l.kind AND node = a),
+    g AS (SELECT kind, start AS class_id, min(node) AS group_id FROM reach GROUP BY 1, 2),
+    k AS (SELECT kind, a AS class_id, count(*) AS n_links FROM l GROUP BY 1, 2)
+    SELECT f.kind AS kind, id, c.class_id AS class_id, group_id, coalesce(n_links, 0) AS n_links, n_copies
+    FROM f JOIN c ON f.kind = c.kind AND f.w = c.w JOIN g ON g.kind = c.kind AND g.class_id = c.class_id LEFT JOIN k ON k.kind = c.kind AND k.class_id = c.class_id
+"""
 _P5 = """
     SELECT kind, item_text, count(*) AS n_rows FROM (
         SELECT 'line' AS kind, line AS item_text FROM log_entries UNION ALL SELECT 'pod', labels['k8s_pod_name'] FROM log_entries)
@@ -134,6 +149,7 @@ SQL = {
     "p4_found": _P4 + "SELECT first_id, query_id FROM k JOIN g USING (key) WHERE query_id > first_id",
     "p4_records": _P4 + "SELECT first_id, copies, total FROM g",
     "p7_found": _P7,
+    "p7_groups": _P7_GROUPS,
     "p5_found": f"SELECT kind, item_text FROM ({_P5})",
     "p5_counts": _P5,
     "p6_found": _P6 + "SELECT least(a, b) AS id_a, greatest(a, b) AS id_b FROM found",
