@@ -1,7 +1,7 @@
 """Analysis: sample, templates, languages, exact volume, evidence, decision, streams kept; and its verification later.
 
-Lines are only touched by DataFrame jobs. The driver sees what is bounded by the configuration: languages of templates (from a bounded sample), one volume for each rule,
-and the evidence of distinct queries.
+Lines and the queries that ran are only touched by DataFrame jobs. The driver sees what is bounded by the configuration: languages of templates (from a bounded sample), one volume
+and one reader for each rule, and the queries that are stored.
 """
 
 from __future__ import annotations
@@ -14,9 +14,11 @@ from pyspark.sql import functions as F
 
 from brindle.app.config import Config, window_hours
 from brindle.app.files import code, rule_key
+from brindle.logql.syntax import canonical
 from brindle.operators import decide as de
 from brindle.operators import mining, querylog
 from brindle.operators.mining import DrainConfig, LineRule
+from brindle.operators.usage import Note
 from brindle.session import materialize
 from brindle.sources.dashboards import ruler_rules
 
@@ -68,9 +70,13 @@ def log_rows(spark: SparkSession, c: Config, start_ns: int, end_ns: int) -> Data
     return df.select(service.alias("service"), "ts_ns", text.alias("text"), mining.level_of(F.col("labels"), None, c.all_severity_keys()).alias("level"), "labels")
 
 
-def evidence(spark: SparkSession, c: Config, start_ns: int) -> tuple[list[de.UsedQuery], list[de.Gap]]:
-    """Distinct queries that were run or are stored, and what is missing."""
+def evidence(spark: SparkSession, c: Config, start_ns: int) -> tuple[list[de.UsedQuery], DataFrame | None, list[de.Gap]]:
+    """Queries that are stored, those that ran (query_id, query, component; a table, as they may be any number), and what is missing.
+
+    A query that ran and is stored as well is left out of those that ran: it says nothing more.
+    """
     queries: list[de.UsedQuery] = []
+    executed: DataFrame | None = None
     gaps: list[de.Gap] = []
     ruler_known = False
     if c.ruler_rules:
@@ -88,13 +94,30 @@ def evidence(spark: SparkSession, c: Config, start_ns: int) -> tuple[list[de.Use
             gaps.append(de.Gap("query-log-window", "querylog", "", "the query log doesn't reach back over the window"))
         if s.unparsed:
             gaps.append(de.Gap("query-log-unparsed", "querylog", "", f"{s.unparsed} request lines don't parse"))
-        for r in querylog.merge_executions(querylog.fold_executions(requests)).orderBy("query").toLocalIterator():
-            if r.component == "ruler" and ruler_known:
-                continue  # the ruler's own rules say more
-            queries.append(de.UsedQuery("querylog", r.component or "", r.query))
+        merged = querylog.merge_executions(querylog.fold_executions(requests))
+        if ruler_known:
+            merged = merged.where("component is null or component <> 'ruler'")  # the ruler's own rules say more
+        if queries:
+            stored = spark.createDataFrame([(canonical(q.expr),) for q in queries], "canonical string").distinct()
+            merged = merged.join(stored, "canonical", "left_anti")
+        executed = materialize(merged.select(F.xxhash64("canonical").alias("query_id"), "query", F.coalesce("component", F.lit("")).alias("component")))
     else:
         gaps.append(de.Gap("query-log", "querylog", "", "not read"))
-    return queries, gaps
+    return queries, executed, gaps
+
+
+def _executed_readers(spark: SparkSession, candidates: list[de.Candidate], executed: DataFrame | None, scope_label: str) -> tuple[dict[str, tuple[int, de.Reader]], dict[str, int]]:
+    """For each candidate that is read, how many of the queries that ran read it and one of them; and how many of all readings assumed what. A row for each candidate reaches the driver."""
+    if executed is None or not candidates:
+        return {}, {}
+    rules = spark.createDataFrame([(x.id, x.service, x.language, x.structured) for x in candidates], "id string, service string, language string, structured boolean")
+    found, kinds = {}, {}
+    for r in de.executed_readers(rules, executed, scope_label).collect():
+        notes = tuple(Note(k, k) for k in r.kinds or ())
+        found[r.rule] = (r.readers, de.Reader("querylog", r.component, r.query, r.counting, r.reason, r.witness, notes))
+        for k, n in (r.by_kind or {}).items():
+            kinds[k] = kinds.get(k, 0) + n
+    return found, kinds
 
 
 def analyze(spark: SparkSession, c: Config, end_ns: int) -> Report:
@@ -118,14 +141,14 @@ def analyze(spark: SparkSession, c: Config, end_ns: int) -> Report:
         de.Candidate(r.id, r.service, r.language, ((c.scope_label, r.service),), r.template, r.service in c.structured, known[r.id].constant, float(volumes.get(r.id, (0, 0))[1]), hours, tuple(known[r.id].levels), names.get(r.service, ()))
         for r in rules
     ]
-    queries, gaps = evidence(spark, c, start_ns)
+    queries, executed, gaps = evidence(spark, c, start_ns)
+    ran, kinds = _executed_readers(spark, candidates, executed, c.scope_label)
     p = c.policy
     policy = de.Policy(tuple(p.actions), p.sample_percent, p.error_pattern, tuple(p.exempt), tuple(p.acknowledged), p.min_daily_bytes)
-    recs = de.decide(candidates, queries, gaps, policy)
+    recs = de.decide(candidates, queries, gaps, policy, executed=ran)
     _keep_streams(rows, recs)
     recs.sort(key=lambda r: (-r.removed_per_day, r.candidate.id))
-    kinds: dict[str, int] = {}
-    for reader in {(r.source, r.origin, r.expr): r for x in recs for r in x.readers}.values():
+    for reader in {(r.source, r.origin, r.expr): r for x in recs for r in x.readers if r.source != "querylog"}.values():
         for k in {w.kind for w in reader.widened}:
             kinds[k] = kinds.get(k, 0) + 1
     return Report(start_ns, end_ns, recs, skipped, gaps, volumes, sorted(kinds.items(), key=lambda kv: (-kv[1], kv[0])))
@@ -194,13 +217,15 @@ class Verification:
 def verify(spark: SparkSession, c: Config, rules: list[LineRule], end_ns: int) -> Verification:
     """Whether rules in force may stay: nobody reads their lines now, evidence is whole, and no template has grown out of its rule."""
     start_ns = end_ns - int(window_hours(c.discovery.window) * 3600 * NS)
-    queries, gaps = evidence(spark, c, start_ns)
+    queries, executed, gaps = evidence(spark, c, start_ns)
     gaps = [g for g in gaps if g.key not in c.policy.acknowledged]
     parsed = de._parsed(queries)
     languages = {r.id: r.language for r in rules}
     found = []
-    for r in rules:
-        cand = de.Candidate(r.id, r.service, r.language, ((c.scope_label, r.service),), r.template, r.service in c.structured)
+    candidates = [de.Candidate(r.id, r.service, r.language, ((c.scope_label, r.service),), r.template, r.service in c.structured) for r in rules]
+    ran, _ = _executed_readers(spark, candidates, executed, c.scope_label)
+    for r, cand in zip(rules, candidates, strict=True):
+        found += [(r.id, ran[r.id][1])] if r.id in ran else []
         found += [(r.id, q) for q in de.readers_of(cand, parsed, languages, False) if not (r.action == "rollup" and q.compensated)]
     rows = log_rows(spark, c, start_ns, end_ns)
     drifting = mining.drift(rows, F.col("service"), F.col("text"), rules, sorted(c.templating.masks)).collect() if rules else []

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass, field, replace
 
 import pandas as pd
@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from brindle.logql import ast
 from brindle.logql.syntax import QueryFault, canonical, go_quote, parse, quote
 from brindle.operators.enforce import SEVERE
-from brindle.operators.usage import UNREADABLE, Note, Reading, Target, covers, evaluate, named_values, reading
+from brindle.operators.usage import BROKEN, UNREADABLE, Note, Reading, Target, covers, evaluate, named_values, reading
 from brindle.relang import automaton as at
 from brindle.relang import syntax as sx
 
@@ -236,8 +236,15 @@ def _parsed(queries: Sequence[UsedQuery]) -> list[tuple[UsedQuery, ast.Query | s
     return out
 
 
-def decide(candidates: Sequence[Candidate], queries: Sequence[UsedQuery], gaps: Sequence[Gap] = (), policy: Policy = Policy(), by_service: Sequence[tuple[str, Reader]] = ()) -> list[Recommendation]:
-    """One recommendation for each candidate, largest removal first. by_service: readers that are known by service only, which no rollup can keep."""
+def decide(
+    candidates: Sequence[Candidate], queries: Sequence[UsedQuery], gaps: Sequence[Gap] = (), policy: Policy = Policy(), by_service: Sequence[tuple[str, Reader]] = (), executed: Mapping[str, tuple[int, Reader]] | None = None
+) -> list[Recommendation]:
+    """One recommendation for each candidate, largest removal first.
+
+    queries: those that are stored, or a few that ran. executed: candidate -> (how many more queries read it, one of them), as executed_readers finds them in a table
+    of any size; nothing can be rewritten in them. by_service: readers that are known by service only, which no rollup can keep either.
+    """
+    executed = executed or {}
     if bad := set(policy.actions) - set(ACTIONS):
         raise ValueError(f"unknown actions {sorted(bad)}")
     errors = at.compile(policy.error_pattern)
@@ -265,14 +272,15 @@ def decide(candidates: Sequence[Candidate], queries: Sequence[UsedQuery], gaps:
                 if not isinstance(q, str) and canonical(u.expr) not in replaced and any(reads_rollups(s, c.id, c.scope) for s in readings(q))
             ]
         keeps = keeps and not conflicts
-        for service, r in by_service:
-            if service == c.service:
-                rec.readers.append(r)
-                keeps = False
+        more = [r for service, r in by_service if service == c.service]
+        others, example = executed.get(c.id, (0, None))
+        rec.readers += [*more, *([example] if example else [])]
+        keeps = keeps and not more and not others
+        total = len(rec.readers) + max(0, others - 1)
         per_day = c.bytes / c.window_hours * 24 if c.window_hours > 0 else 0.0
         rec.blockers = list(blocking)
         if rec.readers and not keeps:
-            rec.blockers.append(f"{len(rec.readers)} {'query reads' if len(rec.readers) == 1 else 'queries read'} these lines")
+            rec.blockers.append(f"{total} {'query reads' if total == 1 else 'queries read'} these lines")
         try:
             w = at.intersects(at.compile(c.language), errors)
             if w is not None:
@@ -288,6 +296,7 @@ def decide(candidates: Sequence[Candidate], queries: Sequence[UsedQuery], gaps:
         if not rec.blockers:
             _choose(rec, policy, per_day, conflicts)
         out.append(rec)
+    _combine(out, languages)
     return sorted(out, key=lambda r: (-r.removed_per_day, r.candidate.id))
 
 
@@ -308,6 +317,40 @@ def _choose(rec: Recommendation, policy: Policy, per_day: float, conflicts: list
         rec.rewrites = sorted({(r.source, r.origin, r.rewrite) for r in rec.readers if r.rewrite})
 
 
+def _holds(text: str, c: Candidate, languages: dict[str, str]) -> bool:
+    """Whether a rewritten query counts a rolled-up rule's lines as before: what it still reads of them is compensated, and no other term meets their records."""
+    sels = readings(parse(text))
+    return not any(evaluate(s, c.target()).used and not compensated(sels, s, c.id, languages) or reads_rollups(s, c.id, c.scope) for s in sels)
+
+
+def _combine(recs: Sequence[Recommendation], languages: dict[str, str]) -> None:
+    """One rewrite of each stored query for all the rules that are rolled up, in place of one for each rule.
+
+    A rule whose part of a common rewrite can't be proved is rolled up no more, which changes the others' rewrites: repeated until nothing changes.
+    """
+    while True:
+        rolled = [r for r in recs if r.action == "rollup"]
+        reading_of: dict[str, list[Recommendation]] = {}
+        for r in rolled:
+            for expr in dict.fromkeys(x.expr for x in r.readers if x.rewrite and x.source != "querylog"):
+                reading_of.setdefault(expr, []).append(r)
+        texts: dict[str, str] = {}
+        unproved: list[Recommendation] = []
+        for expr, together in reading_of.items():
+            text, done = rewrite_counts(expr, [r.candidate.target() for r in together], shared_labels([r.candidate for r in together]))
+            texts[canonical(expr)] = text
+            unproved += [r for r in together if r.candidate.id not in done or not _holds(text, r.candidate, languages)]
+        if not unproved:
+            break
+        for r in unproved:
+            if r.action == "rollup":
+                r.action, r.removed_per_day, r.rewrites = "none", 0.0, []
+                r.blockers.append("its counts can't be kept together with those of other rules in one query")
+    for r in rolled:
+        r.readers = [replace(x, rewrite=texts.get(canonical(x.expr), x.rewrite)) if x.rewrite else x for x in r.readers]
+        r.rewrites = sorted({(x.source, x.origin, x.rewrite) for x in r.readers if x.rewrite})
+
+
 def shared_labels(candidates: Sequence[Candidate]) -> set[str]:
     """Labels that the streams of all candidates have."""
     sets = [set(c.stream_labels) for c in candidates]
@@ -316,11 +359,11 @@ def shared_labels(candidates: Sequence[Candidate]) -> set[str]:
 
 # --- Many rules and many queries -------------------------------------------------------------------------------------
 
-def verdicts(rules: DataFrame, queries: DataFrame, scope_label: str = "service_name", blocks: int = 64) -> DataFrame:
-    """rule, query_id, used, counting, exact, witness, reason of every query that isn't excluded by its selector, for each rule.
+def verdicts(rules: DataFrame, queries: DataFrame, scope_label: str = "service_name", block_rows: int = 1000) -> DataFrame:
+    """rule, query_id, used, counting, exact, witness, reason, kinds (of what was assumed) of every query that isn't excluded by its selector, for each rule.
 
     rules: id, service, language, and structured where the language is that of a field. queries: query_id, query. A query whose selectors all name services, by equality or by an alternation of names, meets only the rules of those, by a join on the
-    service; the others meet every rule: each block of them is held against each rule's row. Null queries and rules without a language are left out; a rule without a service
+    service; the others meet every rule: each block of about block_rows of them is held against each rule's row. Null queries and rules without a language are left out; a rule without a service
     meets every query; a query that doesn't parse reads everything.
     """
     label = scope_label
@@ -345,6 +388,7 @@ def verdicts(rules: DataFrame, queries: DataFrame, scope_label: str = "service_n
     named = known.where("services is not null").select("query_id", "query", F.explode("services").alias("service")).join(r, "service").select(*columns, F.struct("query_id", "query").alias("q"))
     anywhere = known.where("services is not null").select("query_id", "query")
     wide = known.where("services is null").select("query_id", "query")
+    blocks = max(1, -(-queries.count() // block_rows))
     numbered = F.pmod(F.xxhash64("query_id"), F.lit(blocks)).alias("block")
 
     def in_blocks(some_rules: DataFrame, some_queries: DataFrame) -> DataFrame:
@@ -365,13 +409,27 @@ def verdicts(rules: DataFrame, queries: DataFrame, scope_label: str = "service_n
                     shown = next((v for v in used if not v.widened), used[0]) if used else found[0] if found else None
                     if shown is None:
                         continue
-                    answer = (q["query_id"], bool(used), used[0].counting if used else shown.counting, not shown.widened, shown.witness, shown.reason)
+                    answer = (q["query_id"], bool(used), used[0].counting if used else shown.counting, not shown.widened, shown.witness, shown.reason, sorted({w.kind for w in shown.widened}))
                 except QueryFault as e:
-                    answer = (q["query_id"], True, True, False, None, f"query does not parse ({e})")
+                    answer = (q["query_id"], True, True, False, None, f"query does not parse ({e})", [UNREADABLE])
                 except (sx.SyntaxFault, at.Undecided) as e:
-                    answer = (q["query_id"], True, True, False, None, f"language does not compile ({e})")
+                    answer = (q["query_id"], True, True, False, None, f"language does not compile ({e})", [BROKEN])
                 rows += [(i, *answer) for i in ids]
-            yield pd.DataFrame(rows, columns=["rule", "query_id", "used", "counting", "exact", "witness", "reason"])
+            yield pd.DataFrame(rows, columns=["rule", "query_id", "used", "counting", "exact", "witness", "reason", "kinds"])
 
     both = named.unionByName(spread)
-    return both.mapInPandas(judge, "rule string, query_id long, used boolean, counting boolean, exact boolean, witness string, reason string")
+    return both.mapInPandas(judge, "rule string, query_id long, used boolean, counting boolean, exact boolean, witness string, reason string, kinds array<string>")
+
+
+def executed_readers(rules: DataFrame, executed: DataFrame, scope_label: str = "service_name") -> DataFrame:
+    """rule, readers, kinds (map kind of assumption -> readers), and one of the readers (an exact one where there is any): query, component, counting, witness, reason.
+
+    rules as for verdicts; executed: query_id (unique), query, component. One row for each rule that is read, however many queries read it.
+    """
+    used = verdicts(rules, executed.select("query_id", "query"), scope_label).where("used").join(executed.select("query_id", "query", "component"), "query_id")
+    shown = F.min(F.struct(~F.col("exact"), "query", "component", "counting", "witness", "reason", "kinds")).alias("x")
+    by_rule = used.groupBy("rule").agg(F.count(F.lit(1)).alias("readers"), shown)
+    kinds = used.select("rule", F.explode("kinds").alias("kind")).groupBy("rule", "kind").agg(F.count(F.lit(1)).alias("n"))
+    # A dozen kinds for each rule.
+    kinds = kinds.groupBy("rule").agg(F.map_from_entries(F.collect_list(F.struct("kind", "n"))).alias("by_kind"))
+    return by_rule.join(kinds, "rule", "left").select("rule", "readers", "by_kind", *[F.col(f"x.{c}").alias(c) for c in ("query", "component", "counting", "witness", "reason", "kinds")])

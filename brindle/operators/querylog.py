@@ -123,7 +123,7 @@ def with_forms(executions: DataFrame) -> DataFrame:
 
 
 def merge_executions(executions: DataFrame) -> DataFrame:
-    """query, query_type, component, n, first_ns, last_ns, sources: one row for each query.
+    """query, canonical, query_type, component, n, first_ns, last_ns, sources: one row for each query.
 
     The frontend logs a query once, as it was sent; queriers log it again, split by time, and the ruler in its own writing. Equal canonical forms are one query, in the
     writing of the frontend if it has one, else of the first component by name, and of its first text. A leg of a frontend query adds to that query: its text stands in the
@@ -157,4 +157,4 @@ def merge_executions(executions: DataFrame) -> DataFrame:
     )
     added = legs.groupBy(F.col("host").alias("canonical")).agg(F.sum("n").alias("leg_n"))
     out = merged.join(added, "canonical", "left")
-    return out.select("query", "query_type", "component", (F.col("n") + F.coalesce("leg_n", F.lit(0))).alias("n"), "first_ns", "last_ns", "sources")
+    return out.select("query", "canonical", "query_type", "component", (F.col("n") + F.coalesce("leg_n", F.lit(0))).alias("n"), "first_ns", "last_ns", "sources")

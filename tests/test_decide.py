@@ -185,7 +185,7 @@ def test_verdicts_over_tables(spark):
     rules = spark.createDataFrame([(r.id, dict(r.scope)[S], r.language) for r in (HEALTH, REQUEST, LOGIN)] + [(None, "x", "y")], "id string, service string, language string")
     texts = sorted({q for q, _, _ in VERDICTS}) + ["broken {", None]
     queries = spark.createDataFrame(list(enumerate(texts)), "query_id long, query string")
-    got = {(r.rule, r.query_id): r.used for r in de.verdicts(rules, queries, blocks=3).collect()}
+    got = {(r.rule, r.query_id): r.used for r in de.verdicts(rules, queries, block_rows=15).collect()}
     for i, q in enumerate(texts):
         if q is None:
             continue
@@ -193,3 +193,37 @@ def test_verdicts_over_tables(spark):
             want = True if q == "broken {" else any(us.evaluate(s, rule).used for s in de.readings(parse(q)))
             assert got.get((rule.id, i), False) == want, (rule.id, q)
     assert len(got) < 3 * len(texts)
+
+
+def test_one_rewrite_for_all_rules_that_a_query_reads():
+    """Two rolled-up rules in one stored query: one text keeps both counts, and each rule is proved in it."""
+    hot = de.Candidate("r-hot", "kiln", r"\Akiln hot [0-9]{3}\z", ((S, "kiln"),), bytes=10.0, window_hours=1.0, stream_labels=(S, "pod"))
+    cold = de.Candidate("r-cold", "kiln", r"\Akiln cold [0-9]{3}\z", ((S, "kiln"),), bytes=20.0, window_hours=1.0, stream_labels=(S, "pod"))
+    board = de.UsedQuery("dashboard", "d/1", 'sum by (pod) (count_over_time({service_name="kiln"} [5m]))', "grafana")
+    only = de.UsedQuery("dashboard", "d/2", 'sum(count_over_time({service_name="kiln"} |= "hot" [5m]))', "grafana")
+    recs = {r.candidate.id: r for r in de.decide([hot, cold], [board, only], policy=de.Policy(("rollup",)))}
+    assert {r.action for r in recs.values()} == {"rollup"}
+    texts = {i: dict((o, t) for _, o, t in r.rewrites) for i, r in recs.items()}
+    assert texts["r-hot"]["d/1"] == texts["r-cold"]["d/1"] and "d/2" not in texts["r-cold"]
+    both = texts["r-hot"]["d/1"]
+    assert all(f"{de.MARKER}{i}" in both for i in recs)
+    languages = {c.id: c.language for c in (hot, cold)}
+    assert all(de._holds(both, c, languages) for c in (hot, cold)) and not de._holds(board.expr, hot, languages)
+    # Rewritten for each rule by itself, the text written last would lose the other rule's records.
+    alone, _ = de.rewrite_counts(board.expr, [cold.target()], {S, "pod"})
+    assert not de._holds(alone, hot, languages)
+
+
+def test_readers_in_a_table(spark):
+    rules = spark.createDataFrame([(r.id, dict(r.scope)[S], r.language, r.structured) for r in (HEALTH, REQUEST, LOGIN, ROUTE)], "id string, service string, language string, structured boolean")
+    texts = sorted({q for q, _, _ in VERDICTS}) + ["not a query {"]
+    executed = spark.createDataFrame([(i, q, "frontend") for i, q in enumerate(texts)], "query_id long, query string, component string")
+    got = {r.rule: r for r in de.executed_readers(rules, executed).collect()}
+    for rule in (HEALTH, REQUEST, LOGIN, ROUTE):
+        want = [q for q in texts if q.startswith("not") or any(us.evaluate(s, rule).used for s in de.readings(parse(q)))]
+        assert got[rule.id].readers == len(want) and got[rule.id].query in want
+    assert got["health"].by_kind[us.UNREADABLE] == 1 and got["health"].kinds == []
+    none = de.executed_readers(rules, executed.limit(0)).count()
+    assert none == 0
+    rec = de.decide([de.Candidate("health", "checkout", HEALTH.language, HEALTH.scope, bytes=1.0, window_hours=1.0)], [], executed={"health": (7, de.Reader("querylog", "x", C, False, "r"))})[0]
+    assert rec.action == "none" and any("7 queries read" in b for b in rec.blockers)
