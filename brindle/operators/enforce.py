@@ -131,11 +131,16 @@ def kept_lines(tagged: DataFrame, rules: Sequence[LineRule], layout: Layout = La
     return out
 
 
-def deduped(tagged: DataFrame, rules: Sequence[LineRule], layout: Layout = Layout()) -> DataFrame:
-    """Identical records of dedupe rules folded into one with `dedup_count`: the first by time stands for them. Works on the rows at hand, a batch or one interval of a stream."""
+def deduped(tagged: DataFrame, rules: Sequence[LineRule], layout: Layout = Layout(), interval_ns: int | None = None) -> DataFrame:
+    """Identical records of dedupe rules folded into one with `dedup_count`: the first by time stands for them.
+
+    Works on the rows at hand: a batch, or each interval of interval_ns of their times (records without a time are one interval).
+    """
     rows = tagged.where(_in(_with_action(rules, "dedupe")))
     times = [c for c in (layout.ts_ns, layout.observed_ns) if c in rows.columns]
     keys = [c for c in rows.columns if c not in times]
+    if interval_ns is not None:
+        keys.append(F.expr(f"`{layout.ts_ns}` div {interval_ns}").alias("__interval"))
     return rows.groupBy(*keys).agg(*[F.min(c).alias(c) for c in times], F.count(F.lit(1)).alias("dedup_count")).select(*rows.columns, "dedup_count")
 
 
@@ -163,10 +168,10 @@ class Enforced:
     volume: DataFrame
 
 
-def enforce(df: DataFrame, rules: Sequence[LineRule], stream_cols: Sequence[str] = ("service",), layout: Layout = Layout(), level_keys: Sequence[str] = (), shadow: bool = False) -> Enforced:
+def enforce(df: DataFrame, rules: Sequence[LineRule], stream_cols: Sequence[str] = ("service",), layout: Layout = Layout(), level_keys: Sequence[str] = (), shadow: bool = False, dedupe_ns: int | None = None) -> Enforced:
     """Apply rules. kept: records that pass unchanged (df's columns). records: those that stand for several, with dedup_count. archive: moved away. volume: what each rule saw.
 
-    shadow: measure only; every record is kept. Null texts and services fall under no rule. An empty table gives empty results.
+    shadow: measure only; every record is kept. dedupe_ns: the interval within which identical records are folded, by default the whole of df. Null texts and services fall under no rule. An empty table gives empty results.
     """
     check_rules(rules)
     tagged = tag(df, rules, layout, level_keys)
@@ -175,7 +180,7 @@ def enforce(df: DataFrame, rules: Sequence[LineRule], stream_cols: Sequence[str]
         none = tagged.where(F.lit(False)).withColumn("dedup_count", F.lit(0).cast("long"))
         return Enforced(df, none, tagged.where(F.lit(False)).withColumn("archive", F.col("rule")), volume)
     columns = list(dict.fromkeys([*stream_cols, "rule", layout.ts_ns, layout.text, "dedup_count"]))
-    records = deduped(tagged, rules, layout).select(*columns).unionByName(rolled_up(tagged, rules, stream_cols, layout).select(*columns))
+    records = deduped(tagged, rules, layout, dedupe_ns).select(*columns).unionByName(rolled_up(tagged, rules, stream_cols, layout).select(*columns))
     return Enforced(kept_lines(tagged, rules, layout).select(*df.columns), records, archived(tagged, rules), volume)
 
 

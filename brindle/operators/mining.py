@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from brindle.relang import automaton
 from brindle.relang.syntax import java, quote
+from brindle.session import materialize
 
 # --- Sample ----------------------------------------------------------------------------------------------------------
 
@@ -42,19 +43,20 @@ def stratified_sample(df: DataFrame, key: str, ts: str, line: str, start: int, e
     share = F.greatest(F.lit(1), F.floor(F.lit(float(budget)) * F.col("__n") / total)).cast("long")
     plan = counts.withColumn("__share", share).withColumn("__parts", F.least(F.lit(PARTS), "__share"))
     step = (end - start) // slices
-    joined = inside.join(plan.withColumnRenamed("__slice", "__s"), (F.col(key) == F.col("__key")) & (F.col("__slice") == F.col("__s")))
+    # A row for each key and slice; broadcast where they are few.
+    plan = materialize(plan.withColumnRenamed("__slice", "__s"))
+    plan = F.broadcast(plan) if plan.count() <= 100_000 else plan
+    joined = inside.join(plan, (F.col(key) == F.col("__key")) & (F.col("__slice") == F.col("__s")))
     begin = F.lit(start) + F.col("__slice") * F.lit(step).cast("long")
     finish = F.when(F.col("__slice") == slices - 1, F.lit(end)).otherwise(begin + step)
     width = F.floor((finish - begin) / F.col("__parts").cast("decimal(20,0)"))
     part = F.least(F.floor((t - begin) / F.greatest(width, F.lit(1)).cast("decimal(20,0)")), F.col("__parts") - 1)
-    quota = F.ceil(F.col("__share") / F.col("__parts"))
-    rank = F.row_number().over(Window.partitionBy("__key", "__slice", "__part").orderBy(ts, line))
     whole = F.col("__share") >= F.col("__n")
-    # No piece gives more than `most` rows: each partition is cut to them before the shuffle.
-    most = -(-budget // min(PARTS, budget)) + 1
-    cut = joined.where(~whole).withColumn("__part", part).withColumn("__rank", rank).where(F.col("__rank") <= most).where(F.col("__rank") <= quota)
-    taken = joined.where(whole).select(*df.columns).unionByName(cut.select(*df.columns))
-    return taken.select(*df.columns)
+    # A slice that is taken whole is one piece with a quota of all its rows, which are no more than the budget.
+    pieces = joined.withColumn("__part", F.when(whole, F.lit(0)).otherwise(part)).withColumn("__quota", F.when(whole, F.col("__n")).otherwise(F.ceil(F.col("__share") / F.col("__parts"))))
+    rank = F.row_number().over(Window.partitionBy("__key", "__slice", "__part").orderBy(ts, line))
+    # No piece gives more rows than the budget: each partition is cut to them before the shuffle.
+    return pieces.withColumn("__rank", rank).where(F.col("__rank") <= max(budget, 1)).where(F.col("__rank") <= F.col("__quota")).select(*df.columns)
 
 
 # --- Templates -------------------------------------------------------------------------------------------------------
@@ -392,25 +394,22 @@ def template_language(template: str, masks: Sequence[str] = ()) -> str:
     return r"\A" + " ".join(parts) + r"\z"
 
 
-def drift(df: DataFrame, service: Column, text: Column, rules: Sequence[LineRule], masks: Sequence[str] = ()) -> DataFrame:
-    """rule, template_lines, out_of_rule, examples (three, oldest texts first by order), status: lines of a rule's template that its language doesn't cover.
+def drift(df: DataFrame, service: Column, text: Column, rules: Sequence[LineRule], masks: Sequence[str] = (), ts: Column | None = None, examples: int = 3) -> DataFrame:
+    """rule, template_lines, out_of_rule, examples (the oldest three by ts, ties and rows without ts by text), status: lines of a rule's template that its language doesn't cover.
 
-    status: drifting where there are any, no-traffic where the template has no lines, else stable. One pass over the lines.
+    status: drifting where there are any, no-traffic where the template has no lines, else stable. One pass counts; one more reads the lines that are out.
     """
-    aggs = []
-    for i, r in enumerate(rules):
-        here = (service == r.service) & text.rlike(java(template_language(r.template, masks)))
-        out = here & ~text.rlike(java(r.language))
-        aggs += [F.count(F.when(here, 1)).alias(f"t{i}"), F.count(F.when(out, 1)).alias(f"o{i}"), F.min(F.when(out, text)).alias(f"lo{i}"), F.max(F.when(out, text)).alias(f"hi{i}")]
-    one = df.agg(*aggs)
-    rows = [
-        F.struct(
-            F.lit(r.id).alias("rule"), F.col(f"t{i}").alias("template_lines"), F.col(f"o{i}").alias("out_of_rule"), F.array_compact(F.array_distinct(F.array(f"lo{i}", f"hi{i}"))).alias("examples"),
-            F.when(F.col(f"o{i}") > 0, "drifting").when(F.col(f"t{i}") == 0, "no-traffic").otherwise("stable").alias("status"),
-        )
-        for i, r in enumerate(rules)
-    ]
-    return one.select(F.inline(F.array(*rows)))
+    inside = [(service == r.service) & text.rlike(java(template_language(r.template, masks))) for r in rules]
+    out = [here & ~text.rlike(java(r.language)) for here, r in zip(inside, rules, strict=True)]
+    counts = df.agg(*[F.count(F.when(c, 1)).alias(f"{k}{i}") for k, cs in (("t", inside), ("o", out)) for i, c in enumerate(cs)])
+    status = lambda i: F.when(F.col(f"o{i}") > 0, "drifting").when(F.col(f"t{i}") == 0, "no-traffic").otherwise("stable")
+    rows = [F.struct(F.lit(r.id).alias("rule"), F.col(f"t{i}").alias("template_lines"), F.col(f"o{i}").alias("out_of_rule"), status(i).alias("status")) for i, r in enumerate(rules)]
+    left = df.select(F.array_compact(F.array(*[F.when(c, F.lit(r.id)) for c, r in zip(out, rules, strict=True)])).alias("rules"), text.alias("text"), (ts if ts is not None else F.lit(None).cast("long")).alias("ts"))
+    oldest = F.row_number().over(Window.partitionBy("rule").orderBy(F.col("ts").asc_nulls_last(), "text"))
+    ranked = left.select(F.explode("rules").alias("rule"), "text", "ts").distinct().withColumn("rank", oldest).where(F.col("rank") <= examples)
+    shown = ranked.groupBy("rule").agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "text"))), lambda x: x["text"]).alias("examples"))
+    found = counts.select(F.inline(F.array(*rows))).join(F.broadcast(shown), "rule", "left")
+    return found.select("rule", "template_lines", "out_of_rule", F.coalesce("examples", F.array().cast("array<string>")).alias("examples"), "status")
 
 
 def reconcile(df: DataFrame, service: Column, text: Column, ts: Column, rules: Sequence[LineRule], before: tuple[int, int], after: tuple[int, int], rolled: Column | None = None, tolerance: float = 0.05) -> DataFrame:

@@ -13,11 +13,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle import topology
+from brindle import functions, topology
 from brindle.logql.syntax import parse
 from brindle.operators import decide, enforce, mining
 from brindle.operators import usage as us
 from brindle.plans.logql_queries import AT, BASE, DAY
+from brindle.plans.problems import _CELLS, _PAIR
 from brindle.plans.rule_queries import _TAGGED, RULES, _records
 from brindle.relang import automaton as at
 from brindle.relang.syntax import java, quote
@@ -441,3 +442,17 @@ def tag_outputs(spark: SparkSession, d: str) -> DataFrame:
     n = table(spark, d, "nation").join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select("n_name", "r_name").collect()
     p = topology.TagPipeline(json.loads(json.dumps({"pipeline": {"outputs": [{"name": "x", "alias": x.n_name, "match": x.r_name[:3] + "*"} for x in n]}})))
     return spark.createDataFrame([(r, o) for r in sorted({x.r_name for x in n}) for o in p.receiving(r)], "tag string, output string")
+
+
+# --- Functions in SQL --------------------------------------------------------------------------------------------------
+
+
+@_query(f"WITH {_CELLS()} SELECT list_filter(cells, lambda x: x.k = 'level')[-1].v AS level, list_filter(cells, lambda x: x.k = 'component')[-1].v AS component, count(*) AS n FROM c WHERE form = 'good' GROUP BY 1, 2")
+def sql_functions(spark: SparkSession, d: str) -> DataFrame:
+    """Registered functions from SQL: lines of good form by two of their cells."""
+    functions.register(spark)
+    form = f"^(?s: *({_PAIR}( +{_PAIR})*)? *)\\z"
+    return spark.sql(
+        "SELECT cells.level AS level, cells.component AS component, count(*) AS n FROM (SELECT logfmt(line) AS cells FROM {lines} WHERE line rlike '[^ \\\\s]' AND line rlike (SELECT max(re2_java(f)) FROM {forms})) GROUP BY 1, 2",
+        lines=table(spark, d, "query_log"), forms=spark.createDataFrame([(form,)], "f string"),
+    )

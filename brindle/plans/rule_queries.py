@@ -85,8 +85,8 @@ def dedupe_batch(spark: SparkSession, d: str) -> DataFrame:
 
 def dedupe_tumbling(spark: SparkSession, d: str) -> DataFrame:
     """The same per ten minutes of event time."""
-    r = en.tag(_records(spark, d), RULES).where("rule = 'r-signup'")
-    return r.groupBy("service", "text", F.expr(f"ts_ns div {600 * NS} * 600").alias("window_s")).agg(F.count(F.lit(1)).alias("dedup_count"))
+    r = en.tag(_records(spark, d), RULES).select("service", "text", "ts_ns", "rule")
+    return en.deduped(r, RULES, interval_ns=600 * NS).select("service", "text", F.expr(f"ts_ns div {600 * NS} * 600").alias("window_s"), "dedup_count")
 
 
 def rollup_records(spark: SparkSession, d: str) -> DataFrame:
@@ -109,7 +109,7 @@ def drift(spark: SparkSession, d: str) -> DataFrame:
     """Lines of a rule's template outside its language."""
     r = _records(spark, d)
     rules = [x for x in RULES if x.template] + [LineRule("r-none", "view", r"\Ax\z", template="no such line <*>"), LineRule("r-all", "view", _LANG.replace("{}", "view"), template="INFO user <*> did view took <*>")]
-    return mining.drift(r, F.col("service"), F.col("text"), rules).select("rule", "template_lines", "out_of_rule", "status")
+    return mining.drift(r, F.col("service"), F.col("text"), rules, ts=F.col("ts_ns")).select("rule", "template_lines", "out_of_rule", "status", F.array_join("examples", "|").alias("examples"))
 
 
 _HALF = (AT - 15 * DAY) * NS
@@ -235,9 +235,11 @@ SQL = {
               UNION SELECT DISTINCT service, '*' FROM s)
         SELECT service, rule, count(*) AS streams, count(*) FILTER (CASE WHEN rule = '*' THEN low <> '' ELSE low = rule AND high = rule END) AS emptied FROM k JOIN s USING (service) GROUP BY 1, 2""",
     "drift": rf"""WITH {BASE} SELECT 'r-error' AS rule, count(*) AS template_lines, count(*) FILTER (NOT regexp_full_match(line, 'ERROR user [0-9]{{1,4}} did error took [0-9]{{2}}ms')) AS out_of_rule,
-            CASE WHEN out_of_rule > 0 THEN 'drifting' WHEN template_lines = 0 THEN 'no-traffic' ELSE 'stable' END AS status
+            CASE WHEN out_of_rule > 0 THEN 'drifting' WHEN template_lines = 0 THEN 'no-traffic' ELSE 'stable' END AS status,
+            (SELECT coalesce(string_agg(line, '|' ORDER BY ts_ns, line), '') FROM (SELECT DISTINCT ts_ns, line FROM logs WHERE service_name = 'error' AND regexp_full_match(line, 'ERROR user \S+ did error took \S+')
+                AND NOT regexp_full_match(line, 'ERROR user [0-9]{{1,4}} did error took [0-9]{{2}}ms') ORDER BY ts_ns, line LIMIT 3)) AS examples
         FROM logs WHERE service_name = 'error' AND regexp_full_match(line, 'ERROR user \S+ did error took \S+')
-        UNION ALL SELECT 'r-none', 0, 0, 'no-traffic' UNION ALL SELECT 'r-all', count(*), 0, 'stable' FROM logs WHERE service_name = 'view'""",
+        UNION ALL SELECT 'r-none', 0, 0, 'no-traffic', '' UNION ALL SELECT 'r-all', count(*), 0, 'stable', '' FROM logs WHERE service_name = 'view'""",
     "reconcile": f"""{_TAGGED}, m AS (SELECT hit AS rule, count(*) FILTER (ts_ns > {(AT - 30 * DAY) * NS} AND ts_ns <= {_HALF}) AS before_lines, count(*) FILTER (ts_ns > {_HALF} AND ts_ns <= {AT * NS}) AS after_lines,
             coalesce(sum(octet_length(encode(line))) FILTER (ts_ns > {(AT - 30 * DAY) * NS} AND ts_ns <= {_HALF}), 0)::BIGINT AS before_bytes,
             coalesce(sum(octet_length(encode(line))) FILTER (ts_ns > {_HALF} AND ts_ns <= {AT * NS}), 0)::BIGINT AS after_bytes FROM tagged WHERE hit IS NOT NULL GROUP BY 1)
