@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from brindle.llm.tokens import VOCABULARY, count_tokens
-from brindle.session import materialize
+from brindle.session import materialize, narrow
 
 
 def source_rates(sized: DataFrame, targets: DataFrame, total_tokens: float | None = None) -> DataFrame:
@@ -46,8 +46,11 @@ def mix_sources(
     with their source's rate. Rows repeated with one id are drawn alike. No record is used more than max_repeats times; rows are
     never cut or sampled beyond what the rates say. An empty table gives no mix and shares of 0.
     """
-    # Three narrow columns; written, as encoding is the costly part and both results read it.
-    sized = materialize(count_tokens(docs, text_col, {"doc_id": id_col, "source": source_col}, path))
+    # Only texts of sources with a target are encoded. Three narrow columns; written, as encoding is the costly part and both results read it.
+    wanted = narrow(targets, source="source").where("source is not null").distinct()
+    own = narrow(docs, doc_id=id_col, text=text_col, source=source_col)
+    own = own.join(F.broadcast(wanted) if wanted.count() <= 10_000 else wanted, "source", "left_semi")
+    sized = materialize(count_tokens(own, "text", {"doc_id": "doc_id", "source": "source"}, path))
     # One row for each target; materialized before it is broadcast, so that the size is that of the targets table.
     rates = materialize(source_rates(sized, targets, total_tokens))
     small = rates.count() <= 10_000
