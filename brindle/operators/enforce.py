@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from brindle.operators.mining import LineRule, overlapping, rule_of
+from brindle.operators.mining import LineRule, overlapping, with_rule
 from brindle.relang import automaton
 from brindle.relang.syntax import SyntaxFault, java
 
@@ -79,8 +79,8 @@ def severe(df: DataFrame, layout: Layout, level_keys: Sequence[str] = ()) -> Col
 
 def tag(df: DataFrame, rules: Sequence[LineRule], layout: Layout = Layout(), level_keys: Sequence[str] = ()) -> DataFrame:
     """df with `rule`: the id of the rule that the record falls under, null for records of none and for all records at warning or above."""
-    hit = rule_of(F.col(layout.service), F.col(layout.text), rules)
-    return df.withColumn("rule", F.when(~severe(df, layout, level_keys), hit))
+    hit = with_rule(df, F.col(layout.service), F.col(layout.text), rules, "__hit")
+    return hit.withColumn("rule", F.when(~severe(df, layout, level_keys), F.col("__hit"))).drop("__hit")
 
 
 def measured(tagged: DataFrame, layout: Layout = Layout()) -> DataFrame:

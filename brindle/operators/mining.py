@@ -10,12 +10,14 @@ from collections import Counter
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 from functools import cached_property
+from itertools import takewhile
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from brindle.relang import automaton
+from brindle.relang import syntax as sx
 from brindle.relang.syntax import java, quote
 from brindle.session import materialize
 
@@ -354,19 +356,64 @@ def rule_of(service: Column, text: Column, rules: Sequence[LineRule]) -> Column:
     return out
 
 
+#: Rules that are tried one after another in one expression; more are looked up by the words that their lines begin with.
+CASE_RULES = 50
+#: Words of a rule's beginning that are looked up at most.
+_LEADING = 3
+
+
+def leading_words(language: str) -> str:
+    """The whole words, at most _LEADING, that every text of an anchored language begins with."""
+    tree = sx.parse(language)
+    parts = tree.parts if isinstance(tree, sx.Concat) else (tree,)
+    if not parts or not isinstance(parts[0], sx.Assert) or parts[0].kind != "text_begin":
+        return ""
+    known = "".join(chr(p.literal) for p in takewhile(lambda p: isinstance(p, sx.Chars) and p.literal is not None, parts[1:]))
+    return " ".join(known.split(" ")[:-1][:_LEADING])
+
+
+def with_rule(df: DataFrame, service: Column, text: Column, rules: Sequence[LineRule], name: str = "rule") -> DataFrame:
+    """df with the id of the rule whose language each text is in, null where there is none.
+
+    A few rules are one expression. Many are tables by the number of words that their lines are known to begin with: a text meets only the rules of its service that
+    begin as it does. The tables have a row for each rule and are broadcast.
+    """
+    if len(rules) <= CASE_RULES:
+        return df.withColumn(name, rule_of(service, text, rules))
+    by_words: dict[int, list[tuple[str, str, str, str]]] = {}
+    for r in rules:
+        words = leading_words(r.language)
+        by_words.setdefault(len(words.split(" ")) if words else 0, []).append((r.service, words, java(r.language), r.id))
+    out, hits = df.withColumn("__service", service).withColumn("__text", text), []
+    for n, rows in sorted(by_words.items(), reverse=True):
+        table = df.sparkSession.createDataFrame(rows, f"__s{n} string, __w{n} string, __p{n} string, __r{n} string")
+        begins = F.substring_index("__text", " ", n) if n else F.lit("")
+        same = (F.col("__service") == F.col(f"__s{n}")) & (begins == F.col(f"__w{n}")) & F.expr(f"__text rlike __p{n}")
+        out, hits = out.join(F.broadcast(table), same, "left"), [*hits, F.col(f"__r{n}")]
+    return out.withColumn(name, F.coalesce(*hits)).select(*[c for c in df.columns if c != name], name)
+
+
 def overlapping(rules: Sequence[LineRule]) -> list[tuple[str, str]]:
-    """Pairs of rules of one service that some line may be in both of; an undecided question counts as such."""
-    out = []
-    for i, a in enumerate(rules):
-        for b in rules[i + 1 :]:
-            if a.service == b.service and automaton.overlap(automaton.compile(a.language), automaton.compile(b.language)):
-                out.append((a.id, b.id))
-    return out
+    """Pairs of rules of one service that some line may be in both of; an undecided question counts as such.
+
+    Rules whose beginnings differ have no line in common, so that only those that may begin alike are held against each other.
+    """
+    begins = [tuple(leading_words(r.language).split()) for r in rules]
+    bucket: dict[tuple[str, tuple[str, ...]], list[int]] = {}
+    for i, r in enumerate(rules):
+        bucket.setdefault((r.service, begins[i]), []).append(i)
+    pairs = set()
+    for i, r in enumerate(rules):
+        for n in range(len(begins[i]) + 1):
+            for j in bucket.get((r.service, begins[i][:n]), ()):
+                if j < i or n < len(begins[i]):
+                    pairs.add((min(i, j), max(i, j)))
+    return [(rules[i].id, rules[j].id) for i, j in sorted(pairs) if automaton.overlap(automaton.compile(rules[i].language), automaton.compile(rules[j].language))]
 
 
 def measure(df: DataFrame, service: Column, text: Column, rules: Sequence[LineRule]) -> DataFrame:
     """rule, lines, bytes: exact volume of every rule in one pass over the lines."""
-    tagged = df.select(rule_of(service, text, rules).alias("rule"), F.octet_length(text).cast("long").alias("b")).where("rule is not null")
+    tagged = with_rule(df.select(service.alias("s"), text.alias("t"), F.octet_length(text).cast("long").alias("b")), F.col("s"), F.col("t"), rules).where("rule is not null")
     return tagged.groupBy("rule").agg(F.count(F.lit(1)).alias("lines"), F.sum("b").alias("bytes"))
 
 
@@ -375,7 +422,8 @@ def stream_preservation(df: DataFrame, service: Column, stream: Column, text: Co
 
     One aggregation answers every rule: a stream is emptied by one rule just if all its lines have that rule.
     """
-    tagged = df.select(service.alias("service"), stream.alias("stream"), F.coalesce(rule_of(service, text, rules), F.lit("")).alias("rule")).where(F.col("service").isin(*sorted({r.service for r in rules})))
+    here = df.select(service.alias("service"), stream.alias("stream"), text.alias("t")).where(F.col("service").isin(*sorted({r.service for r in rules})))
+    tagged = with_rule(here, F.col("service"), F.col("t"), rules).select("service", "stream", F.coalesce("rule", F.lit("")).alias("rule"))
     streams = tagged.groupBy("service", "stream").agg(F.min("rule").alias("low"), F.max("rule").alias("high"))
     only = F.when(F.col("low") == F.col("high"), F.nullif("low", F.lit("")))
     per = streams.groupBy("service").agg(F.count(F.lit(1)).alias("streams"), F.count(F.when(F.col("low") != "", 1)).alias("all_emptied"))
@@ -417,7 +465,8 @@ def reconcile(df: DataFrame, service: Column, text: Column, ts: Column, rules: S
 
     rolled: a map column literal rule -> lines counted by its rollup records, or null. One pass over the lines.
     """
-    t = df.select(rule_of(service, text, rules).alias("rule"), ts.alias("t"), F.octet_length(text).cast("long").alias("b")).where("rule is not null")
+    lines = df.select(service.alias("service"), text.alias("text"), ts.alias("t"), F.octet_length(text).cast("long").alias("b"))
+    t = with_rule(lines, F.col("service"), F.col("text"), rules).where("rule is not null")
     inside = lambda w: (F.col("t") > w[0]) & (F.col("t") <= w[1])
     found = t.groupBy("rule").agg(
         F.count(F.when(inside(before), 1)).alias("before_lines"), F.count(F.when(inside(after), 1)).alias("after_lines"),
