@@ -12,7 +12,7 @@ from pyspark.sql import SparkSession
 
 from brindle.app import analysis
 from brindle.app.config import load_config
-from brindle.app.files import dump_rules, load_rules, write_atomic
+from brindle.app.files import append_summary, dump_rules, load_rules, write_atomic
 from brindle.logql.compile import LogStore
 from brindle.topology import load_yaml
 
@@ -30,6 +30,7 @@ def main(args: list[str] | None = None) -> int:
         s.add_argument("--config", required=True)
         s.add_argument("--end", required=True, type=time_ns)
         s.add_argument("--out", default=".")
+        s.add_argument("--summary", help="a page that the report is added to")
         if name == "verify":
             s.add_argument("--rules", required=True)
     q = sub.add_parser("query")
@@ -61,10 +62,14 @@ def main(args: list[str] | None = None) -> int:
         r = analysis.analyze(spark, c, a.end)
         write_atomic(out / "report.json", analysis.report_json(r))
         write_atomic(out / "report.md", analysis.report_markdown(r))
+        if a.summary:
+            append_summary(a.summary, analysis.report_markdown(r))
         write_atomic(out / "rules.json", dump_rules(r.rules(), digest, c.structured))
         return 0
     v = analysis.verify(spark, c, load_rules(Path(a.rules).read_text(), digest), a.end)
     write_atomic(out / "verify.json", json.dumps({"ok": v.ok, "keep": v.keep, "violations": [[i, q.expr, q.reason] for i, q in v.violations], "drift": v.drift, "gaps": [vars(g) for g in v.gaps]}, indent=1))
+    if a.summary:
+        append_summary(a.summary, f"# Verification\n\n{len(v.keep)} rules stay; {len(v.violations)} readings, {len(v.gaps)} gaps.\n")
     return 0 if v.ok else 3
 
 

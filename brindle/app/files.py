@@ -34,6 +34,22 @@ def write_atomic(path: str | Path, data: str) -> None:
         raise
 
 
+#: Bytes that a job's summary page takes.
+SUMMARY_BYTES = 1_000_000
+
+
+def append_summary(path: str | Path, text: str, limit: int = SUMMARY_BYTES) -> None:
+    """Add text to the summary page of a job. What the page has no room for is cut at a line's end, and the cut is told."""
+    path = Path(path)
+    room = limit - (path.stat().st_size if path.exists() else 0)
+    data = text.encode()
+    if len(data) > room:
+        note = "\n\n(cut: the page is full)\n"
+        data = data[: max(0, room - len(note))].rpartition(b"\n")[0] + note.encode() if room > len(note) else b""
+    with open(path, "ab") as f:
+        f.write(data)
+
+
 def printable(text: str) -> str:
     """text with everything that a terminal or a page could obey spelled out."""
     return "".join(c if c.isprintable() else f"\\u{{{ord(c):x}}}" for c in text)

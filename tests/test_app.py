@@ -106,6 +106,13 @@ def test_files(tmp_path):
     os.chmod(p, 0o640)
     files.write_atomic(p, "two")
     assert p.read_text() == "two" and p.stat().st_mode & 0o777 == 0o640 and os.listdir(tmp_path) == ["f"]
+    page = tmp_path / "page"
+    files.append_summary(page, "a\n")
+    files.append_summary(page, "b\n" * 100, limit=60)
+    assert page.read_text().startswith("a\nb\n") and page.read_text().endswith("full)\n") and page.stat().st_size <= 60
+    files.append_summary(page, "c\n" * 100, limit=page.stat().st_size)
+    assert "c\n" not in page.read_text()
+    page.unlink()
     assert files.printable("a\x1b[0m‮") == "a\\u{1b}[0m\\u{202e}"
     assert files.code("a`b``c") == "```a`b``c```" and files.code("`x") == "`` `x ``"
     assert files.differences({"a": [1, {"b": 2}], "c": 1}, {"a": [1, {"b": 3}], "d": 1}) == [".a[1].b: 2 became 3", ".c: missing", ".d: added"]
