@@ -14,11 +14,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brindle import functions, topology
+from brindle.logql import syntax
 from brindle.logql.syntax import parse
 from brindle.operators import decide, enforce, mining
 from brindle.operators import usage as us
 from brindle.plans.logql_queries import AT, BASE, DAY
 from brindle.plans.problems import _CELLS, _PAIR
+from brindle.plans import rule_queries
+from brindle.plans.rule_queries import SQL as SQL_OF_RULES
 from brindle.plans.rule_queries import _TAGGED, RULES, _records
 from brindle.relang import automaton as at
 from brindle.relang.syntax import java, quote
@@ -398,6 +401,66 @@ def severity_levels(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "log_entries").groupBy(F.col("labels")["service_name"].alias("service_name"), level.alias("level")).agg(F.count(F.lit(1)).alias("n"))
 
 
+# --- Templates and their languages --------------------------------------------------------------------------------------
+
+_SAMPLED = SQL_OF_RULES["stratified_sample"].replace("SELECT service, ts_ns, line AS text FROM r WHERE", ", s AS (SELECT service, ts_ns, line AS text, regexp_extract(line, 'user ([0-9]+) did', 1) AS who, regexp_extract(line, 'took ([0-9]+)ms', 1) AS took FROM r WHERE") + ")"
+_WORD_OF = "CASE WHEN service = 'error' THEN 'ERROR' ELSE 'INFO' END"
+
+
+@_query(f"{_SAMPLED} SELECT service, {_WORD_OF} || ' user <*> did ' || service || ' took <*>' AS template, count(*) AS n FROM s GROUP BY 1, 2")
+def event_templates(spark: SparkSession, d: str) -> DataFrame:
+    """Templates of the sample of each service; the sample is the feature."""
+    sample = rule_queries.stratified_sample(spark, d)
+    return mining.template_lines(sample, "service", "ts_ns", "text", mining.DrainConfig()).groupBy("service", "template").agg(F.count(F.lit(1)).alias("n"))
+
+
+_BRACES = lambda lo, hi: f"CASE WHEN {lo} = {hi} THEN '{{' || {lo}::VARCHAR || '}}' ELSE '{{' || {lo}::VARCHAR || ',' || {hi}::VARCHAR || '}}' END"
+
+
+@_query(rf"""{_SAMPLED}, a AS (SELECT service, count(*) AS n, count(DISTINCT who) AS whos, count(DISTINCT took) AS tooks, min(length(who)) AS wl, max(length(who)) AS wh, min(length(took)) AS tl, max(length(took)) AS th,
+            string_agg(DISTINCT who, '|' ORDER BY who) AS who_list, string_agg(DISTINCT took || 'ms', '|' ORDER BY took || 'ms') AS took_list, min(who) AS one FROM s GROUP BY 1)
+        SELECT service, n::INTEGER AS samples, '\A' || {_WORD_OF} || ' user ' || CASE WHEN whos = 1 THEN one WHEN whos <= 16 AND n >= 4 * whos THEN '(?:' || who_list || ')' ELSE '[0-9]' || {_BRACES("wl", "wh")} END || ' did ' || service || ' took '
+            || CASE WHEN tooks <= 16 AND n >= 4 * tooks THEN '(?:' || took_list || ')' ELSE '[0-9]' || {_BRACES("tl", "th")} || 'ms' END || '\z' AS regex FROM a WHERE n >= 20""")
+def event_languages(spark: SparkSession, d: str) -> DataFrame:
+    """The language of each of those templates: fixed words, small sets of values, shapes of digits."""
+    sample = rule_queries.stratified_sample(spark, d)
+    templated = mining.template_lines(sample, "service", "ts_ns", "text", mining.DrainConfig())
+    return mining.infer_languages(templated, "service", "text").where("regex is not null").select(F.col("key").alias("service"), "samples", "regex")
+
+
+@_query(f"SELECT 'dashboard:' || min(query_id)::VARCHAR || '/panel:1/A' AS origin, query_text AS expr FROM executed_queries WHERE {_KEPT} GROUP BY component, query_text HAVING component IS NOT NULL")
+def dashboard_views(spark: SparkSession, d: str) -> DataFrame:
+    """Queries that stand in several views of one dashboard, once each: views are the queries of one component."""
+    q = table(spark, d, "executed_queries").where("query_text is not null and component is not null")
+    panel = F.struct(F.lit(1).alias("id"), F.lit("main").alias("datasource"), F.array(F.struct(F.lit("A").alias("refId"), F.col("query_text").alias("expr"))).alias("targets"))
+    docs = q.select(F.xxhash64("component").alias("org"), F.lit("dashboard").alias("type"), F.lpad(_id(), 12, "0").alias("uid"), F.to_json(F.struct(F.array(panel).alias("panels"))).alias("body"))
+    found = db.read_documents(docs, _SOURCES)
+    # One board for each component, so that its views differ in what follows the name.
+    one = found.withColumn("origin", F.regexp_replace("origin", "^dashboard:([0-9]+)", "dashboard:board/$1"))
+    return db.drop_views(one).select(F.regexp_replace("origin", "^dashboard:board/0*([0-9]+)", "dashboard:$1").alias("origin"), "expr")
+
+
+@_query("SELECT template_text, true AS raw, true AS quoted FROM (SELECT DISTINCT template_text FROM skipped_templates WHERE template_text IS NOT NULL)")
+def string_literals(spark: SparkSession, d: str) -> DataFrame:
+    """Texts written as strings of the query language in either way, and read back."""
+    t = table(spark, d, "skipped_templates").where("template_text is not null").select("template_text").distinct()
+    return _map_rows(t, "template_text string, raw boolean, quoted boolean", lambda x: [(x, syntax.tokens(syntax.quote(x))[0].text == x, syntax.tokens(syntax.go_quote(x))[0].text == x)])
+
+
+@_query("""SELECT kind, count(*) AS readers FROM (SELECT DISTINCT query_id, CASE u.k WHEN 0 THEN 'selector without a scope label' ELSE 'label filter' END AS kind FROM executed_queries, unnest([0, 1]) AS u(k)
+        WHERE CASE u.k WHEN 0 THEN query_id % 2 = 0 ELSE query_id % 3 = 0 END) GROUP BY 1""")
+def assumption_counts(spark: SparkSession, d: str) -> DataFrame:
+    """What verdicts on a query for each row assume: some name no service, some filter by a label."""
+    rule = us.Target("r", (("service_name", "kiln"),), r"\Akiln [0-9]+\z")
+
+    def of(i):
+        text = ("{pod=\"a\"}" if i % 2 == 0 else "{service_name=\"kiln\"}") + (" | json | depth > 3" if i % 3 == 0 else "")
+        yield i, sorted({n.kind for s in decide.readings(parse(text)) for n in us.evaluate(s, rule).widened})
+
+    readers = _map_rows(table(spark, d, "executed_queries").select("query_id"), "query_id long, kinds array<string>", of)
+    return mining.assumption_histogram(readers, "kinds")
+
+
 # --- Topologies --------------------------------------------------------------------------------------------------------
 
 _CHAIN = """RECURSIVE reach AS (SELECT r_regionkey AS start, r_regionkey AS node FROM region UNION SELECT start, node + 1 FROM reach WHERE node < 4)"""
