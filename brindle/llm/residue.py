@@ -118,11 +118,13 @@ _ERROR = re.compile(
     |p[áa]gina\s+n[oã]o?\s+encontrada|acceso\s+denegado|tiempo\s+de\s+espera\s+agotado|se\s+ha\s+producido\s+un\s+error|(?:el\s+)?servicio\s+no\s+(?:está\s+)?disponible|su\s+sesión\s+ha\s+(?:expirado|caducado)|error\s+interno\b
     |la\s+(?:sua\s+|tua\s+)?sessione\s+è\s+scaduta|pagina\s+non\s+trovata|accesso\s+negato|si\s+è\s+verificato\s+un\s+errore|tempo\s+scaduto|servizio\s+non\s+disponibile|errore\s+interno\b
     |pagina\s+niet\s+gevonden|toegang\s+geweigerd|er\s+is\s+(?:een\s+fout|iets\s+mis)|acesso\s+negado|tempo\s+(?:de\s+espera\s+)?esgotado|ocorreu\s+um\s+erro|serviço\s+indisponível|sessão\s+expirada|a\s+sua\s+sessão
-    |.*?(?:ページ|サーバー|サービス|アクセス|セッション|エラー).*?(?:見つかりません|利用できません|拒否|切れました|発生しました|エラー)
     |страница\s+не\s+найдена|доступ\s+(?:запрещ|закрыт)|сервер\s+(?:временно\s+)?недоступен|время\s+ожидания\s+истекло|внутренняя\s+ошибка|сессия\s+истекла|произошла\s+ошибка
     )""",
     re.IGNORECASE | re.VERBOSE | re.DOTALL,
 )
+#: The same in a language that doesn't put such words first.
+_ERROR_LATER = re.compile(r".*?(?:ページ|サーバー|サービス|アクセス|セッション|エラー).*?(?:見つかりません|利用できません|拒否|切れました|発生しました|エラー)")
+_KANA = re.compile("[\u30a0-\u30ff]")
 #: What a reviewer says about errors: the unit goes on to talk of a product or of themselves.
 _TOLD = re.compile(r"\b(?:i|me|my|mine|we\s+bought|ich|mein\w*|mir|je|j['’]ai|mon|ma|mes|yo|mi|io|mio|mia|ik|mijn|eu|meu|minha|я|мой|мне)\b|(?:produkt|produit|producto|prodotto|product)\b", re.IGNORECASE)
 
@@ -202,6 +204,11 @@ def _plain(unit: str) -> str:
     return " ".join(unit.lower().split())
 
 
+def _gap_may_be(text: str) -> bool:
+    """Whether the text holds what every gap does; far cheaper than the expression."""
+    return "  " in text or "__" in text or " ," in text or " ." in text
+
+
 def _gapped(unit: str) -> str | None:
     """The unit with its gaps shown as values of their own; None where it has none."""
     if not _GAP.search(unit):
@@ -209,9 +216,10 @@ def _gapped(unit: str) -> str | None:
     return re.sub("\x01 (?=[,.])", "\x01", _plain(_GAP.sub(" \x01 ", unit)))
 
 
-def frame(unit: str) -> str:
-    """The unit with its slots and words that hold a digit blanked, in lower case, without marks at its ends."""
-    plain = _plain(_SLOT.sub("\0", unit) if _MARK.search(unit) else unit)
+def frame(unit: str, plain: str | None = None) -> str:
+    """The unit with its slots and words that hold a digit blanked, in lower case, without marks at its ends. plain: what _plain gives, where it is known."""
+    if plain is None or _MARK.search(unit):
+        plain = _plain(_SLOT.sub("\0", unit))
     return (_VARYING.sub("9", plain) if _DIGIT.search(plain) else plain).strip(" .!?,;:…。！？")
 
 
@@ -289,7 +297,8 @@ def _units(clean: str) -> tuple[list[str], int]:
 
 def _error(unit: str) -> bool:
     """Whether the unit, or a beginning of it up to a word with a capital, is a message in which no reviewer speaks."""
-    if (m := _ERROR.match(unit)) is None:
+    m = _ERROR.match(unit) or (None if unit.isascii() or not _KANA.search(unit) else _ERROR_LATER.match(unit))
+    if m is None:
         return False
     if m.group().isascii() and len(re.findall("[A-Za-z]+", m.group())) < 2 and unit[m.end() :].strip() and not _OPENS.match(unit, m.end()):
         return False  # one word may be part of a name
@@ -326,8 +335,9 @@ def signals(text: str | None, units: list[str] | None = None, lines: int = 0, cl
     status = _STATUS.search(low) is not None
     noticed = any(map(low.__contains__, _NOTICE_PARTS))
     looks = (status or any(map(low.__contains__, _LOOK_PARTS))) and _LOOKS.search(clean) is not None
+    any_mark = _MARK.search(clean)
     for u in units:
-        marked = _MARK.search(u)
+        marked = any_mark and _MARK.search(u)
         strong = list(_STRONG.finditer(u)) if marked else []
         rest = _STRONG.sub("\0", u) if strong else u
         weak = list(_WEAK.finditer(rest)) if marked else []
@@ -376,7 +386,7 @@ def _openings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if text is None or not text.strip():
                 continue
             clean = without_markup(text)
-            marked = _MARK.search(clean) or _GAP.search(clean) or (any(map((low := clean.lower()).__contains__, _DEFAULT_PARTS)) and _DEFAULT.search(low))
+            marked = _MARK.search(clean) or (_gap_may_be(clean) and _GAP.search(clean)) or (any(map((low := clean.lower()).__contains__, _DEFAULT_PARTS)) and _DEFAULT.search(low))
             alone = _CUT.search(clean.strip()) is None
             if not (marked or alone):
                 continue
@@ -409,63 +419,70 @@ def _bitmap(keys: DataFrame) -> bytes:
 
 
 def _scan(alone: bytes, anchors: bytes):
-    def held(bits: bytes, key: int) -> int:
-        at = key % _BITS
-        return bits[at >> 3] >> (at & 7) & 1
-
+    digest, mask = xxhash.xxh64_intdigest, _BITS - 1
     grams: dict[str, int] = {}
     known = grams.get
 
+    def held(bits: bytes, text: str) -> int:
+        at = digest(text) & mask
+        return bits[at >> 3] >> (at & 7) & 1
+
     def gram(words: str) -> int:
         """1 where the words are an anchor, 2 where one begins with them, 3 for both."""
-        if (f := grams.get(words)) is None:
+        if (f := known(words)) is None:
             if len(grams) > CACHE:
                 grams.clear()
-            f = grams[words] = held(anchors, _key(words)) | 2 * held(anchors, _key("^" + words))
+            f = grams[words] = held(anchors, words) | 2 * held(anchors, "^" + words)
         return f
 
-    def sides_of(unit: str) -> list[int]:
-        """Keys of the sides that the filter may hold; a frame that it holds is held by its first two words too."""
-        framed = frame(unit)
-        words = framed.split(" ")
+    def sides_of(framed: str) -> list[str]:
+        """The sides that the filter may hold; a frame that it holds is held by its first two words too."""
+        words = framed.split(" ", 3)
         if len(words) <= 2:
-            return [key] if held(alone, key := _key(framed)) else []
+            return [framed] if held(alone, framed) else []
         out = []
-        if held(alone, key := _key("^2 " + " ".join(words[:2]))):
-            out.append(key)
-            out += [key for x in sides(framed) if x[:1] != "$" and not x.startswith("^2 ") and held(alone, key := _key(x))]
-        if held(alone, key := _key("$2 " + " ".join(words[-2:]))):
-            out.append(key)
-            if len(words) > 3 and held(alone, key := _key("$3 " + " ".join(words[-3:]))):
-                out.append(key)
+        if held(alone, two := f"^2 {words[0]} {words[1]}"):
+            out.append(two)
+            if len(words) > 3 and held(alone, three := f"^3 {words[0]} {words[1]} {words[2]}"):
+                out.append(three)
+            if held(alone, framed):
+                out.append(framed)
+        words = framed.rsplit(" ", 3)
+        if held(alone, two := f"$2 {words[-2]} {words[-1]}"):
+            out.append(two)
+            if len(words) > 3 and held(alone, three := f"$3 {words[-3]} {words[-2]} {words[-1]}"):
+                out.append(three)
         return out
 
-    def forms_of(unit: str) -> set[tuple[int, str]]:
-        out = set()
-        for form in {_plain(unit), _gapped(unit)} - {None}:
-            words = _WORD.findall(form)
-            for k, g in enumerate(words):
-                if not (f := known(g)) and (f == 0 or not (f := gram(g))):
-                    continue
-                n = k
-                while f:
-                    if f & 1:
-                        out.add((_key(g), form))
-                    n += 1
-                    if not f & 2 or n == len(words):
-                        break
-                    g = f"{g} {words[n]}"
-                    f = gram(g)
+    def forms_of(form: str) -> list[tuple[str, str]]:
+        out = []
+        words = _WORD.findall(form)
+        for k, g in enumerate(words):
+            if not (f := known(g)) and (f == 0 or not (f := gram(g))):
+                continue
+            n = k
+            while f:
+                if f & 1:
+                    out.append((g, form))
+                n += 1
+                if not f & 2 or n == len(words):
+                    break
+                g = f"{g} {words[n]}"
+                f = gram(g)
         return out
 
-    units_seen: dict[str, tuple[list[int], set[tuple[int, str]]]] = {}
+    units_seen: dict[str, tuple[list[int], list[tuple[int, str]]]] = {}
 
-    def looked_up(unit: str) -> tuple[list[int], set[tuple[int, str]]]:
+    def looked_up(unit: str) -> tuple[list[int], list[tuple[int, str]]]:
         """Keys of the unit's sides, and its anchors with its form, as far as the filters hold them."""
         if (out := units_seen.get(unit)) is None:
             if len(units_seen) > CACHE:
                 units_seen.clear()
-            out = units_seen[unit] = sides_of(unit), forms_of(unit)
+            plain = _plain(unit)
+            found = forms_of(plain)
+            if _gap_may_be(unit) and (gapped := _gapped(unit)):
+                found += forms_of(gapped)
+            out = units_seen[unit] = [_key(x) for x in sides_of(frame(unit, plain))], [(_key(g), form) for g, form in found]
         return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -481,7 +498,7 @@ def _scan(alone: bytes, anchors: bytes):
                 for u in units:
                     k, f = looked_up(u)
                     keys.update(k)
-                    forms |= f
+                    forms.update(f)
                 if keys:
                     rows.append((i, ALONE if len(units) == 1 else AMONG, "template", list(keys), context, None))
                 rows += [(i, FORM, "slot", [key], None, form) for key, form in forms]
