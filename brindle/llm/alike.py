@@ -27,7 +27,7 @@ ROUTE_ROWS = 200_000
 #: Rows of a route beyond which it is cut into blocks; every pair of blocks is a task of its own. Only lists of one hot word are as long.
 BLOCK_ROWS = 100_000
 #: Pairs of places that a task looks at together.
-CHUNK = 1 << 21
+CHUNK = 1 << 20
 #: Weight of the number of long lists: L = T / (MU * log2(longest list) + 1), as published for DivideSkip.
 MU = 0.0085
 
