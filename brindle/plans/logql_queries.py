@@ -170,7 +170,7 @@ _values(
 
 
 def _entries(name: str, query: str, sql_condition: str) -> None:
-    """Lines of a log query over log_entries."""
+    """Lines of a log query over log_entries; a null line is an empty one."""
 
     def run(spark: SparkSession, d: str) -> DataFrame:
         df = LogStore(table(spark, d, "log_entries")).logs(query)
@@ -178,7 +178,7 @@ def _entries(name: str, query: str, sql_condition: str) -> None:
 
     run.__doc__ = query
     QUERIES[name] = run
-    SQL[name] = f"SELECT labels['service_name'] AS service_name, labels['k8s_pod_name'] AS pod, ts_ns, line FROM log_entries WHERE {sql_condition}"
+    SQL[name] = f"SELECT labels['service_name'] AS service_name, labels['k8s_pod_name'] AS pod, ts_ns, coalesce(line, '') AS line FROM log_entries WHERE {sql_condition}"
 
 
 _entries("entries_without_service", '{k8s_pod_name=~".+", service_name=""}', "labels['k8s_pod_name'] <> '' AND coalesce(labels['service_name'], '') = ''")
