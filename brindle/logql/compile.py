@@ -651,6 +651,13 @@ class LogStore:
             else:
                 value = F.col("total.v") if func in ("first_over_time", "last_over_time") else F.col("total").cast("double")
             return out.select("i", "k", (value / seconds if func in ("rate", "bytes_rate") else value).alias("value"))
+        if func in ("stddev_over_time", "stdvar_over_time") and many:
+            # Rows of the same steps fold to count, mean and squared distances from it; the parts of a step are put together about their common mean.
+            part = df.groupBy("k", "first", "last").agg(F.count("v").alias("n"), F.avg("v").alias("mean"), (F.var_pop("v") * F.count("v")).alias("m2"))
+            step = Window.partitionBy("i", "k")
+            spread = part.select("k", each, "n", "mean", "m2").withColumn("all", F.sum(F.col("n") * F.col("mean")).over(step) / F.nullif(F.sum("n").over(step), F.lit(0)))
+            square = F.sum(F.col("m2") + F.col("n") * F.pow(F.col("mean") - F.col("all"), F.lit(2.0))) / F.nullif(F.sum("n"), F.lit(0))
+            return spread.groupBy("i", "k").agg((square if func == "stdvar_over_time" else F.sqrt(square)).alias("value"))
         rows = df.select("k", each if many else F.lit(0).alias("i"), "ts_ns", "v")
         if func == "rate_counter":
             before = F.lag("v").over(Window.partitionBy("i", "k").orderBy("ts_ns", "v"))

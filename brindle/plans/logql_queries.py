@@ -117,6 +117,11 @@ for _name, _width in (("range_steps", 2 * DAY), ("range_steps_uneven", 3 * DAY /
     _values(_name, f'sum by (service_name) (count_over_time({{service_name=~".+"}} [{_width}s]))', f", {_STEPS} SELECT at_ns, service_name, count(*)::DOUBLE AS value FROM steps JOIN logs ON ts_ns > at_ns - {_width * NS} AND ts_ns <= at_ns GROUP BY 1, 2", (_ALL,), over=(AT - 20 * DAY, AT, DAY // 2))
 _values("range_steps_max", f'max_over_time({{service_name="view"}} | {_TOOK} [2d]) by (service_name)', f", {_STEPS} SELECT at_ns, service_name, max(took)::DOUBLE AS value FROM steps JOIN logs ON ts_ns > at_ns - {2 * DAY * NS} AND ts_ns <= at_ns WHERE service_name = 'view' GROUP BY 1, 2", (_ALL,), over=(AT - 20 * DAY, AT, DAY // 2))
 
+for _f, _s in (("stddev", "stddev_pop"), ("stdvar", "var_pop")):
+    _values(
+        f"range_steps_{_f}", f'{_f}_over_time({{service_name=~"view|error"}} | {_TOOK} [2d]) by (service_name)',
+        f", {_STEPS} SELECT at_ns, service_name, round({_s}(took), 4) AS value FROM steps JOIN logs ON ts_ns > at_ns - {2 * DAY * NS} AND ts_ns <= at_ns WHERE service_name IN ('view', 'error') GROUP BY 1, 2", (_ALL,), over=(AT - 20 * DAY, AT, DAY // 2), digits=4,
+    )
 _values("range_steps_or", f'sum by (service_name) (count_over_time({{service_name="view"}} [{2 * DAY}s])) * 0 or sum by (service_name) (count_over_time({{service_name=~"view|click"}} [{2 * DAY}s]))', f", {_STEPS} SELECT at_ns, service_name, (CASE service_name WHEN 'view' THEN 0 ELSE count(*) END)::DOUBLE AS value FROM steps JOIN logs ON ts_ns > at_ns - {2 * DAY * NS} AND ts_ns <= at_ns WHERE service_name IN ('view', 'click') GROUP BY 1, 2", (_ALL,), over=(AT - 20 * DAY, AT, DAY // 2))
 
 # Vector aggregations
