@@ -595,8 +595,8 @@ class LogStore:
             return self._variants(n, steps)
         raise QueryFault("a log query has no value")
 
-    def _range_agg(self, n: ast.RangeAgg, steps: Steps, sum_by: ast.Grouping | None) -> DataFrame:
-        """sum_by: the grouping of a sum around this aggregation, folded into it."""
+    def _range_rows(self, n: ast.RangeAgg, steps: Steps, sum_by: ast.Grouping | None) -> tuple[DataFrame, float, bool]:
+        """(rows of the range with k, v, bytes, and the first and last of several steps that they fall into; seconds of the range; whether v is unwrapped)."""
         width = duration_ns(n.range_text)
         offset = 0
         if n.offset_text:
@@ -621,6 +621,11 @@ class LogStore:
             first = F.greatest(F.lit(0), F.ceil((F.col("ts_ns") + (offset - steps.start)) / wide).cast("long"))
             final = F.least(F.lit(steps.count - 1), F.floor((F.col("ts_ns") + (offset + width - 1 - steps.start)) / wide).cast("long"))
             df = df.withColumn("first", first).withColumn("last", final).where("first <= last")
+        return df, seconds, unwrapped
+
+    def _range_agg(self, n: ast.RangeAgg, steps: Steps, sum_by: ast.Grouping | None) -> DataFrame:
+        """sum_by: the grouping of a sum around this aggregation, folded into it."""
+        df, seconds, unwrapped = self._range_rows(n, steps, sum_by)
         agg = self._fold(df, n.func, seconds, unwrapped, n.param, steps.count > 1)
         out = agg.select((F.lit(steps.start) + F.col("i") * steps.step).alias("at"), "k", "value")
         if n.func == "absent_over_time":
@@ -707,14 +712,29 @@ class LogStore:
         return v.withColumn("k", F.when(source.rlike(expression), k).otherwise(F.col("k")))
 
     def _variants(self, n: ast.Variants, steps: Steps) -> DataFrame:
+        if not all(isinstance(item, ast.RangeAgg) for item in n.items):
+            raise QueryFault("a variant has to be a range aggregation")
+        # The variants read the log query after `of`, with its range.
+        shared = [
+            ast.RangeAgg(x.func, ast.LogQuery(n.of.log.matchers, n.of.log.stages + tuple(s for s in x.log.stages if isinstance(s, ast.Unwrap))), n.of.range_text, n.of.offset_text, x.param, x.grouping) for x in n.items
+        ]
+        marked = lambda k, i: F.sort_array(F.concat(k, F.array(F.struct(F.lit("__variant__").alias("key"), i.alias("value")))))
+        counted = {"count_over_time": ("c", False), "rate": ("c", True), "bytes_over_time": ("b", False), "bytes_rate": ("b", True)}
+        if all(x.func in counted and x.log == shared[0].log and x.grouping == shared[0].grouping for x in shared):
+            # All are counts of the same rows: one scan and one aggregation.
+            df, seconds, _ = self._range_rows(shared[0], steps, None)
+            sums = lambda c, b: (c.alias("c"), F.sum(b).alias("b"))
+            if steps.count > 1:
+                part = df.groupBy("k", "first", "last").agg(*sums(F.count(F.lit(1)), "bytes"))
+                total = part.select("k", F.explode(F.sequence("first", "last")).alias("i"), "c", "b").groupBy("i", "k").agg(*sums(F.sum("c"), "b"))
+            else:
+                total = df.groupBy("k").agg(*sums(F.count(F.lit(1)), "bytes")).withColumn("i", F.lit(0))
+            value = lambda x: F.col(counted[x.func][0]).cast("double") / (seconds if counted[x.func][1] else 1.0)
+            each = F.inline(F.array(*[F.struct(F.lit(str(i)).alias("variant"), value(x).alias("value")) for i, x in enumerate(shared)]))
+            return total.select((F.lit(steps.start) + F.col("i") * steps.step).alias("at"), "k", each).select("at", marked(F.col("k"), F.col("variant")).alias("k"), "value")
         out = None
-        for i, item in enumerate(n.items):
-            if not isinstance(item, ast.RangeAgg):
-                raise QueryFault("a variant has to be a range aggregation")
-            # The variants read the log query after `of`, with its range.
-            shared = ast.RangeAgg(item.func, ast.LogQuery(n.of.log.matchers, n.of.log.stages + tuple(s for s in item.log.stages if isinstance(s, ast.Unwrap))), n.of.range_text, n.of.offset_text, item.param, item.grouping)
-            mark = F.struct(F.lit("__variant__").alias("key"), F.lit(str(i)).alias("value"))
-            v = self._range_agg(shared, steps, None).withColumn("k", F.sort_array(F.concat("k", F.array(mark))))
+        for i, x in enumerate(shared):
+            v = self._range_agg(x, steps, None).withColumn("k", marked(F.col("k"), F.lit(str(i))))
             out = v if out is None else out.unionByName(v)
         return out
 
