@@ -18,6 +18,7 @@ from brindle.logql import syntax
 from brindle.logql.syntax import parse
 from brindle.operators import decide, enforce, mining
 from brindle.operators import usage as us
+from brindle.operators.ordering import piece_count
 from brindle.plans.logql_queries import AT, BASE, DAY
 from brindle.plans.problems import _CELLS, _PAIR
 from brindle.plans import rule_queries
@@ -279,7 +280,9 @@ _WILD = r"(?i)(?:\b|_)(?:err|error|errors|warn|warning|fatal|crit|critical|panic
 def error_like(spark: SparkSession, d: str) -> DataFrame:
     """Whether a language, here of one line, has lines that look like errors: an intersection of automata."""
     t = table(spark, d, "skipped_templates").where("template_text <> ''").select("template_text").distinct()
-    return _map_rows(t, "template_text string, error_like boolean", lambda x: [(x, at.intersects(at.compile(rf"\A{quote(x)}\z"), at.compile(decide.ERROR_WORDS)) is not None)])
+    # The distinct texts are few bytes and would be joined into few tasks.
+    t = t.repartition(piece_count(t))
+    return _map_rows(t, "template_text string, error_like boolean", lambda x: [(x, at.intersects(at.exactly(x), at.compile(decide.ERROR_WORDS)) is not None)])
 
 
 _NAMES = "n AS (SELECT r_name AS region, n_name AS name FROM nation JOIN region ON n_regionkey = r_regionkey)"

@@ -30,6 +30,10 @@ def test_runs(spark, name):
     assert QUERIES[name](spark, oracle.TESTDATA).columns
 
 
+def test_automata_run_in_all_pieces(spark):
+    assert QUERIES["error_like"](spark, oracle.TESTDATA).rdd.getNumPartitions() == 4
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())

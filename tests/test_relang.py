@@ -133,6 +133,26 @@ def test_an_unbounded_question_is_undecided():
     assert at.overlap(at.compile(r"\Aa\z"), at.compile(r"\Aa\z"))
 
 
+def test_a_question_takes_few_states():
+    errors = at.compile(r"(?i)(?:\b|_)(?:err|error|fail|failed|timed out)(?:\b|_)")
+    text = "value of user <*> " * 100
+    assert at.witness([at.Term(at.compile(rf"\A{sx.quote(text)}\z")), at.Term(errors)], 100) is None
+    assert at.witness([at.Term(at.compile(rf"\A{sx.quote(text)}failed\z")), at.Term(errors)], 100) == f"{text}failed"
+    assert at.witness([at.Term(errors), at.Term(at.compile(rf"\A{sx.quote(text)}\z"), True)], 10_000) is not None
+    line = at.compile(r"\AINFO user [0-9]{1,4} did view took [0-9]{1,3}ms\z")
+    assert at.witness([at.Term(line), at.Term(errors)], 100) is None
+    assert at.witness([at.Term(line), at.Term(at.literal("user 1234 did "))], 200) == "INFO user 1234 did view took 0ms"
+    assert at.witness([at.Term(line), at.Term(at.literal("user 12345 did "))], 200) is None
+
+
+@pytest.mark.parametrize("text", ["", "a", "an_error", "a.b*[c]", "\n", "é ſ", " ERROR<*>"])
+def test_pattern_of_one_text(text):
+    p = at.exactly(text)
+    assert p == at.compile(rf"\A{sx.quote(text)}\z") and at.matches(p, text) and not at.matches(p, f"{text}x")
+    assert at.intersects(p, at.compile("(?i)error")) == (text if "error" in text.lower() else None)
+    assert at.subset(p, at.literal(text)) and not at.subset(p, at.literal(f"{text}x")) and at.intersects(p, at.exactly(f"{text}x")) is None
+
+
 def test_long_text_needs_no_stack():
     p = at.compile("(?:ab|a)*c")
     assert sx.backtracks_deeply(p.tree) and not sx.backtracks_deeply(at.compile("(?:a|b)*c").tree)
