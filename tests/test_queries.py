@@ -4,6 +4,7 @@ import os
 from importlib import import_module
 
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from tests import oracle
@@ -32,6 +33,8 @@ def test_runs(spark, name):
 
 def test_automata_run_in_all_pieces(spark):
     assert QUERIES["error_like"](spark, oracle.TESTDATA).rdd.getNumPartitions() == 4
+    tasks = QUERIES["reader_verdicts"](spark, oracle.TESTDATA).select(F.spark_partition_id()).distinct()
+    assert tasks.count() > 1
 
 
 def test_entry(spark):
